@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,18 +85,19 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
         size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate(([1], np.full(size, _BASE, dtype=np.uint64))).astype(np.uint64))
-            back = np.uint64(pow(_BASE, -1, 1 << 64))
-            _inverse = np.cumprod(np.concatenate(([1], np.full(size, back, dtype=np.uint64))).astype(np.uint64))
+        steps = np.full(size + 1, _BASE, dtype=np.uint64), np.full(size + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+        for s in steps:
+            s[0] = 1
+        _powers, _inverse = (np.cumprod(s, dtype=np.uint64) for s in steps)
     return _powers, _inverse
 
 
-def word_hashes(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
     """A 64-bit hash of each maximal run of bytes that are not ``blank``, in order.
 
     Prefix sums of a polynomial modulo 2**64 give every run's hash in a few
-    vector operations, so that no word becomes a Python object.
+    vector operations, so that no word becomes a Python object. For each length
+    in ``prefixes`` the hashes of that many first bytes of longer runs follow.
     """
     n = len(data)
     if not n:
@@ -107,19 +107,14 @@ def word_hashes(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
     start, end = edge[0::2], edge[1::2]
     power, inverse = _tables(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
+    out = []
     with np.errstate(over="ignore"):
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        value = (sums[end] - sums[start]) * inverse[start]
-        return mix64(value ^ ((end - start).astype(np.uint64) << np.uint64(56)))
-
-
-def packs(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes together; a longer text is alone."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        for length in (0, *prefixes):
+            longer = end - start > length if length else slice(None)
+            s, e = start[longer], start[longer] + length if length else end
+            value = (sums[e] - sums[s]) * inverse[s]
+            # The mark keeps prefixes apart from whole words and from one another.
+            mark = np.uint64(length << 16) if length else np.uint64(0)
+            out.append(mix64(value ^ ((e - s).astype(np.uint64) << np.uint64(48)) ^ (mark << np.uint64(40))))
+    return np.concatenate(out)
