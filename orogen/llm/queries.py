@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, language_id, toxicity
+from orogen.llm import bpe, language_id, secrets, toxicity
 from orogen.llm.common import id_remainder
 
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.detect(docs, ["doc_id"])
+    number = lambda k: F.size(F.filter("base", lambda s: s["order"] == k)).cast("long")
+    base = secrets.label(F.col("base"))
+    return found.select("doc_id", *(number(k).alias(f"n_{c}") for k, c in enumerate(secrets.KINDS[:3])), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.label(F.col("spans")).alias("spans"), "live")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_remainder("doc_id", 5) == 0
@@ -39,6 +47,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secrets": op5_secrets,
     "op7_language_id": op7_language_id,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
