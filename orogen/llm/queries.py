@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, language_id, secrets, toxicity
-from orogen.llm.common import id_remainder
+from orogen.llm import bpe, language_id, secrets, toxicity, warc
+from orogen.llm.common import id_remainder, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,22 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(number(k).alias(f"n_{c}") for k, c in enumerate(secrets.KINDS[:3])), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.label(F.col("spans")).alias("spans"), "live")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    out = warc.read(spark, archive)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+g as (select h, max(page_id) as lead from p where octet_length(encode(h)) >= 1000 group by h having count(*) > 1)
+select page_id, cast(octet_length(encode(p.h)) as bigint) as payload_bytes, sha1(p.h) as payload_digest,
+  case when lead is not null and page_id is distinct from lead then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from lead then lead end as refers_to
+from p left join g on p.h = g.h
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_remainder("doc_id", 5) == 0
@@ -48,9 +64,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
+    "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
+}
