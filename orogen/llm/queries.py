@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, language_id, secrets, toxicity, warc
+from orogen.llm import ann, bpe, language_id, secrets, topk_blocks, toxicity, warc
 from orogen.llm.common import id_remainder, shared_path
 
 
@@ -16,6 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_blocks.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+OP1_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, d.vec_id as vec_id,
+  list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
+ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from pairs)
+select * from ranked where rank <= 5
+"""
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = secrets.detect(docs, ["doc_id"])
@@ -63,6 +82,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_blocks": op1_topk_blocks,
+    "op2_ann": op2_ann,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
@@ -71,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_blocks": OP1_SQL,
     "op6_warc": OP6_SQL,
 }
