@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import ann, bpe, language_id, secrets, topk_blocks, toxicity, warc
+from orogen.llm import ann, bpe, language_id, near_dedup, secrets, topk_blocks, toxicity, warc
 from orogen.llm.common import id_remainder, shared_path
 
 
@@ -67,6 +67,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+links as (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (select doc_id as node, doc_id as other from s union select r.node, l.b from reach r join links l on r.other = l.a),
+low as (select node, min(other) as component_id from reach group by node)
+select s.doc_id, len(s.sh)::bigint as n_shingles, low.component_id, s.doc_id = low.component_id as kept
+from s join low on s.doc_id = low.node
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = id_remainder("doc_id", 4) == 2
@@ -87,11 +106,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
+    "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_near_dedup": OP8_SQL,
     "op1_topk_blocks": OP1_SQL,
     "op6_warc": OP6_SQL,
 }
