@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import ann, bpe, language_id, near_dedup, secrets, temperature_mix, topk_blocks, toxicity, warc
+from orogen.llm import ann, bpe, language_id, near_dedup, role_repair, secrets, temperature_mix, topk_blocks, toxicity, warc
 from orogen.llm.common import id_remainder, shared_path
 
 
@@ -35,6 +35,11 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
+def op3_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = role_repair.repair_table(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "place", "turn", "role", "new_role", "action", "cost", "inserted", "rendered")
+
+
 def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = temperature_mix.mix(docs, repeats=2.0)
@@ -109,6 +114,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_blocks": op1_topk_blocks,
     "op2_ann": op2_ann,
+    "op3_role_repair": op3_role_repair,
     "op4_temperature_mix": op4_temperature_mix,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
