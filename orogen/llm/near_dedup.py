@@ -222,8 +222,8 @@ def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: st
     return labels
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of every row.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) of every row, and its columns ``carry``.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` whether
     it is the row's own. Null and blank texts have an empty set, no link and
@@ -231,7 +231,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     null id is never the smallest unless its component has no other, and then
     ``component_id`` is null and ``kept`` true. An empty table gives none.
     """
-    docs = docs.select(F.col(id_col), F.col(text_col))
+    docs = docs.select(F.col(id_col), F.col(text_col), *carry)
     rows = stored(sketches(docs, text_col), "sketches")
     some = rows.where("n_shingles > 0")
     classes = stored(some.groupBy("cls", "n_shingles").agg(F.min(id_col).alias("first_id"), F.first("sketch").alias("sketch"), F.first("need").alias("need")), "classes")
@@ -240,6 +240,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     named = first_ids.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(lowest, "label").select("cls", "component_id")
-    out = rows.select(id_col, "n_shingles", "cls").join(by_class, "cls", "left")
+    out = rows.select(id_col, "n_shingles", "cls", *carry).join(by_class, "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col(id_col)).otherwise(F.col("component_id"))
-    return out.select(id_col, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"))
+    return out.select(id_col, "n_shingles", *carry, component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"))

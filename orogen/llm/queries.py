@@ -51,7 +51,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.detect(docs, ["doc_id"])
     number = lambda k: F.size(F.filter("base", lambda s: s["order"] == k)).cast("long")
     base = secrets.label(F.col("base"))
-    return found.select("doc_id", *(number(k).alias(f"n_{c}") for k, c in enumerate(secrets.KINDS[:3])), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.label(F.col("spans")).alias("spans"), "live")
+    return found.select("doc_id", *(number(k).alias(f"n_{c}") for k, c in enumerate(secrets.KINDS[:3])), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.label(F.col("spans")).alias("spans"), F.size("live").cast("long").alias("n_live"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def detect(df: DataFrame, keep: list[str], text_col: str = "text", repository_co
 
     Returns the columns ``keep`` (with ``repository_col`` among them or not) and
     ``base``, ``spans`` (base spans and single-owner wide tokens, sorted) and
-    ``live`` (how many spans have a value that is no widely copied example).
+    ``live`` (the spans whose value is no widely copied example).
     Rows without any candidate take no part in a shuffle by value; the others
     are written to the shared folder, so that they are scanned once. Equal rows
     stay as many as they were; null and empty texts get empty arrays; an empty
@@ -126,10 +126,10 @@ def detect(df: DataFrame, keep: list[str], text_col: str = "text", repository_co
     wanted = (F.col("s.order") < 3) | (F.col("owners") == 1)
     known = values.withColumn("hash", digest(F.col("s.value"))).join(owned, "hash").groupBy("__row").agg(
         F.array_sort(F.collect_list(F.when(wanted, F.col("s")))).alias("spans"),
-        F.count(F.when(~F.col("example") & wanted, 1)).alias("live"),
+        F.array_sort(F.collect_list(F.when(~F.col("example") & wanted, F.col("s")))).alias("live"),
     )
     rows = keyed.join(known, "__row").select(*keep, "base", "spans", "live")
-    return none.select(*keep, "base", F.col("base").alias("spans"), F.lit(0).cast("long").alias("live")).unionByName(rows)
+    return none.select(*keep, "base", F.col("base").alias("spans"), F.col("base").alias("live")).unionByName(rows)
 
 
 def redact(text: Column, spans: Column) -> Column:
