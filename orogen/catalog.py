@@ -1,10 +1,1072 @@
-"""Names of the terrain queries, with the DuckDB SQL of each."""
+"""Names of the terrain queries, with the DuckDB SQL of each that SQL can express.
+
+Keys start with the operator's number in the survey. Results that pass through
+transcendental functions or unordered sums are rounded to a grid that both
+engines share.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from orogen import fixtures as fx
+from orogen import scratch
+from orogen.functions import crs
+from orogen.functions.geometry import num, octant
+from orogen.operators import cdt, contour, convert, earthwork, grid, measure, mesh, registration, reproject, view
+from orogen.plans import tasks
+from orogen.schema import Grid, GridMeta, Mesh
+from orogen.sources import tables, text
+from orogen.streaming import edits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(c: Column | str, places: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * num(10.0**places) + 0.5).cast("double") / num(10.0**places)
+
+
+def q(sql: str, places: int = 6) -> str:
+    return f"floor(({sql}) * 1e{places} + 0.5) / 1e{places}"
+
+
+ORDERS = 'g as (select o_orderkey // 150 as r, o_orderkey % 150 as c, o_totalprice as z from orders), m as (select max(r) + 1 as h, 150 as w from g)'
+ORDERS_ND = "g as (select o_orderkey // 150 as r, o_orderkey % 150 as c, case when o_orderstatus = 'P' and o_custkey % 7 = 0 then null else o_totalprice end as z from orders), m as (select max(r) + 1 as h, 150 as w from g)"
+PARTS = "g as (select p_partkey // 50 as r, p_partkey % 50 as c, p_size::double as z from part), m as (select max(r) + 1 as h, 50 as w from g)"
+DESIGN = "d as (select o_orderkey // 150 as r, o_orderkey % 150 as c, (o_custkey % 500)::double * 1000.0::double as z from orders)"
+RING = [(10.5, 1.5), (120.5, 1.5), (90.5, 8.5), (20.5, 8.5)]
+
+
+def plain(df: DataFrame, name: str = "value") -> DataFrame:
+    return df.select("row", "col", F.col("z").alias(name))
+
+
+# Windows, sampling, derivatives ------------------------------------------------
+
+
+@query("g1_grid_info", f"""with {ORDERS_ND} select 150::bigint as width, max(m.h)::bigint as height, count(*)::bigint as node_count, count(z)::bigint as valid_count, min(z) as minimum, max(z) as maximum,
+  500000::double as xmin, 3200000::double - 10 * (max(m.h) - 1) as ymin, 501490::double as xmax, 3200000::double as ymax from g, m""")
+def g1_grid_info(spark, d):
+    return grid.info(fx.orders_nd(spark, d))
+
+
+@query("g1_grid_create", 'select r."row", c.col, null::double as value from range(0, 12) r("row"), range(0, 9) c(col)')
+def g1_grid_create(spark, d):
+    return plain(grid.create(spark, GridMeta(9, 12)).df)
+
+
+@query("g2_read_window", f'with {ORDERS} select r as "row", c as col, z as value from g where r between 2 and 6 and c between 10 and 59')
+def g2_read_window(spark, d):
+    return plain(grid.read_window(fx.orders(spark, d), 10, 2, 50, 5))
+
+
+@query("g3_write_window", f'with {ORDERS} select r as "row", c as col, case when r < 8 and (r + c) % 10 = 0 then null when r < 8 and (r + c) % 5 = 0 then -z else z end as value from g')
+def g3_write_window(spark, d):
+    g = fx.orders(spark, d)
+    new = g.df.where("row < 8 and (row + col) % 5 = 0").select("row", "col", F.expr("case when (row + col) % 10 = 0 then null else -z end").alias("z"))
+    return plain(grid.write_window(g, new).df)
+
+
+@query("g4_affine", f"""with {ORDERS}, p as (select r, c, 100e0 + c * 2e0 + r * 0.5e0 as x, 200e0 + c * -0.25e0 + r * 1.5e0 as y from g)
+  select r as "row", c as col, x, y, {q("((x - 100e0) * 1.5e0 - (y - 200e0) * 0.5e0) / 3.125e0")} as c_back, {q("((y - 200e0) * 2e0 - (x - 100e0) * -0.25e0) / 3.125e0")} as r_back from p""")
+def g4_affine(spark, d):
+    from orogen.functions.geometry import node_col, node_row
+
+    g = fx.orders(spark, d, fx.SHEARED)
+    return grid.positions(g).select("row", "col", "x", "y", rounded(node_col(g.meta, F.col("x"), F.col("y"))).alias("c_back"), rounded(node_row(g.meta, F.col("x"), F.col("y"))).alias("r_back"))
+
+
+@query("g5_nodata", f'with {ORDERS} select r as "row", c as col, case when z > 300000 then null else z end as value from g')
+def g5_nodata(spark, d):
+    g = fx.orders(spark, d)
+    marked = g.df.withColumn("z", F.when(F.col("z") > 300000, num(-9999)).otherwise(F.col("z")))
+    return plain(grid.from_values(marked, g.meta, -9999.0).df)
+
+
+POINTS = "p as (select event_id as qid, (event_id % 997) * 0.05e0 as x, (event_id % 701) * 0.055e0 as y from events)"
+CELLS = """k as (select qid, x, y, case when x <= m.w - 1 and y <= m.h - 1 then least(floor(x), m.w - 2)::bigint end as cc, case when x <= m.w - 1 and y <= m.h - 1 then least(floor(y), m.h - 2)::bigint end as cr from p, m),
+  s as (select k.qid, k.x, k.y, x - cc as u, y - cr as v, a.z as z00, b.z as z10, e.z as z01, f.z as z11 from k
+    left join g a on a.r = cr and a.c = cc left join g b on b.r = cr and b.c = cc + 1 left join g e on e.r = cr + 1 and e.c = cc left join g f on f.r = cr + 1 and f.c = cc + 1)"""
+BILINEAR = "(1e0 - u) * (1e0 - v) * z00 + u * (1e0 - v) * z10 + (1e0 - u) * v * z01 + u * v * z11"
+
+
+def points(spark, d):
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("qid"), ((F.col("event_id") % 997) * num(0.05)).alias("x"), ((F.col("event_id") % 701) * num(0.055)).alias("y"))
+
+
+@query("g6_sample_bilinear", f"""with {PARTS}, {POINTS}, {CELLS}
+  select qid, {q(BILINEAR)} as z, {q("(1e0 - v) * (z10 - z00) + v * (z11 - z01)")} as dz_dx, {q("(1e0 - u) * (z01 - z00) + u * (z11 - z10)")} as dz_dy from s""")
+def g6_sample_bilinear(spark, d):
+    return grid.sample(fx.parts(spark, d), points(spark, d)).select("qid", rounded("z").alias("z"), rounded("dz_dx").alias("dz_dx"), rounded("dz_dy").alias("dz_dy"))
+
+
+def stencil(base: str, gt: tuple) -> str:
+    g0, g1, g2, g3, g4, g5 = (f"{v!r}::double" for v in gt)
+    det = f"{gt[1] * gt[5] - gt[2] * gt[4]!r}::double"
+    return f"""with {base}, n as (select g.r, g.c, z, m.w, m.h,
+    case when c = 0 then z else lag(z) over (partition by r order by c) end as zl, case when c = m.w - 1 then z else lead(z) over (partition by r order by c) end as zr,
+    case when r = 0 then z else lag(z) over (partition by c order by r) end as zu, case when r = m.h - 1 then z else lead(z) over (partition by c order by r) end as zd from g, m),
+  b as (select r, c, z, (zr - zl) / (case when c = 0 or c = w - 1 then 1e0 else 2e0 end) as bc, (zd - zu) / (case when r = 0 or r = h - 1 then 1e0 else 2e0 end) as br from n),
+  t as (select r, c, case when z is not null then (bc * {g5} - {g4} * br) / {det} end as zx, case when z is not null then ({g1} * br - {g2} * bc) / {det} end as zy from b)
+  """
+
+
+SLOPE = f"""select r as "row", c as col, {q('degrees(atan(sqrt(zx * zx + zy * zy)))', 9)} as value from t"""
+ASPECT = f"""select r as "row", c as col, case when zx * zx + zy * zy > 0 then {q("case when degrees(atan2(-zx, -zy)) < 0 then degrees(atan2(-zx, -zy)) + 360e0 else degrees(atan2(-zx, -zy)) end")} end as value from t"""
+SHADE = f"""select r as "row", c as col, {q("255e0 * greatest(0e0, (-zx * (sin(radians(315e0)) * cos(radians(45e0))) - zy * (cos(radians(315e0)) * cos(radians(45e0))) + sin(radians(45e0))) / sqrt(zx * zx + zy * zy + 1e0))")} as value from t"""
+
+
+@query("g7_slope", stencil(ORDERS_ND, fx.GT) + SLOPE)
+def g7_slope(spark, d):
+    return _shown(grid.slope(fx.orders_nd(spark, d)), 9)
+
+
+@query("g7_slope_sheared", stencil(ORDERS, fx.SHEARED) + SLOPE)
+def g7_slope_sheared(spark, d):
+    return _shown(grid.slope(fx.orders(spark, d, fx.SHEARED)), 9)
+
+
+def _shown(g: Grid, places: int = 6) -> DataFrame:
+    return g.df.select("row", "col", rounded("z", places).alias("value"))
+
+
+@query("g8_aspect", stencil(ORDERS_ND, fx.GT) + ASPECT)
+def g8_aspect(spark, d):
+    return _shown(grid.aspect(fx.orders_nd(spark, d)))
+
+
+@query("g8_aspect_sheared", stencil(ORDERS, fx.SHEARED) + ASPECT)
+def g8_aspect_sheared(spark, d):
+    return _shown(grid.aspect(fx.orders(spark, d, fx.SHEARED)))
+
+
+@query("g9_hillshade", stencil(ORDERS_ND, fx.GT) + SHADE.replace("greatest(0e0, (", "(case when zx is null then null else 1 end) * greatest(0e0, ("))
+def g9_hillshade(spark, d):
+    return _shown(grid.hillshade(fx.orders_nd(spark, d)))
+
+
+@query("m8_aspect_octant", stencil(ORDERS, fx.GT) + f"""select r as "row", c as col, (floor(({q("case when degrees(atan2(-zx, -zy)) < 0 then degrees(atan2(-zx, -zy)) + 360e0 else degrees(atan2(-zx, -zy)) end")} + 22.5e0) / 45e0)::bigint % 8)::int as octant from t where zx * zx + zy * zy > 0""")
+def m8_aspect_octant(spark, d):
+    return _shown(grid.aspect(fx.orders(spark, d))).where("value is not null").select("row", "col", octant(F.col("value")).alias("octant"))
+
+
+# Earthwork ---------------------------------------------------------------------
+
+
+def earth(partial: bool) -> str:
+    whole = "" if partial else "and z00 is not null and z10 is not null and z01 is not null and z11 is not null"
+    return f"""with {ORDERS_ND}, {DESIGN}, f as (select g.r, g.c, g.z - d.z as z from g join d on g.r = d.r and g.c = d.c),
+  q as (select a.r, a.c, a.z as z00, b.z as z10, e.z as z01, h.z as z11 from f a join f b on b.r = a.r and b.c = a.c + 1 join f e on e.r = a.r + 1 and e.c = a.c join f h on h.r = a.r + 1 and h.c = a.c + 1),
+  t as (select r, c, 0 as tri, z00 as d1, z10 as d2, z11 as d3, case when z00 is not null and z10 is not null and z11 is not null {whole} then 1 end as ok from q
+    union all select r, c, 1, z00, z11, z01, case when z00 is not null and z11 is not null and z01 is not null {whole} then 1 end from q),
+  s as (select *, 50e0 * (d1 + d2 + d3) / 3e0 as net, 50e0 / 6e0 * (d1 * d1 + d2 * d2 + d3 * d3 + d1 * d2 + d2 * d3 + d1 * d3) as sq,
+    (d1 > 0)::int + (d2 > 0)::int + (d3 > 0)::int as ups, (d1 < 0)::int + (d2 < 0)::int + (d3 < 0)::int as downs from t where ok = 1),
+  p as (select *, case when d1 > 0 then 50e0 * (d1 / (d1 - d2)) * (d1 / (d1 - d3)) * d1 / 3e0 when d2 > 0 then 50e0 * (d2 / (d2 - d1)) * (d2 / (d2 - d3)) * d2 / 3e0 else 50e0 * (d3 / (d3 - d1)) * (d3 / (d3 - d2)) * d3 / 3e0 end as peak,
+    -(case when d1 < 0 then 50e0 * (d1 / (d1 - d2)) * (d1 / (d1 - d3)) * d1 / 3e0 when d2 < 0 then 50e0 * (d2 / (d2 - d1)) * (d2 / (d2 - d3)) * d2 / 3e0 else 50e0 * (d3 / (d3 - d1)) * (d3 / (d3 - d2)) * d3 / 3e0 end) as pit from s),
+  v as (select *, case when downs = 0 then greatest(0e0, net) when ups = 0 then 0e0 when ups = 1 then peak else greatest(0e0, net + pit) end as cut,
+    case when downs = 0 then 0e0 when ups = 0 then greatest(0e0, -net) when ups = 1 then greatest(0e0, peak - net) else pit end as fill from p)
+  """
+
+
+EARTH_ROWS = f'select t.r as "row", t.c as col, t.tri::int as tri, {q("v.cut", 3)} as cut, {q("v.fill", 3)} as fill from t left join v on t.r = v.r and t.c = v.c and t.tri = v.tri'
+EARTH_SUM = f"""select (149 * (m.h - 1))::bigint as cell_count, n::bigint as valid_triangle_count, (2 * 149 * (m.h - 1) - n)::bigint as skipped_triangle_count, (100 * 149 * (m.h - 1))::double as total_plan_area, 50e0 * n as valid_plan_area,
+  50e0 * n / (100e0 * 149 * (m.h - 1)) as coverage_ratio, {q("cut / 1e6", 3)} as cut_volume, {q("fill / 1e6", 3)} as fill_volume, {q("net / 1e6", 3)} as net_volume, lo as minimum_difference, hi as maximum_difference, {q("net / (50e0 * n)", 3)} as mean_difference, {q("sqrt(sq / (50e0 * n))", 3)} as rmse_difference
+  from m, (select count(*) as n, sum(cut) as cut, sum(fill) as fill, sum(net) as net, sum(sq) as sq, min(least(d1, d2, d3)) as lo, max(greatest(d1, d2, d3)) as hi from v)"""
+
+
+@query("g10_earthwork_triangles", earth(False) + EARTH_ROWS)
+def g10_earthwork_triangles(spark, d):
+    return earthwork.triangles(fx.orders_nd(spark, d), fx.design(spark, d)).select("row", "col", "tri", rounded("cut", 3).alias("cut"), rounded("fill", 3).alias("fill"))
+
+
+def _summed(df: DataFrame) -> DataFrame:
+    volumes = {c: rounded(F.col(c) / 1e6, 3) for c in ("cut_volume", "fill_volume", "net_volume")}
+    return df.withColumns(volumes | {c: rounded(c, 3) for c in ("mean_difference", "rmse_difference")})
+
+
+@query("g10_earthwork_summary", earth(False) + EARTH_SUM)
+def g10_earthwork_summary(spark, d):
+    return _summed(earthwork.summary(fx.orders_nd(spark, d), fx.design(spark, d)))
+
+
+@query("g10_earthwork_partial", earth(True) + EARTH_SUM)
+def g10_earthwork_partial(spark, d):
+    return _summed(earthwork.summary(fx.orders_nd(spark, d), fx.design(spark, d), partial=True))
+
+
+@query("g11_difference_grid", f'with {ORDERS_ND}, {DESIGN} select g.r as "row", g.c as col, g.z - d.z as value from g join d on g.r = d.r and g.c = d.c')
+def g11_difference_grid(spark, d):
+    return plain(earthwork.difference(fx.orders_nd(spark, d), fx.design(spark, d)).df)
+
+
+# Resampling, clipping, overviews -------------------------------------------------
+
+TARGET = (500003.7, 20.0, 0.0, 3199995.9, 0.0, -20.0)
+
+
+def _target(g: Grid) -> GridMeta:
+    return GridMeta(74, max(1, g.meta.height // 2), TARGET, g.meta.crs)
+
+
+_C0, _R0 = (TARGET[0] - fx.GT[0]) * fx.GT[5] / (fx.GT[1] * fx.GT[5]), (TARGET[3] - fx.GT[3]) * fx.GT[1] / (fx.GT[1] * fx.GT[5])
+PLACES = f"""t as (select a.r, b.c, {_C0!r}::double + b.c * 2e0 as x, {_R0!r}::double + a.r * 2e0 as y from (select unnest(range(0, (select greatest(1, h // 2) from m))) as r) a, (select unnest(range(0, 74)) as c) b),
+  k as (select r, c, x, y, case when x <= m.w - 1 and y <= m.h - 1 then least(floor(x), m.w - 2)::bigint end as cc, case when x <= m.w - 1 and y <= m.h - 1 then least(floor(y), m.h - 2)::bigint end as cr from t, m),
+  s as (select k.r, k.c, k.x, k.y, x - cc as u, y - cr as v, a.z as z00, b.z as z10, e.z as z01, f.z as z11 from k
+    left join g a on a.r = cr and a.c = cc left join g b on b.r = cr and b.c = cc + 1 left join g e on e.r = cr + 1 and e.c = cc left join g f on f.r = cr + 1 and f.c = cc + 1)"""
+
+
+@query("g12_resample_nearest", f"""with {ORDERS_ND}, {PLACES} select k.r as "row", k.c as col, g.z as value from k left join g on cc is not null and g.r = floor(k.y + 0.5e0)::bigint and g.c = floor(k.x + 0.5e0)::bigint""")
+def g12_resample_nearest(spark, d):
+    g = fx.orders_nd(spark, d)
+    return plain(grid.resample(g, _target(g), "nearest").df)
+
+
+@query("g13_resample_bilinear", f"""with {ORDERS_ND}, {PLACES} select r as "row", c as col, {q(BILINEAR)} as value from s""")
+def g13_resample_bilinear(spark, d):
+    g = fx.orders_nd(spark, d)
+    return _shown(grid.resample(g, _target(g)))
+
+
+_W = ["(1e0 - u) * (1e0 - v)", "u * (1e0 - v)", "(1e0 - u) * v", "u * v"]
+_Z = ["z00", "z10", "z01", "z11"]
+_SUM = " + ".join(f"coalesce({w} * {z}, 0e0)" for w, z in zip(_W, _Z, strict=True))
+_WSUM = " + ".join(f"(case when {z} is null then 0e0 else {w} end)" for w, z in zip(_W, _Z, strict=True))
+
+
+@query("g13_resample_renormalized", f"""with {ORDERS_ND}, {PLACES} select r as "row", c as col, case when {_WSUM} > 1e-14 then {q(f"({_SUM}) / nullif({_WSUM}, 0)")} end as value from s""")
+def g13_resample_renormalized(spark, d):
+    g = fx.orders_nd(spark, d)
+    return _shown(grid.resample(g, _target(g), renormalize=True))
+
+
+EDGES = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(RING, RING[1:] + RING[:1], strict=True))
+INSIDE = f"""i as (select g.r, g.c, g.z, count(*) filter ((ay > r) <> (by_ > r) and c < ax + (r - ay) * (bx - ax) / nullif(by_ - ay, 0)) % 2 = 1 as inside
+  from g, (values {EDGES}) e(ax, ay, bx, by_) group by g.r, g.c, g.z)"""
+
+
+@query("g14_clip_mask", f'with {ORDERS_ND}, {INSIDE} select r as "row", c as col, case when inside then z end as value from i')
+def g14_clip_mask(spark, d):
+    return plain(grid.clip(fx.orders_nd(spark, d), RING, node_space=True).df)
+
+
+@query("g15_clip_crop", f'with {ORDERS_ND}, {INSIDE} select r - 2 as "row", c - 11 as col, case when inside then z end as value from i where r between 2 and 8 and c between 11 and 120')
+def g15_clip_crop(spark, d):
+    return plain(grid.clip(fx.orders_nd(spark, d), RING, crop=True, node_space=True).df)
+
+
+@query("g16_clip_invert", f'with {ORDERS_ND}, {INSIDE} select r as "row", c as col, case when not inside then z end as value from i')
+def g16_clip_invert(spark, d):
+    return plain(grid.clip(fx.orders_nd(spark, d), RING, invert=True, node_space=True).df)
+
+
+def bins(agg: str, strict: bool = False) -> str:
+    value = f"case when count(*) = count(z) then {agg} end" if strict else agg
+    return f"""with {ORDERS_ND} select ((r + 1) * (h * 3 // 10) - 1) // h as bin_row, ((c + 1) * 40 - 1) // 150 as bin_col, {value} as value, count(z)::bigint as valid, (count(*) - count(z))::bigint as nodata from g, m group by 1, 2"""
+
+
+def _bins(spark, d, method, **k):
+    g = fx.orders_nd(spark, d)
+    return grid.overview(g, 40, g.meta.height * 3 // 10, method, **k)
+
+
+@query("g17_overview_average", bins(q("avg(z)", 4)))
+def g17_overview_average(spark, d):
+    return _bins(spark, d, "average").withColumn("value", rounded("value", 4))
+
+
+@query("g17_overview_minimum", bins("min(z)"))
+def g17_overview_minimum(spark, d):
+    return _bins(spark, d, "minimum")
+
+
+@query("g17_overview_maximum", bins("max(z)"))
+def g17_overview_maximum(spark, d):
+    return _bins(spark, d, "maximum")
+
+
+@query("g17_overview_strict", bins(q("avg(z)", 4), True))
+def g17_overview_strict(spark, d):
+    return _bins(spark, d, "average", strict=True).withColumn("value", rounded("value", 4))
+
+
+@query("g18_overview_nearest", f"""with {ORDERS_ND}, b as (select i, j, ((2 * i + 1) * h) // (2 * (h * 3 // 10)) as r, ((2 * j + 1) * 150) // 80 as c from m, (select unnest(range(0, (select h * 3 // 10 from m))) as i), (select unnest(range(0, 40)) as j))
+  select i as bin_row, j as bin_col, z as value, (z is not null)::bigint as valid, (z is null)::bigint as nodata from b join g using (r, c)""")
+def g18_overview_nearest(spark, d):
+    return _bins(spark, d, "nearest")
+
+
+@query("g19_overview_statistics", f"with {ORDERS_ND} select count(z)::bigint as valid, (count(*) - count(z))::bigint as nodata, min(z) as minimum, max(z) as maximum, {q('avg(z)', 4)} as mean from g")
+def g19_overview_statistics(spark, d):
+    return grid.overview_statistics(fx.orders_nd(spark, d)).withColumn("mean", rounded("mean", 4))
+
+
+PYRAMID = "l1 as (select r // 2 as r, c // 2 as c, avg(z) as z from g group by 1, 2), l2 as (select r // 2 as r, c // 2 as c, avg(z) as z from l1 group by 1, 2), l3 as (select r // 2 as r, c // 2 as c, avg(z) as z from l2 group by 1, 2)"
+for _k in (1, 2, 3):
+
+    @query(f"g20_pyramid_level{_k}", f'with {ORDERS_ND}, {PYRAMID} select r as "row", c as col, {q("z", 4)} as value from l{_k}')
+    def g20_pyramid(spark, d, k=_k):
+        g = fx.orders_nd(spark, d)
+        for _ in range(k):
+            g = grid.halved(g)
+        return g.df.select("row", "col", rounded("z", 4).alias("value"))
+
+
+BOX = (500123.4, 3199911.0, 500780.9, 3199987.6)
+
+
+@query("g21_view_window", f"""with {ORDERS}, b as (select greatest(floor(12.34e0), 0)::bigint as c0, ceil(78.09e0)::bigint as c1, greatest(floor({(3200000 - BOX[3]) / 10!r}::double), 0)::bigint as r0, least(ceil({(3200000 - BOX[1]) / 10!r}::double), h - 1)::bigint as r1 from m)
+  select c0 as col, r0 as "row", c1 - c0 + 1 as width, r1 - r0 + 1 as height from b""")
+def g21_view_window(spark, d):
+    (c, r, w, h), _ = view.view_window(fx.orders(spark, d).meta, *BOX)
+    return spark.createDataFrame([(c, r, w, h)], "col long, row long, width long, height long")
+
+
+# Registration and error ----------------------------------------------------------
+
+
+def halton_sql(n: int) -> str:
+    digit = lambda b: f"list_sum(list_transform(range(0, 20), lambda k: ((i // ({b} ** k)::bigint) % {b})::double / ({b}::double ** (k + 1))))"
+    return f"h as (select i as idx, {digit(2)} as h2, {digit(3)} as h3 from range(1, {n + 1}) t(i))"
+
+
+@query("g25_halton", f"with {halton_sql(500)} select idx, {q('h2', 9)} as h2, {q('h3', 9)} as h3 from h")
+def g25_halton(spark, d):
+    return registration.halton(spark, 500).select("idx", rounded("h2", 9).alias("h2"), rounded("h3", 9).alias("h3"))
+
+
+def sampled_sql(points_cte: str, keys: str) -> str:
+    """Bilinear samples of g at the points p, with p's keys."""
+    return f"""{points_cte}, k as (select p.*, case when x >= 0 and y >= 0 and x <= m.w - 1 and y <= m.h - 1 then least(floor(x), m.w - 2)::bigint end as cc, case when x >= 0 and y >= 0 and x <= m.w - 1 and y <= m.h - 1 then least(floor(y), m.h - 2)::bigint end as cr from p, m),
+  s as (select {keys}, x - cc as u, y - cr as v, a.z as z00, b.z as z10, e.z as z01, f.z as z11 from k
+    left join g a on a.r = cr and a.c = cc left join g b on b.r = cr and b.c = cc + 1 left join g e on e.r = cr + 1 and e.c = cc left join g f on f.r = cr + 1 and f.c = cc + 1)"""
+
+
+def _shifted(spark, d) -> tuple[Grid, Grid]:
+    ref = fx.parts(spark, d)
+    return ref, Grid(ref.df.withColumn("z", F.col("z") + 2.0), ref.meta)
+
+
+HP = f"{halton_sql(512)}, hp as (select idx, h2 * 49e0 as hx, h3 * (h - 1) as hy from h, m)"
+
+
+@query("g22_registration_scores", f"""with {PARTS}, {HP}, {sampled_sql("p as (select idx, hx as x, hy as y, 0e0 as dx, 0e0 as dy from hp union all select idx, hx - a * 2.5e0, hy - b * 2.5e0, a * 2.5e0 + 1000, b * 2.5e0 from hp, (select unnest(range(-2, 3)) as a), (select unnest(range(-2, 3)) as b))", "idx, dx, dy")},
+  z as (select idx, dx, dy, {BILINEAR} as z from s), o as (select t.dx - 1000 as dx, t.dy, r.z - (t.z + 2e0) as e from z t join z r on r.idx = t.idx and r.dx = 0 and t.dx > 500 where r.z is not null and t.z is not null)
+  select dx, dy, count(*)::bigint as n, {q("avg(e)")} as dz, {q("sqrt(greatest(0e0, avg(e * e) - avg(e) * avg(e)))")} as rmse from o group by dx, dy""")
+def g22_registration_scores(spark, d):
+    ref, moving = _shifted(spark, d)
+    shifts = [(x * 2.5, y * 2.5) for y in range(-2, 3) for x in range(-2, 3)]
+    s = registration.scores(registration.samples(ref, 512), moving, shifts, estimate_z=True)
+    return s.select("dx", "dy", "n", rounded("dz").alias("dz"), rounded("rmse").alias("rmse"))
+
+
+@query("g22_registration")
+def g22_registration(spark, d):
+    ref, moving = _shifted(spark, d)
+    r = registration.register(ref, moving, budget=256, minimum=16, most=2.0, least=0.5)
+    return spark.createDataFrame([(r.dx, r.dy, r.dz, r.rmse_after, r.overlap, r.valid, r.candidates)], "dx double, dy double, dz double, rmse double, overlap double, valid long, candidates long")
+
+
+@query("g23_surface_error", f"""with {PARTS}, {HP}, {sampled_sql("p as (select idx, hx as x, hy as y, 0 as side from hp union all select idx, hx - 0.5e0, hy - 0.25e0, 1 from hp)", "idx, side")},
+  z as (select idx, side, {BILINEAR} as z from s), e as (select a.z - (b.z + 2e0 - 2e0) as e from z a join z b on a.idx = b.idx and a.side = 0 and b.side = 1 where a.z is not null and b.z is not null)
+  select count(*)::bigint as valid_count, {q("min(e)")} as minimum_error, {q("max(e)")} as maximum_error, {q("avg(e)")} as mean_error, {q("avg(abs(e))")} as mean_absolute_error, {q("sqrt(avg(e * e))")} as rmse, {q("max(abs(e))")} as maximum_absolute_error, 512::bigint as attempted_count from e""")
+def g23_surface_error(spark, d):
+    ref, moving = _shifted(spark, d)
+    e = registration.error(ref, moving, dx=0.5, dy=0.25, dz=-2.0, minimum=64, budget=512)
+    return e.select("valid_count", *(rounded(c).alias(c) for c in ("minimum_error", "maximum_error", "mean_error", "mean_absolute_error", "rmse", "maximum_absolute_error")), "attempted_count")
+
+
+@query("g24_apply_registration", f"""with {PARTS}, {sampled_sql("p as (select r, c, c - 0.5e0 as x, r - 0.25e0 as y from g)", "k.r, k.c")} select r as "row", c as col, {q(f"{BILINEAR} + 1e0")} as value from s""")
+def g24_apply_registration(spark, d):
+    g = fx.parts(spark, d)
+    return _shown(registration.apply(g, g, 0.5, 0.25, 1.0))
+
+
+# Contours ------------------------------------------------------------------------
+
+GRID_TRI = """q as (select a.r, a.c, a.z as z00, b.z as z10, e.z as z01, f.z as z11 from g a join g b on b.r = a.r and b.c = a.c + 1 join g e on e.r = a.r + 1 and e.c = a.c join g f on f.r = a.r + 1 and f.c = a.c + 1),
+  t as (select r, c, 0 as tri, c::double as ax, r::double as ay, z00 as az, c + 1e0 as bx, r::double as by_, z10 as bz, c + 1e0 as cx, r + 1e0 as cy, z11 as cz from q
+    union all select r, c, 1, c::double, r::double, z00, c + 1e0, r + 1e0, z11, c::double, r + 1e0, z01 from q)"""
+
+
+def crossing_sql(own: str, interval: float) -> str:
+    return f"""l as (select *, unnest(range(ceil(least(az, bz, cz) / {interval}e0)::bigint, floor(greatest(az, bz, cz) / {interval}e0)::bigint + 1)) * {interval}e0 as level from t),
+  e as (select *, (az > level) <> (bz > level) as h1, (bz > level) <> (cz > level) as h2, (cz > level) <> (az > level) as h3 from l),
+  x as (select {own}, level, case when h1 then ax + (level - az) / nullif(bz - az, 0) * (bx - ax) else bx + (level - bz) / nullif(cz - bz, 0) * (cx - bx) end as x1,
+    case when h1 then ay + (level - az) / nullif(bz - az, 0) * (by_ - ay) else by_ + (level - bz) / nullif(cz - bz, 0) * (cy - by_) end as y1,
+    case when h1 and h2 then bx + (level - bz) / nullif(cz - bz, 0) * (cx - bx) else cx + (level - cz) / nullif(az - cz, 0) * (ax - cx) end as x2,
+    case when h1 and h2 then by_ + (level - bz) / nullif(cz - bz, 0) * (cy - by_) else cy + (level - cz) / nullif(az - cz, 0) * (ay - cy) end as y2 from e where h1::int + h2::int + h3::int = 2),
+  seg as (select * from x where (x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2) > 1e-24)"""
+
+
+@query("v8_contours_from_grid", f"""with {PARTS}, {GRID_TRI}, {crossing_sql("r, c, tri", 5)} select level, r as "row", c as col, tri::int as tri, {q("x1")} as x1, {q("y1")} as y1, {q("x2")} as x2, {q("y2")} as y2 from seg""")
+def v8_contours_from_grid(spark, d):
+    s = contour.from_grid(fx.parts(spark, d), 5.0)
+    return s.select("level", "row", "col", "tri", *(rounded(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query("v9_contour_levels", f"with {PARTS} select unnest(range(ceil((min(z) - 1e0) / 7e0)::bigint, floor((max(z) - 1e0) / 7e0)::bigint + 1)) * 7e0 + 1e0 as level from g")
+def v9_contour_levels(spark, d):
+    low, high = fx.parts(spark, d).df.agg(F.min("z"), F.max("z")).first()
+    return spark.createDataFrame([(v,) for v in contour.levels(low, high, 7.0, 1.0)], "level double")
+
+
+@query("v10_stitch_length", f"""with {PARTS}, {GRID_TRI}, {crossing_sql("r, c, tri", 5)} select level, {q("sum(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)))", 4)} as length, count(*)::bigint as segments from seg group by level""")
+def v10_stitch_length(spark, d):
+    lines = contour.stitch(contour.from_grid(fx.parts(spark, d), 5.0), 1e-9)
+    s = contour.line_statistics(lines)
+    return s.groupBy("level").agg(rounded(F.sum("length"), 4).alias("length"), F.sum(F.col("points") - 1).alias("segments"))
+
+
+@query("v11_contour_info", f"""with {PARTS}, {GRID_TRI}, {crossing_sql("r, c, tri", 5)} select min(level) as minimum_level, max(level) as maximum_level, {q("least(min(x1), min(x2))")} as xmin, {q("least(min(y1), min(y2))")} as ymin, {q("greatest(max(x1), max(x2))")} as xmax, {q("greatest(max(y1), max(y2))")} as ymax from seg""")
+def v11_contour_info(spark, d):
+    s = contour.summary(contour.stitch(contour.from_grid(fx.parts(spark, d), 5.0), 1e-9))
+    return s.select("minimum_level", "maximum_level", *(rounded(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+def _lines(spark, d) -> DataFrame:
+    """Ten polylines of five points each from the lattice of suppliers."""
+    p = fx.suppliers(spark, d).where("id <= 50")
+    line = F.expr("(id - 1) div 5")
+    pts = F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), F.lit(0.0).alias("z")))
+    return p.groupBy(line.alias("line_id")).agg(pts.alias("pts")).select("line_id", (F.col("line_id") * 10.0).alias("elevation"), (F.col("line_id") % 2 == 0).alias("closed"), "pts")
+
+
+LATTICE = "x as (select s_suppkey as k, ((s_suppkey * s_suppkey * 7 + s_suppkey * 15485863) % 100003)::double as x, ((s_suppkey * s_suppkey * s_suppkey + s_suppkey * 32452843) % 100019)::double as y, s_acctbal as z from supplier)"
+
+
+@query("v4_contour_points", f"""with {LATTICE}, v as (select k // 5 as line, k % 5 as i, x, y, count(*) over (partition by k // 5) as n from x where k < 50),
+  s as (select a.line, a.i, a.x as px, a.y as py, b.x as qx, b.y as qy, a.i = (case when a.line % 2 = 0 then a.n - 1 else a.n - 2 end) as last from v a join v b on a.line = b.line and b.i = (a.i + 1) % a.n where a.line % 2 = 0 or a.i < a.n - 1),
+  d as (select *, greatest(1, ceil(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) / 5000e0))::bigint as n from s),
+  e as (select line, px, py, qx, qy, n, unnest(range(0, case when last then n + 1 else n end)) as part from d)
+  select {q("x", 3)} as x, {q("y", 3)} as y, z from (select distinct px + part::double / n * (qx - px) as x, py + part::double / n * (qy - py) as y, line * 10e0 as z from e)""")
+def v4_contour_points(spark, d):
+    return contour.surface_points(_lines(spark, d), 5000.0).select(rounded("x", 3).alias("x"), rounded("y", 3).alias("y"), "z")
+
+
+@query("v3_points_from_grid", f"with {ORDERS} select r * 150 + c + 1 as id, 500000e0 + c * 10e0 as x, 3200000e0 + r * -10e0 as y, z from g")
+def v3_points_from_grid(spark, d):
+    return convert.points_from_grid(fx.orders(spark, d))
+
+
+# Meshes --------------------------------------------------------------------------
+
+PTS = f"{LATTICE}, pts as (select k + 1 as id, x::bigint as x, y::bigint as y, z from x)"
+
+
+def delaunay_sql(pts: str, name: str) -> str:
+    """Triples whose circumcircle holds no point, in whole numbers."""
+    return f"""{name}_t as materialized (select a.id as a, b.id as b, c.id as c, a.x as ax, a.y as ay, a.z as az, b.x as bx, b.y as by_, b.z as bz, c.x as cx, c.y as cy, c.z as cz, sign((b.x - a.x)::hugeint * (c.y - a.y) - (b.y - a.y)::hugeint * (c.x - a.x)) as turn
+    from {pts} a join {pts} b on a.id < b.id join {pts} c on b.id < c.id where (b.x - a.x)::hugeint * (c.y - a.y) <> (b.y - a.y)::hugeint * (c.x - a.x)),
+  {name} as materialized (select * from {name}_t t where not exists (select 1 from {pts} p where p.id not in (a, b, c) and turn * (
+    ((ax - p.x)::hugeint * (ax - p.x) + (ay - p.y)::hugeint * (ay - p.y)) * ((bx - p.x)::hugeint * (cy - p.y) - (by_ - p.y)::hugeint * (cx - p.x))
+    - ((bx - p.x)::hugeint * (bx - p.x) + (by_ - p.y)::hugeint * (by_ - p.y)) * ((ax - p.x)::hugeint * (cy - p.y) - (ay - p.y)::hugeint * (cx - p.x))
+    + ((cx - p.x)::hugeint * (cx - p.x) + (cy - p.y)::hugeint * (cy - p.y)) * ((ax - p.x)::hugeint * (by_ - p.y) - (ay - p.y)::hugeint * (bx - p.x))) > 0))"""
+
+
+DT = f"{PTS}, {delaunay_sql('pts', 'dt')}"
+
+
+def tin(spark, d) -> Mesh:
+    return mesh.build(fx.suppliers(spark, d))
+
+
+@query("t1_delaunay", f"with {DT} select a, b, c from dt")
+def t1_delaunay(spark, d):
+    return tin(spark, d).triangles.select("a", "b", "c")
+
+
+@query("t1_delaunay_tiled")
+def t1_delaunay_tiled(spark, d):
+    return mesh.build(fx.customers(spark, d), tile_points=60).triangles.select("a", "b", "c")
+
+
+@query("t1_edges", f"with {DT}, e as (select a as u, b as v from dt union all select b, c from dt union all select a, c from dt) select u, v, count(*)::bigint as faces from e group by u, v")
+def t1_edges(spark, d):
+    return mesh.edges(tin(spark, d))
+
+
+NEW = (50001, 50002, 7.5)
+WITH_NEW = f"pts2 as (select * from pts union all select (select max(id) + 1 from pts), {NEW[0]}, {NEW[1]}, {NEW[2]}::double)"
+
+
+@query("t2_insert_effect", f"""with {DT}, {WITH_NEW}, {delaunay_sql('pts2', 'd2')} select 'removed_triangle' as change, a, b, c from (select a, b, c from dt except select a, b, c from d2) union all select 'added_triangle', a, b, c from (select a, b, c from d2 except select a, b, c from dt)""")
+def t2_insert_effect(spark, d):
+    _, e = mesh.insert_point(tin(spark, d), *NEW)
+    return e.where("change in ('removed_triangle', 'added_triangle')")
+
+
+@query("t14_insert_edges", f"""with {DT}, {WITH_NEW}, {delaunay_sql('pts2', 'd2')}, e1 as (select a as u, b as v from dt union select b, c from dt union select a, c from dt), e2 as (select a as u, b as v from d2 union select b, c from d2 union select a, c from d2)
+  select 'removed_edge' as change, u as a, v as b, null::bigint as c from (select * from e1 except select * from e2) union all select 'added_edge', u, v, null from (select * from e2 except select * from e1)""")
+def t14_insert_edges(spark, d):
+    _, e = mesh.insert_point(tin(spark, d), *NEW)
+    return e.where("change in ('removed_edge', 'added_edge')")
+
+
+@query("t2_insert_outside", f"""with {DT}, pts2 as (select * from pts union all select (select max(id) + 1 from pts), 150000, -20000, 1::double), {delaunay_sql('pts2', 'd2')} select a, b, c from d2""")
+def t2_insert_outside(spark, d):
+    m, _ = mesh.insert_point(tin(spark, d), 150000.0, -20000.0, 1.0)
+    return m.triangles.select("a", "b", "c")
+
+
+DELETED = "pts2 as (select * from pts where id <> 7)"
+
+
+@query("t4_delete_effect", f"""with {DT}, {DELETED}, {delaunay_sql('pts2', 'd2')} select 'removed_triangle' as change, a, b, c from (select a, b, c from dt except select a, b, c from d2) union all select 'added_triangle', a, b, c from (select a, b, c from d2 except select a, b, c from dt)""")
+def t4_delete_effect(spark, d):
+    _, e = mesh.delete_vertex(tin(spark, d), 7)
+    return e.where("change in ('removed_triangle', 'added_triangle')")
+
+
+@query("t3_delete_nearest", f"""with {PTS}, n as (select id from pts order by (x - 30000)::hugeint * (x - 30000) + (y - 60000)::hugeint * (y - 60000), id limit 1), pts2 as (select * from pts where id not in (select id from n)), {delaunay_sql('pts2', 'd2')} select a, b, c from d2""")
+def t3_delete_nearest(spark, d):
+    m, _ = mesh.delete_nearest(tin(spark, d), 30000.0, 60000.0)
+    return m.triangles.select("a", "b", "c")
+
+
+@query("t5_update_z", f"with {PTS} select id, x::double as x, y::double as y, case when id % 3 = 0 then id * 10e0 else z end as z from pts")
+def t5_update_z(spark, d):
+    m = tin(spark, d)
+    return mesh.update_z(m, m.vertices.where("id % 3 = 0").select("id", (F.col("id") * 10.0).alias("z"))).vertices
+
+
+CUST = "qs as (select c_custkey as qid, (c_custkey * c_custkey * 7 + c_custkey * 15485863) % 100003 as x, (c_custkey * c_custkey * c_custkey + c_custkey * 32452843) % 100019 as y from customer where c_custkey >= 100)"
+
+
+def asked(spark, d) -> DataFrame:
+    return fx.customers(spark, d).where("id > 100").select((F.col("id") - 1).alias("qid"), "x", "y")
+
+
+@query("t6_nearest", f"with {PTS}, {CUST}, p as (select q.qid, p.id, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) as d2, row_number() over (partition by q.qid order by (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y), p.id) as n from qs q, pts p) select qid, id, d2::double as d2 from p where n = 1")
+def t6_nearest(spark, d):
+    return mesh.nearest(tin(spark, d), asked(spark, d)).select("qid", "id", "d2")
+
+
+HITS = """hit as (select q.qid, q.x, q.y, t.*, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) as det, turn * ((cx - bx) * (q.y - by_) - (cy - by_) * (q.x - bx)) as wa, turn * ((ax - cx) * (q.y - cy) - (ay - cy) * (q.x - cx)) as wb, turn * ((bx - ax) * (q.y - ay) - (by_ - ay) * (q.x - ax)) as wc from qs q, dt t),
+  one as (select *, row_number() over (partition by qid order by a, b, c) as n from hit where wa >= 0 and wb >= 0 and wc >= 0)"""
+
+
+@query("t7_locate", f"with {DT}, {CUST}, {HITS} select q.qid, case (wa = 0)::int + (wb = 0)::int + (wc = 0)::int when 0 then 'FACE' when 1 then 'EDGE' when 2 then 'VERTEX' else 'OUTSIDE_HULL' end as type, a, b, c from qs q left join one on one.qid = q.qid and n = 1")
+def t7_locate(spark, d):
+    return mesh.locate(tin(spark, d), asked(spark, d))
+
+
+PLANE = "az + ((bz - az) * (cy - ay) - (by_ - ay) * (cz - az)) / det::double * (x - ax) + ((bx - ax) * (cz - az) - (bz - az) * (cx - ax)) / det::double * (y - ay)"
+
+
+@query("t9_surface", f"with {DT}, {CUST}, {HITS} select q.qid, {q(PLANE.replace(' (x - ax)', ' (one.x - ax)').replace(' (y - ay)', ' (one.y - ay)'), 4)} as z, {q('((bz - az) * (cy - ay) - (by_ - ay) * (cz - az)) / det::double', 8)} as dz_dx from qs q left join one on one.qid = q.qid and n = 1")
+def t9_surface(spark, d):
+    return mesh.surface(tin(spark, d).triangles, asked(spark, d)).select("qid", rounded("z", 4).alias("z"), rounded("dz_dx", 8).alias("dz_dx"))
+
+
+BOX_T = (30000.0, 40000.0, 45000.0, 52000.0)
+
+
+def sat_sql() -> str:
+    x0, y0, x1, y1 = (int(v) for v in BOX_T)
+    parts = [f"greatest(ax, bx, cx) >= {x0} and least(ax, bx, cx) <= {x1} and greatest(ay, by_, cy) >= {y0} and least(ay, by_, cy) <= {y1}"]
+    for (px, py), (qx, qy) in ((("ax", "ay"), ("bx", "by_")), (("bx", "by_"), ("cx", "cy")), (("cx", "cy"), ("ax", "ay"))):
+        corners = ", ".join(f"turn * (({qx} - {px}) * ({y} - {py}) - ({qy} - {py}) * ({x} - {px}))" for x in (x0, x1) for y in (y0, y1))
+        parts.append(f"greatest({corners}) >= 0")
+    return " and ".join(parts)
+
+
+@query("t8_window", f"with {DT} select a, b, c from dt where {sat_sql()}")
+def t8_window(spark, d):
+    return mesh.window(tin(spark, d).triangles, *BOX_T).select("a", "b", "c")
+
+
+@query("t10_statistics", f"with {DT} select 2::int as dimension, (select count(*) from pts)::bigint as vertex_count, (select count(*) from dt)::bigint as face_count, 1::bigint as generation, min(x)::double as xmin, min(y)::double as ymin, max(x)::double as xmax, max(y)::double as ymax from pts")
+def t10_statistics(spark, d):
+    return mesh.statistics(tin(spark, d))
+
+
+@query("t11_validate", f"with {DT}, e as (select a as u, b as v from dt union all select b, c from dt union all select a, c from dt) select 0::bigint as crowded_edges, 0::bigint as not_delaunay, count(*)::bigint as hull_edges, true as euler from (select u, v from e group by u, v having count(*) = 1)")
+def t11_validate(spark, d):
+    return mesh.validate(tin(spark, d))
+
+
+@query("t12_vertices", f"with {PTS} select id, x::double as x, y::double as y, z from pts")
+def t12_vertices(spark, d):
+    return tin(spark, d).vertices
+
+
+@query("t13_triangles", f"with {DT} select a, b, c, az, bz, cz from dt")
+def t13_triangles(spark, d):
+    return tin(spark, d).triangles.select("a", "b", "c", "az", "bz", "cz")
+
+
+GRID_V1 = (1000.0, 2500.0, 0.0, 99000.0, 0.0, -2500.0)
+
+
+@query("v1_grid_from_tin", f"""with {DT}, qs as (select r * 40 + c as qid, r, c, 1000 + c * 2500 as x, 99000 - r * 2500 as y from (select unnest(range(0, 40)) as r), (select unnest(range(0, 40)) as c)), {HITS}
+  select q.r as "row", q.c as col, {q(PLANE.replace(' (x - ax)', ' (one.x - ax)').replace(' (y - ay)', ' (one.y - ay)'), 4)} as value from qs q left join one on one.qid = q.qid and n = 1""")
+def v1_grid_from_tin(spark, d):
+    g = convert.grid_from_mesh(tin(spark, d), GridMeta(40, 40, GRID_V1))
+    return g.df.select("row", "col", rounded("z", 4).alias("value"))
+
+
+TIN_T = "t as (select a, b, c, ax::double as ax, ay::double as ay, az, bx::double as bx, by_::double as by_, bz, cx::double as cx, cy::double as cy, cz from dt)"
+
+
+@query("v6_contours_from_tin", f"with {DT}, {TIN_T}, {crossing_sql('a, b, c', 500)} select a, b, c, level, {q('x1', 3)} as x1, {q('y1', 3)} as y1, {q('x2', 3)} as x2, {q('y2', 3)} as y2 from seg")
+def v6_contours_from_tin(spark, d):
+    s = contour.from_mesh(tin(spark, d), 500.0)
+    return s.select("a", "b", "c", "level", *(rounded(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query("v5_grid_from_contours")
+def v5_grid_from_contours(spark, d):
+    return plain(convert.grid_from_contours(_lines(spark, d), GridMeta(20, 20, (0.0, 5000.0, 0.0, 100000.0, 0.0, -5000.0)), 5000.0).df)
+
+
+@query("p1_clip_exact")
+def p1_clip_exact(spark, d):
+    p = convert.clip_exact(tin(spark, d).triangles, [(20000.0, 20000.0), (80000.0, 25000.0), (70000.0, 80000.0), (25000.0, 70000.0)], [[(40000.0, 40000.0), (60000.0, 42000.0), (50000.0, 60000.0)]])
+    return p.select("a", "b", "c", rounded("area", 2).alias("area"), "rings")
+
+
+@query("p1_clip_area", f"select {q('(abs(a) - abs(h)) / 1e6', 3)} as area from (select sum(x1 * y2 - x2 * y1) / 2 as a from (values (20000e0, 20000e0, 80000e0, 25000e0), (80000e0, 25000e0, 70000e0, 80000e0), (70000e0, 80000e0, 25000e0, 70000e0), (25000e0, 70000e0, 20000e0, 20000e0)) t(x1, y1, x2, y2)), (select sum(x1 * y2 - x2 * y1) / 2 as h from (values (40000e0, 40000e0, 60000e0, 42000e0), (60000e0, 42000e0, 50000e0, 60000e0), (50000e0, 60000e0, 40000e0, 40000e0)) t(x1, y1, x2, y2))")
+def p1_clip_area(spark, d):
+    return p1_clip_exact(spark, d).agg(rounded(F.sum("area") / 1e6, 3).alias("area"))
+
+
+# Constrained meshes ----------------------------------------------------------------
+
+CONS = f"{LATTICE}, cons as (select k % 20 + 1 as cid, k // 20 as seq, x, y from x where k < 40)"
+SEGS = f"{CONS}, segs as (select a.cid, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from cons a join cons b on a.cid = b.cid and a.seq = 0 and b.seq = 1)"
+CROSS = f"""{SEGS}, cr as (select l.cid as a, r.cid as b, (l.bx - l.ax) * (r.by_ - r.ay) - (l.by_ - l.ay) * (r.bx - r.ax) as det, l.ax, l.ay, l.bx, l.by_,
+    (r.ax - l.ax) * (r.by_ - r.ay) - (r.ay - l.ay) * (r.bx - r.ax) as tn, (r.ax - l.ax) * (l.by_ - l.ay) - (r.ay - l.ay) * (l.bx - l.ax) as un from segs l join segs r on l.cid < r.cid),
+  hit as (select a, b, tn / det as t, un / det as u, ax + tn / det * (bx - ax) as x, ay + tn / det * (by_ - ay) as y from cr where det <> 0 and tn / det between 0 and 1 and un / det between 0 and 1)"""
+
+
+@query("c8_crossings", f"with {CROSS} select a, b, {q('t', 9)} as t, {q('u', 9)} as u, {q('x', 4)} as x, {q('y', 4)} as y from hit")
+def c8_crossings(spark, d):
+    s = cdt.segments(fx.constraints(spark, d)).withColumn("sid", F.col("cid"))
+    return cdt.crossings(s).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), rounded("t", 9).alias("t"), rounded("u", 9).alias("u"), rounded("x", 4).alias("x"), rounded("y", 4).alias("y"))
+
+
+@query("c8_noding", f"with {CROSS}, n as (select cid, seq::double as at, x, y from cons union all select a, t, x, y from hit union all select b, u, x, y from hit) select cid, (row_number() over (partition by cid order by at) - 1)::bigint as seq, {q('x', 4)} as x, {q('y', 4)} as y from n")
+def c8_noding(spark, d):
+    return cdt.noded(fx.constraints(spark, d), policy="split").select("cid", "seq", rounded("x", 4).alias("x"), rounded("y", 4).alias("y"))
+
+
+@query("c5_vertex_usage", f"with {CONS}, w as (select cid, x, y from cons union all select cid + 100, x, y from cons where cid % 2 = 0) select w.x, w.y, count(distinct cid)::bigint as constraint_count, count(*)::bigint as reference_count, bool_or(x.k is not null and x.k < 10) as is_base_point from w left join x on x.x = w.x and x.y = w.y group by w.x, w.y")
+def c5_vertex_usage(spark, d):
+    c = fx.constraints(spark, d)
+    both = c.unionByName(c.where("cid % 2 = 0").withColumn("cid", F.col("cid") + 100))
+    return cdt.vertex_usage(both, fx.suppliers(spark, d).where("id <= 10"))
+
+
+@query("c4_remove_constraint", f"with {CONS} select cid, seq, x, y from cons where cid <> 3")
+def c4_remove_constraint(spark, d):
+    return cdt.remove_constraint(fx.constraints(spark, d), 3).select("cid", "seq", "x", "y")
+
+
+@query("c6_remove_vertex", f"with {CONS} select cid, case when cid = 5 then 0 else seq end::bigint as seq, x, y from cons where not (cid = 5 and seq = 0)")
+def c6_remove_vertex(spark, d):
+    return cdt.remove_vertex(fx.constraints(spark, d), 5, 0).select("cid", "seq", "x", "y")
+
+
+def _edits(spark, d) -> DataFrame:
+    c = fx.constraints(spark, d)
+    up = c.where("cid % 4 = 0").withColumn("x", F.col("x") + 1.0).withColumn("order", F.lit(1).cast("long")).withColumn("op", F.lit("update"))
+    gone = c.where("cid % 8 = 0 and seq = 0").withColumn("order", F.lit(2).cast("long")).withColumn("op", F.lit("remove"))
+    new = c.where("cid = 1").withColumn("cid", F.lit(99).cast("long")).withColumn("order", F.lit(3).cast("long")).withColumn("op", F.lit("add"))
+    return up.unionByName(gone).unionByName(new)
+
+
+@query("c7_edit_log", f"with {CONS} select cid, seq, case when cid % 4 = 0 then x + 1 else x end as x, y from cons where cid % 8 <> 0 union all select 99, seq, x, y from cons where cid = 1")
+def c7_edit_log(spark, d):
+    return cdt.apply_edits(fx.constraints(spark, d), _edits(spark, d)).select("cid", "seq", "x", "y")
+
+
+@query("c3_update_constraint", f"with {CONS} select cid, seq, case when cid = 2 then x + 10 else x end as x, y from cons")
+def c3_update_constraint(spark, d):
+    c = fx.constraints(spark, d)
+    up = c.where("cid = 2").withColumn("x", F.col("x") + 10.0).withColumn("order", F.lit(1).cast("long")).withColumn("op", F.lit("update"))
+    return cdt.apply_edits(c, up).select("cid", "seq", "x", "y")
+
+
+@query("c2_faults", "select 1::bigint as cid, 'two_heights' as fault union all select 2, 'zero_length_segment' union all select 3, 'hole_without_outer' union all select 3, 'too_few_points'")
+def c2_faults(spark, d):
+    rows = [(1, 1, False, 0, 0.0, 0.0, 1.0), (1, 1, False, 1, 5.0, 5.0, 1.0), (2, 1, False, 0, 0.0, 0.0, 2.0), (2, 1, False, 1, 7.0, 0.0, 0.0), (2, 1, False, 2, 7.0, 0.0, 0.0), (3, 3, True, 0, 1.0, 1.0, 0.0), (3, 3, True, 1, 2.0, 1.0, 0.0)]
+    return cdt.faults(spark.createDataFrame(rows, "cid long, kind int, closed boolean, seq long, x double, y double, z double"))
+
+
+RINGS = "ring as (select * from (values (10000e0, 12000e0, 90000e0, 15000e0), (90000e0, 15000e0, 85000e0, 88000e0), (85000e0, 88000e0, 20000e0, 80000e0), (20000e0, 80000e0, 10000e0, 12000e0), (40000e0, 40000e0, 60000e0, 42000e0), (60000e0, 42000e0, 55000e0, 61000e0), (55000e0, 61000e0, 40000e0, 40000e0)) r(ex1, ey1, ex2, ey2))"
+DOM = f"{DT}, {RINGS}, dom as (select a, b, c, any_value(turn) as turn, any_value(ax) as ax, any_value(ay) as ay, any_value(bx) as bx, any_value(by_) as by_, any_value(cx) as cx, any_value(cy) as cy, count(*) filter ((ey1 > (ay + by_ + cy) / 3e0) <> (ey2 > (ay + by_ + cy) / 3e0) and (ax + bx + cx) / 3e0 < ex1 + ((ay + by_ + cy) / 3e0 - ey1) * (ex2 - ex1) / nullif(ey2 - ey1, 0)) % 2 = 1 as in_domain from dt, ring group by a, b, c)"
+
+
+@query("c12_domain", f"with {DOM} select a, b, c, in_domain from dom")
+def c12_domain(spark, d):
+    return cdt.domain(tin(spark, d).triangles, fx.rings(spark)).select("a", "b", "c", "in_domain")
+
+
+@query("c13_domain_window", f"with {DOM} select a, b, c from dom where in_domain and {sat_sql()}")
+def c13_domain_window(spark, d):
+    marked = cdt.domain(tin(spark, d).triangles, fx.rings(spark))
+    return mesh.window(marked.where("in_domain"), *BOX_T).select("a", "b", "c")
+
+
+@query("c14_domain_sample", f"with {DOM}, {CUST}, {HITS.replace('dt t', '(select dt.* from dt join dom using (a, b, c) where in_domain) t')} select q.qid, {q(PLANE.replace(' (x - ax)', ' (one.x - ax)').replace(' (y - ay)', ' (one.y - ay)'), 4)} as z from qs q left join one on one.qid = q.qid and n = 1")
+def c14_domain_sample(spark, d):
+    marked = cdt.domain(tin(spark, d).triangles, fx.rings(spark))
+    return cdt.sample(marked, asked(spark, d)).select("qid", rounded("z", 4).alias("z"))
+
+
+@query("c1_build")
+def c1_build(spark, d):
+    _, marked, _ = cdt.build(fx.suppliers(spark, d), fx.rings(spark))
+    return marked.select("a", "b", "c", "in_domain")
+
+
+@query("c10_statistics", f"with {PTS} select (select count(*) from pts)::bigint + 7 as vertex_count, 2::bigint as constraint_count, 7::bigint as constrained_edge_count, true as domain_smaller from (select 1)")
+def c10_statistics(spark, d):
+    m, marked, cons = cdt.build(fx.suppliers(spark, d), fx.rings(spark))
+    return cdt.statistics(m, marked, cons).select("vertex_count", "constraint_count", "constrained_edge_count", ((F.col("domain_count") > 0) & (F.col("domain_count") < F.col("face_count"))).alias("domain_smaller"))
+
+
+@query("c16_domain_area", f"select {q('4911.5 - 181.5', 3)} as area")
+def c16_domain_area(spark, d):
+    _, marked, _ = cdt.build(fx.suppliers(spark, d), fx.rings(spark))
+    area = F.abs((F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))) * 0.5
+    return marked.where("in_domain").agg(rounded(F.sum(area) / 1e6, 3).alias("area"))
+
+
+@query("p2_clip_domain")
+def p2_clip_domain(spark, d):
+    _, marked, _ = cdt.build(fx.suppliers(spark, d), fx.rings(spark))
+    return convert.clip_exact(marked.where("in_domain"), [(20000.0, 20000.0), (80000.0, 25000.0), (70000.0, 80000.0)]).select("a", "b", "c", rounded("area", 2).alias("area"))
+
+
+@query("v2_grid_from_domain")
+def v2_grid_from_domain(spark, d):
+    _, marked, _ = cdt.build(fx.suppliers(spark, d), fx.rings(spark))
+    return plain(convert.grid_from_domain(marked, GridMeta(40, 40, GRID_V1)).df)
+
+
+@query("v7_contours_from_domain")
+def v7_contours_from_domain(spark, d):
+    _, marked, _ = cdt.build(fx.suppliers(spark, d), fx.rings(spark))
+    return contour.segments(marked.where("in_domain").drop("in_domain"), 500.0).select("a", "b", "c", "level", "x1", "y1", "x2", "y2")
+
+
+@query("io16_index_window", f"with {CONS} select cid, 1::int as kind, count(*)::bigint as points from cons group by cid having max(x) >= 30000 and min(x) <= 50000 and max(y) >= 30000 and min(y) <= 40000")
+def io16_index_window(spark, d):
+    p = scratch.path(spark, "constraints")
+    tables.save_constraints(fx.constraints(spark, d), p)
+    return tables.query_constraints(spark, p, 30000, 30000, 50000, 40000)
+
+
+@query("io17_read_constraint", f"with {CONS} select cid, seq, x, y from cons where cid = 7")
+def io17_read_constraint(spark, d):
+    p = scratch.path(spark, "constraints")
+    tables.save_constraints(fx.constraints(spark, d), p)
+    return tables.read_constraint(spark, p, 7).select("cid", "seq", "x", "y")
+
+
+# Measurement -----------------------------------------------------------------------
+
+PROFILE = f"""{PARTS}, pr as (select i::int as idx, i / 400e0 as t from range(0, 401) x(i)), {sampled_sql("p as (select idx, sqrt(45e0 * 45e0 + 30e0 * 30e0) * t as distance, 1e0 + 45e0 * t as x, 2e0 + 30e0 * t as y from pr)", "idx, distance, x, y")}, f as (select idx, distance, x, y, {BILINEAR} as z from s)"""
+
+
+@query("m1_profile", f"with {PROFILE} select idx, {q('distance')} as distance, {q('x')} as x, {q('y')} as y, {q('z')} as z, z is not null as valid, {q('(z - lag(z) over (order by idx)) / (distance - lag(distance) over (order by idx)) * 100e0', 4)} as grade_percent from f")
+def m1_profile(spark, d):
+    p = measure.profile(fx.parts(spark, d), (1.0, 2.0), (46.0, 32.0))
+    return p.select("idx", *(rounded(c).alias(c) for c in ("distance", "x", "y", "z")), "valid", rounded("grade_percent", 4).alias("grade_percent"))
+
+
+@query("m2_profile_statistics", f"""with {PROFILE}, e as (select *, z - lag(z) over (order by idx) as dz, distance - lag(distance) over (order by idx) as step from f)
+  select count(*)::bigint as sample_count, count(z)::bigint as valid_count, {q("min(z)")} as minimum_z, {q("max(z)")} as maximum_z, {q("coalesce(sum(case when dz >= 0 then dz end), 0)", 5)} as ascent, {q("coalesce(sum(case when dz < 0 then -dz end), 0)", 5)} as descent, {q("max(abs(dz / step)) * 100e0", 4)} as maximum_grade_percent from e""")
+def m2_profile_statistics(spark, d):
+    s = measure.profile_statistics(measure.profile(fx.parts(spark, d), (1.0, 2.0), (46.0, 32.0)))
+    return s.select("sample_count", "valid_count", rounded("minimum_z").alias("minimum_z"), rounded("maximum_z").alias("maximum_z"), rounded("ascent", 5).alias("ascent"), rounded("descent", 5).alias("descent"), rounded("maximum_grade_percent", 4).alias("maximum_grade_percent"))
+
+
+POLY = f"{LATTICE}, v as (select k // 5 as poly, k % 5 as seq, x, y, count(*) over (partition by k // 5) as n from x), e as (select a.poly, a.seq, a.n, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from v a join v b on a.poly = b.poly and b.seq = (a.seq + 1) % a.n)"
+
+
+def _polygons(spark, d) -> DataFrame:
+    return fx.suppliers(spark, d).select(F.expr("(id - 1) div 5").alias("poly"), ((F.col("id") - 1) % 5).alias("seq"), "x", "y")
+
+
+@query("m3_polygon_metrics", f"with {POLY} select poly, {q('abs(sum(ax * by_ - bx * ay)) / 2', 2)} as area, {q('sum(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))', 4)} as perimeter from e group by poly")
+def m3_polygon_metrics(spark, d):
+    return measure.polygon_metrics(_polygons(spark, d)).select("poly", rounded("area", 2).alias("area"), rounded("perimeter", 4).alias("perimeter"))
+
+
+@query("m4_polygon_crossings", f"""with {POLY} select p.poly, p.seq as i, r.seq as j from e p join e r on p.poly = r.poly and p.seq + 1 < r.seq and (r.seq + 1) % p.n <> p.seq
+  where ((p.bx - p.ax) * (r.ay - p.ay) - (p.by_ - p.ay) * (r.ax - p.ax)) * ((p.bx - p.ax) * (r.by_ - p.ay) - (p.by_ - p.ay) * (r.bx - p.ax)) < 0
+  and ((r.bx - r.ax) * (p.ay - r.ay) - (r.by_ - r.ay) * (p.ax - r.ax)) * ((r.bx - r.ax) * (p.by_ - r.ay) - (r.by_ - r.ay) * (p.bx - r.ax)) < 0""")
+def m4_polygon_crossings(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("poly").orderBy("seq")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = _polygons(spark, d).withColumn("n", F.count(F.lit(1)).over(whole))
+    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
+    return measure.crossings(e.select("poly", "seq", "n", F.col("x").alias("ax"), F.col("y").alias("ay"), nxt("x").alias("bx"), nxt("y").alias("by")))
+
+
+CONCAVE = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (2.0, 1.0), (0.0, 3.0)]
+
+
+@query("m5_ears", "select 3::bigint as ears, 8e0 as area")
+def m5_ears(spark, d):
+    e = measure.ears(CONCAVE)
+    area = sum(abs(measure._cross(*t)) / 2 for t in e)
+    return spark.createDataFrame([(len(e), area)], "ears long, area double")
+
+
+@query("m6_polygon_volume")
+def m6_polygon_volume(spark, d):
+    return measure.polygon_volume(fx.parts(spark, d), [(x * 4 + 2.3, y * 0.5 + 1.1) for x, y in CONCAVE], 20.0, 2000)
+
+
+@query("m7_nice_interval", f"select o_orderkey, {q('case when n <= 1 then 1e0 when n <= 2 then 2e0 when n <= 5 then 5e0 else 10e0 end * p', 3)} as interval from (select o_orderkey, o_totalprice / 12e0 / pow(10e0, floor(log10(o_totalprice / 12e0))) as n, pow(10e0, floor(log10(o_totalprice / 12e0))) as p from orders where o_totalprice > 0)")
+def m7_nice_interval(spark, d):
+    o = fx.table(spark, d, "orders").where("o_totalprice > 0").select("o_orderkey", "o_totalprice")
+    return measure.nice_intervals(o, "o_totalprice").select("o_orderkey", rounded("interval", 3).alias("interval"))
+
+
+@query("m10_ray_hits", f"with {DT}, {CUST.replace('where c_custkey >= 100', 'where c_custkey = 777')}, {HITS} select a, b, c from one")
+def m10_ray_hits(spark, d):
+    k = 777
+    x, y = float((k * k * 7 + k * 15485863) % 100003), float((k**3 + k * 32452843) % 100019)
+    return measure.ray_hits(tin(spark, d).triangles, (x, y, 1e6), (0.0, 0.0, -1.0)).select("a", "b", "c")
+
+
+@query("m11_chunks", f"with {DT}, n as (select count(*) as n from dt) select i::bigint as chunk, i * 50 as first, least(50, n - i * 50)::bigint as count from n, (select unnest(range(0, (select (n + 49) // 50 from n))) as i)")
+def m11_chunks(spark, d):
+    return measure.chunk_ranges(tin(spark, d).triangles, 50)
+
+
+# Views -----------------------------------------------------------------------------
+
+
+@query("w1_view", f"""with {ORDERS_ND}, v as (select * from g where r between 1 and 8 and c between 12 and 79) select ((r - 1 + 1) * 4 - 1) // 8 as bin_row, ((c - 12 + 1) * 20 - 1) // 68 as bin_col, {q("avg(z)", 4)} as value from v group by 1, 2""")
+def w1_view(spark, d):
+    return view.view(fx.orders_nd(spark, d), (500123.4, 3199920.5, 500788.0, 3199985.0), 20, 4).select("bin_row", "bin_col", rounded("value", 4).alias("value"))
+
+
+def tiles_sql(scale: int) -> str:
+    span = 16 * scale
+    return f"""tt{scale} as (select r // {span} as tr, c // {span} as tc, ((r % {span} + 1) * oh - 1) // hh as i, ((c % {span} + 1) * ow - 1) // ww as j, avg(z) as value
+    from (select *, least({span}, h - (r // {span}) * {span}) as hh, least({span}, w - (c // {span}) * {span}) as ww, (least({span}, h - (r // {span}) * {span}) + {scale - 1}) // {scale} as oh, (least({span}, w - (c // {span}) * {span}) + {scale - 1}) // {scale} as ow from g, m) group by 1, 2, 3, 4)"""
+
+
+@query("w2_tiles", f"with {ORDERS_ND}, {tiles_sql(2)} select tr as tile_row, tc as tile_col, i as r, j as c, {q('value', 4)} as value from tt2")
+def w2_tiles(spark, d):
+    return view.tile_table(fx.orders_nd(spark, d), 2, 16).select("tile_row", "tile_col", "r", "c", rounded("value", 4).alias("value"))
+
+
+def pixels_sql(scale: int, seq: int) -> str:
+    span = 16 * scale
+    return f"""select {seq}::int as sequence, {scale}::int as scale, p.i as out_row, p.j as out_col, {q('t.value', 4)} as value from (select i, j, ((2 * i + 1) * 8) // 8 + 1 as sy, ((2 * j + 1) * 120) // 60 + 10 as sx from (select unnest(range(0, 4)) as i), (select unnest(range(0, 30)) as j)) p, m
+    join tt{scale} t on t.tr = sy // {span} and t.tc = sx // {span} and t.i = least((least({span}, h - (sy // {span}) * {span}) + {scale - 1}) // {scale} - 1, ((sy % {span}) * ((least({span}, h - (sy // {span}) * {span}) + {scale - 1}) // {scale})) // least({span}, h - (sy // {span}) * {span}))
+    and t.j = least((least({span}, w - (sx // {span}) * {span}) + {scale - 1}) // {scale} - 1, ((sx % {span}) * ((least({span}, w - (sx // {span}) * {span}) + {scale - 1}) // {scale})) // least({span}, w - (sx // {span}) * {span}))"""
+
+
+@query("w3_progressive", f"with {ORDERS_ND}, {tiles_sql(8)}, {tiles_sql(4)}, {tiles_sql(2)} {pixels_sql(8, 0)} union all {pixels_sql(4, 1)} union all {pixels_sql(2, 2)}")
+def w3_progressive(spark, d):
+    return view.progressive(fx.orders_nd(spark, d), (10, 1, 120, 8), 30, 4, 3, 16).withColumn("value", rounded("value", 4))
+
+
+@query("w4_cache_statistics", "select 1::bigint as hits, 1::bigint as misses, 1::bigint as tables")
+def w4_cache_statistics(spark, d):
+    cache, g = view.ViewCache(), fx.orders_nd(spark, d)
+    for _ in range(2):
+        cache.read(g, (10, 1, 120, 8), 30, 4, 16).count()
+    s = cache.statistics()
+    cache.clear()
+    return spark.createDataFrame([(s["hits"], s["misses"], s["tables"])], "hits long, misses long, tables long")
+
+
+@query("w6_compact", "select user_id, arg_max(value, event_id) as value, max(event_id) as event_id from events group by user_id")
+def w6_compact(spark, d):
+    return view.compacted(fx.table(spark, d, "events").select("user_id", "value", "event_id"), ["user_id"], "event_id")
+
+
+@query("w7_fingerprint")
+def w7_fingerprint(spark, d):
+    return view.fingerprint(fx.orders_nd(spark, d))
+
+
+@query("io10_block_sums", f"with {ORDERS_ND} select r // 64 as block, count(*)::bigint as nodes from g group by 1")
+def io10_block_sums(spark, d):
+    return view.block_sums(fx.orders_nd(spark, d)).select("block", "nodes")
+
+
+@query("io10_broken_blocks", f"with {ORDERS_ND} select distinct r // 64 as block from g where r = 3 and c = 5 and z is not null")
+def io10_broken_blocks(spark, d):
+    g = fx.orders_nd(spark, d)
+    bad = Grid(g.df.withColumn("z", F.when((F.col("row") == 3) & (F.col("col") == 5), F.col("z") + 1).otherwise(F.col("z"))), g.meta)
+    return view.broken_blocks(bad, view.block_sums(g))
+
+
+@query("io11_window_blocks", "select distinct unnest(range((r * 150 + 20) // 512, (r * 150 + 69) // 512 + 1)) as block from range(2, 9) t(r)")
+def io11_window_blocks(spark, d):
+    return view.window_blocks_table(spark, (20, 2, 50, 7), 150, 512)
+
+
+# Formats: what is written comes back --------------------------------------------------
+
+
+@query("io1_xyz", f"with {LATTICE} select x, y, z from x")
+def io1_xyz(spark, d):
+    p = scratch.path(spark, "xyz")
+    text.write_xyz(fx.suppliers(spark, d), p)
+    return text.read_xyz(spark, p)
+
+
+@query("io2_vertices", f"with {LATTICE} select k + 1 as id, x, y, z from x")
+def io2_vertices(spark, d):
+    p = scratch.path(spark, "vertices")
+    tables.save_mesh(fx.suppliers(spark, d), p)
+    return tables.load_mesh_points(spark, p)
+
+
+@query("io4_mesh_text", f"with {DT} select a, b, c from dt")
+def io4_mesh_text(spark, d):
+    p, m = scratch.path(spark, "mesh"), tin(spark, d)
+    text.write_mesh(m.vertices, m.triangles, p)
+    return text.read_mesh(spark, p)[1]
+
+
+@query("io6_grid_text", f'with {ORDERS_ND} select r as "row", c as col, z as value from g')
+def io6_grid_text(spark, d):
+    p = scratch.path(spark, "grid")
+    text.write_grid(fx.orders_nd(spark, d), p)
+    return plain(text.read_grid(spark, p).df)
+
+
+@query("io8_grid_table", f'with {ORDERS_ND} select r as "row", c as col, z as value from g where r between 3 and 7 and c between 20 and 59')
+def io8_grid_table(spark, d):
+    p = scratch.path(spark, "grid")
+    tables.save_grid(fx.orders_nd(spark, d), p, levels=2)
+    return plain(tables.load_window(spark, p, 20, 3, 40, 5))
+
+
+@query("io13_contours_text", f"with {LATTICE} select k // 5 as line_id, (k // 5) * 10e0 as elevation, (k // 5) % 2 = 0 as closed, k % 5 as i, x, y from x where k < 50")
+def io13_contours_text(spark, d):
+    p = scratch.path(spark, "lines")
+    text.write_lines(_lines(spark, d), p)
+    return text.read_lines(spark, p).select("line_id", "elevation", "closed", F.posexplode("pts").alias("i", "p")).select("line_id", "elevation", "closed", F.col("i").cast("long").alias("i"), "p.x", "p.y")
+
+
+@query("io14_constraints_text", f"with {CONS} select cid, seq, x, y from cons")
+def io14_constraints_text(spark, d):
+    p = scratch.path(spark, "constraints")
+    text.write_constraints(fx.constraints(spark, d), p)
+    return text.read_constraints(spark, p).select("cid", "seq", "x", "y")
+
+
+@query("io20_geojson", f"with {LATTICE} select (k // 5) * 10e0 as elevation, count(*)::bigint as points from x where k < 50 group by 1")
+def io20_geojson(spark, d):
+    p = scratch.path(spark, "geojson")
+    whole = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(F.from_json("value", "struct<type: string, geometry: struct<type: string, coordinates: array<array<double>>>, properties: struct<elevation: double, closed: boolean, line_id: long>>")).alias("features")))
+    text.write_geojson_lines(_lines(spark, d), p)
+    spark.read.text(p).agg(whole.alias("value")).coalesce(1).write.text(f"{p}-whole")
+    return text.read_geojson_lines(spark, f"{p}-whole").select("elevation", F.size("pts").cast("long").alias("points"))
+
+
+@query("io22_profile_csv", f"with {PROFILE} select idx, {q('distance')} as distance, {q('z')} as z from f")
+def io22_profile_csv(spark, d):
+    p = scratch.path(spark, "csv")
+    tables.write_csv(m1_profile(spark, d).select("idx", "distance", "z"), p)
+    return spark.read.csv(p, header=True, schema="idx int, distance double, z double")
+
+
+# Coordinate systems, tasks, streams ------------------------------------------------------
+
+LONLAT = "ll as (select c_custkey as id, (c_custkey % 3600) * 0.1e0 - 180e0 as lon, (c_custkey % 1600) * 0.1e0 - 80e0 as lat from customer)"
+
+
+def _lonlat(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    return fx.table(spark, d, "customer").select(k.alias("id"), ((k % 3600) * num(0.1) - 180.0).alias("x"), ((k % 1600) * num(0.1) - 80.0).alias("y"))
+
+
+@query("r3_mercator", f"with {LONLAT} select id, {q('6378137e0 * radians(lon)', 3)} as x, {q('6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2))', 3)} as y from ll")
+def r3_mercator(spark, d):
+    return crs.transform_points(_lonlat(spark, d), "EPSG:4326", "EPSG:3857").select("id", rounded("x", 3).alias("x"), rounded("y", 3).alias("y"))
+
+
+@query("r3_mercator_inverse", f"with {LONLAT} select id, {q('lon', 7)} as x, {q('lat', 7)} as y from ll")
+def r3_mercator_inverse(spark, d):
+    there = crs.transform_points(_lonlat(spark, d), "EPSG:4326", "EPSG:3857")
+    return crs.transform_points(there, "EPSG:3857", "EPSG:4326").select("id", rounded("x", 7).alias("x"), rounded("y", 7).alias("y"))
+
+
+@query("r1_normalize", "select * from (values ('EPSG:3857', 'PROJCRS[\"WGS 84 / Pseudo-Mercator\",ID[\"EPSG\",3857]]'), ('4326', 'GEOGCRS[\"WGS 84\",ID[\"EPSG\",4326]]')) t(definition, wkt)")
+def r1_normalize(spark, d):
+    return spark.createDataFrame([(s, crs.normalize(s)) for s in ("EPSG:3857", "4326")], "definition string, wkt string")
+
+
+@query("r2_is_same", "select * from (values ('WGS84', 'EPSG:4326', true), ('EPSG:4326', 'EPSG:3857', false)) t(a, b, same)")
+def r2_is_same(spark, d):
+    return spark.createDataFrame([(a, b, crs.is_same(a, b)) for a, b in (("WGS84", "EPSG:4326"), ("EPSG:4326", "EPSG:3857"))], "a string, b string, same boolean")
+
+
+@query("r4_reproject_mesh")
+def r4_reproject_mesh(spark, d):
+    p = fx.suppliers(spark, d).select("id", (F.col("x") / 10000).alias("x"), (F.col("y") / 10000).alias("y"), "z")
+    return reproject.mesh(mesh.build(p, "EPSG:4326"), "EPSG:3857").triangles.select("a", "b", "c")
+
+
+@query("r5_reproject_grid", f"""with {PARTS}, {sampled_sql(f"p as (select a.r, b.c, degrees(b.c * 100000e0 / 6378137e0) as x, degrees(2e0 * atan(exp(a.r * 100000e0 / 6378137e0)) - pi() / 2) as y from (select unnest(range(0, 20)) as r) a, (select unnest(range(0, 40)) as c) b)", "k.r, k.c")}
+  select r as "row", c as col, {q(BILINEAR, 5)} as value from s where r > 0 and c > 0""")
+def r5_reproject_grid(spark, d):
+    g = fx.parts(spark, d)
+    g = Grid(g.df, replace(g.meta, crs="EPSG:4326"))
+    out = reproject.grid(g, GridMeta(40, 20, (0.0, 100000.0, 0.0, 0.0, 0.0, 100000.0), "EPSG:3857"))
+    return out.df.where("row > 0 and col > 0").select("row", "col", rounded("z", 5).alias("value"))
+
+
+@query("r6_reproject_contours", f"with {LATTICE} select k // 5 as line_id, k % 5 as i, {q('6378137e0 * radians(x / 10000)', 3)} as x, {q('6378137e0 * ln(tan(pi() / 4 + radians(y / 10000) / 2))', 3)} as y from x where k < 50")
+def r6_reproject_contours(spark, d):
+    small = _lines(spark, d).withColumn("pts", F.transform("pts", lambda p: F.struct((p["x"] / 10000).alias("x"), (p["y"] / 10000).alias("y"), p["z"].alias("z"))))
+    moved = crs.transform_lines(small, "EPSG:4326", "EPSG:3857")
+    return moved.select("line_id", F.posexplode("pts").alias("i", "p")).select("line_id", F.col("i").cast("long").alias("i"), rounded("p.x", 3).alias("x"), rounded("p.y", 3).alias("y"))
+
+
+@query("k1_task", stencil(ORDERS, fx.GT) + f"select {q('avg(degrees(atan(sqrt(zx * zx + zy * zy))))')} as mean_slope from t")
+def k1_task(spark, d):
+    t = tasks.submit(spark, lambda: grid.slope(fx.orders(spark, d)).df.agg(F.avg("z")).first()[0])
+    return spark.createDataFrame([(t.result(),)], "mean_slope double").select(rounded("mean_slope").alias("mean_slope"))
+
+
+EDITS = "e as (select event_id, user_id, value, row_number() over (partition by user_id order by event_id desc) as n from events) select user_id as id, value as z from e where n = 1 and event_id % 10 <> 0"
+
+
+@query("t2_edit_log", f"with {EDITS}")
+def t2_edit_log(spark, d):
+    return edits.folded(fx.edit_log(spark, d)).select("id", "z")
+
+
+@query("t2_edit_stream", f"with {EDITS}")
+def t2_edit_stream(spark, d):
+    source, out, marks = (scratch.path(spark, n) for n in ("edits", "generations", "marks"))
+    fx.edit_log(spark, d).repartitionByRange(3, "order").write.parquet(source)
+    log = fx.edit_log(spark, d)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    edits.latest(stream, out, marks).awaitTermination()
+    return edits.folded(spark.read.parquet(out).drop("generation")).select("id", "z")
+
+

@@ -5,14 +5,20 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from orogen.errors import EmptySurface, InvalidArgument, NotFound
 from orogen.functions.geometry import aspect_degrees, clamp, gradient_x, gradient_y, node_col, node_row, num, slope_degrees, world_x, world_y
 from orogen.schema import EPS, Grid, GridMeta, same_crs
 
-BY_ROW, BY_COL = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+
+def by_row() -> WindowSpec:
+    return Window.partitionBy("row").orderBy("col")
+
+
+def by_col() -> WindowSpec:
+    return Window.partitionBy("col").orderBy("row")
 
 
 def nodes(spark: SparkSession, meta: GridMeta) -> DataFrame:
@@ -76,8 +82,8 @@ def gradients(grid: Grid, z_factor: float = 1.0) -> DataFrame:
     if m.width < 2 or m.height < 2:
         raise EmptySurface("terrain derivatives need two rows and two columns")
     c, r, z = F.col("col"), F.col("row"), F.col("z")
-    df = grid.df.withColumn("left", F.when(c == 0, z).otherwise(F.lag("z").over(BY_ROW))).withColumn("right", F.when(c == m.width - 1, z).otherwise(F.lead("z").over(BY_ROW)))
-    df = df.withColumn("above", F.when(r == 0, z).otherwise(F.lag("z").over(BY_COL))).withColumn("below", F.when(r == m.height - 1, z).otherwise(F.lead("z").over(BY_COL)))
+    df = grid.df.withColumn("left", F.when(c == 0, z).otherwise(F.lag("z").over(by_row()))).withColumn("right", F.when(c == m.width - 1, z).otherwise(F.lead("z").over(by_row())))
+    df = df.withColumn("above", F.when(r == 0, z).otherwise(F.lag("z").over(by_col()))).withColumn("below", F.when(r == m.height - 1, z).otherwise(F.lead("z").over(by_col())))
     col_span = F.when((c == 0) | (c == m.width - 1), num(1)).otherwise(num(2))
     row_span = F.when((r == 0) | (r == m.height - 1), num(1)).otherwise(num(2))
     by_col = num(z_factor) * (F.col("right") - F.col("left")) / col_span
@@ -109,11 +115,11 @@ def hillshade(grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, z_fact
 def cells(df: DataFrame, *values: str) -> DataFrame:
     """Complete cells: for each value v of a node its v00, v10 (next column), v01 (next row), v11."""
     for v in values:
-        df = df.withColumn(f"{v}00", F.col(v)).withColumn(f"{v}10", F.lead(v).over(BY_ROW))
-    df = df.withColumn("__right", F.lead("col").over(BY_ROW))
+        df = df.withColumn(f"{v}00", F.col(v)).withColumn(f"{v}10", F.lead(v).over(by_row()))
+    df = df.withColumn("__right", F.lead("col").over(by_row()))
     for v in values:
-        df = df.withColumn(f"{v}01", F.lead(f"{v}00").over(BY_COL)).withColumn(f"{v}11", F.lead(f"{v}10").over(BY_COL))
-    df = df.withColumn("__below", F.lead("row").over(BY_COL))
+        df = df.withColumn(f"{v}01", F.lead(f"{v}00").over(by_col())).withColumn(f"{v}11", F.lead(f"{v}10").over(by_col()))
+    df = df.withColumn("__below", F.lead("row").over(by_col()))
     return df.where(F.col("__right").isNotNull() & F.col("__below").isNotNull()).drop("__right", "__below", *values)
 
 
