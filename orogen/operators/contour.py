@@ -55,7 +55,7 @@ def segments(triangles: DataFrame, interval: float | None = None, base: float =
 
     hits = F.filter(F.array(crossing("a", "b"), crossing("b", "c"), crossing("c", "a")), lambda h: h.isNotNull())
     df = df.withColumn("h", hits).where(F.size("h") == 2)
-    first, second = F.col("h")[0], F.col("h")[1]
+    first, second = F.get("h", F.lit(0)), F.get("h", F.lit(1))
     long_enough = (first["x"] - second["x"]) * (first["x"] - second["x"]) + (first["y"] - second["y"]) * (first["y"] - second["y"]) > tolerance * tolerance
     return df.where(long_enough).select(*own, "level", first["x"].alias("x1"), first["y"].alias("y1"), second["x"].alias("x2"), second["y"].alias("y2"))
 

@@ -13,11 +13,11 @@ from orogen.functions.geometry import aspect_degrees, clamp, gradient_x, gradien
 from orogen.schema import EPS, Grid, GridMeta, same_crs
 
 
-def by_row() -> WindowSpec:
+def along_row() -> WindowSpec:
     return Window.partitionBy("row").orderBy("col")
 
 
-def by_col() -> WindowSpec:
+def along_col() -> WindowSpec:
     return Window.partitionBy("col").orderBy("row")
 
 
@@ -82,8 +82,8 @@ def gradients(grid: Grid, z_factor: float = 1.0) -> DataFrame:
     if m.width < 2 or m.height < 2:
         raise EmptySurface("terrain derivatives need two rows and two columns")
     c, r, z = F.col("col"), F.col("row"), F.col("z")
-    df = grid.df.withColumn("left", F.when(c == 0, z).otherwise(F.lag("z").over(by_row()))).withColumn("right", F.when(c == m.width - 1, z).otherwise(F.lead("z").over(by_row())))
-    df = df.withColumn("above", F.when(r == 0, z).otherwise(F.lag("z").over(by_col()))).withColumn("below", F.when(r == m.height - 1, z).otherwise(F.lead("z").over(by_col())))
+    df = grid.df.withColumn("left", F.when(c == 0, z).otherwise(F.lag("z").over(along_row()))).withColumn("right", F.when(c == m.width - 1, z).otherwise(F.lead("z").over(along_row())))
+    df = df.withColumn("above", F.when(r == 0, z).otherwise(F.lag("z").over(along_col()))).withColumn("below", F.when(r == m.height - 1, z).otherwise(F.lead("z").over(along_col())))
     col_span = F.when((c == 0) | (c == m.width - 1), num(1)).otherwise(num(2))
     row_span = F.when((r == 0) | (r == m.height - 1), num(1)).otherwise(num(2))
     by_col = num(z_factor) * (F.col("right") - F.col("left")) / col_span
@@ -115,11 +115,11 @@ def hillshade(grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, z_fact
 def cells(df: DataFrame, *values: str) -> DataFrame:
     """Complete cells: for each value v of a node its v00, v10 (next column), v01 (next row), v11."""
     for v in values:
-        df = df.withColumn(f"{v}00", F.col(v)).withColumn(f"{v}10", F.lead(v).over(by_row()))
-    df = df.withColumn("__right", F.lead("col").over(by_row()))
+        df = df.withColumn(f"{v}00", F.col(v)).withColumn(f"{v}10", F.lead(v).over(along_row()))
+    df = df.withColumn("__right", F.lead("col").over(along_row()))
     for v in values:
-        df = df.withColumn(f"{v}01", F.lead(f"{v}00").over(by_col())).withColumn(f"{v}11", F.lead(f"{v}10").over(by_col()))
-    df = df.withColumn("__below", F.lead("row").over(by_col()))
+        df = df.withColumn(f"{v}01", F.lead(f"{v}00").over(along_col())).withColumn(f"{v}11", F.lead(f"{v}10").over(along_col()))
+    df = df.withColumn("__below", F.lead("row").over(along_col()))
     return df.where(F.col("__right").isNotNull() & F.col("__below").isNotNull()).drop("__right", "__below", *values)
 
 
@@ -255,8 +255,11 @@ def clip(grid: Grid, polygon: list[tuple[float, float]], *, crop: bool = False,
     near = x.between(min(xs) - length, max(xs) + length) & y.between(min(ys) - length, max(ys) + length)
     chosen = near & ring_contains(ring, x, y, length, area)
     chosen = ~chosen if invert else chosen
-    row, col = (F.col("row") - r0, F.col("col") - c0) if crop else (F.col("row"), F.col("col"))
-    return Grid(df.select(row.alias("row"), col.alias("col"), F.when(chosen, F.col("z")).alias("z")), meta.edited())
+    # A lambda would read a new "row" of the same select, so the mask comes first.
+    df = df.withColumn("z", F.when(chosen, F.col("z")))
+    if crop:
+        df = df.select((F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col"), "z")
+    return Grid(df, meta.edited())
 
 
 def overview(grid: Grid, out_width: int, out_height: int, method: str = "average", *, strict: bool = False, window: tuple[int, int, int, int] | None = None) -> DataFrame:
