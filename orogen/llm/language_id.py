@@ -63,6 +63,8 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     Up to five languages get the exhaustive code (every split of them into two
     parts); more get the best of many random codes.
     """
+    if k == 0:
+        return np.ones((0, 0), dtype=int)
     if k <= 5:
         splits = [[1 if c == 0 or s >> (c - 1) & 1 else -1 for c in range(k)] for s in range(2 ** (k - 1) - 1)]
         return np.array(splits or [[1]]).T

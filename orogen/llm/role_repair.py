@@ -10,11 +10,17 @@ conversation of any length is cut into stretches whose matrices are combined.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orogen.llm.common import stored
+
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: Costs in units: merging into the message before, relabelling, an empty message.
@@ -77,6 +83,10 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def stretch_matrix(codes: list[int | None]) -> np.ndarray:
     """Cheapest cost from each state before a stretch to each state after it."""
+    return _short_matrix(tuple(codes)) if len(codes) <= SHORT else _matrix_of(codes)
+
+
+def _matrix_of(codes: Sequence[int | None]) -> np.ndarray:
     out = np.full((4, 4), NEVER, dtype=np.int64)
     np.fill_diagonal(out, 0)
     for c in codes:
@@ -86,6 +96,10 @@ def stretch_matrix(codes: list[int | None]) -> np.ndarray:
 
 def cheapest(codes: list[int | None], enter: int, leave: int) -> list[tuple[int, int, int, str, tuple[int, ...]]]:
     """The moves of a cheapest path through a stretch between two states; ties by the order of states."""
+    return _short_path(tuple(codes), enter, leave) if len(codes) <= SHORT else _path_of(codes, enter, leave)
+
+
+def _path_of(codes: Sequence[int | None], enter: int, leave: int) -> list[tuple[int, int, int, str, tuple[int, ...]]]:
     cost = np.full(4, NEVER, dtype=np.int64)
     cost[enter] = 0
     seen = [cost]
@@ -100,6 +114,12 @@ def cheapest(codes: list[int | None], enter: int, leave: int) -> list[tuple[int,
     return path[::-1]
 
 
+#: Sequences of so few roles repeat; their results are kept, a bounded number of them.
+SHORT = 64
+_short_matrix = lru_cache(20_000)(_matrix_of)
+_short_path = lru_cache(20_000)(_path_of)
+
+
 def junctions(matrices: list[np.ndarray]) -> list[int]:
     """States at the borders of stretches on a cheapest path: one more than there are stretches."""
     cost = np.full(4, NEVER, dtype=np.int64)
@@ -183,35 +203,53 @@ def repair_table(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     """
     kind = dict(df.dtypes)[conv_col]
     rows = ordered(df, conv_col, turn_col, role_col, text_col)
-
-    def sort(part: pd.DataFrame) -> pd.DataFrame:
-        return part.sort_values(["turn", "hash", "role", "text", "copy"], na_position="first", kind="stable")
+    n = rows.agg(F.count(F.lit(1))).first()[0]
+    # Many stretches share a Python call; a stretch's size is bounded, so a bucket's is about.
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(max(1, -(-n // BUCKET)))))
 
     def summed(part: pd.DataFrame) -> pd.DataFrame:
-        part = sort(part)
-        m = stretch_matrix([role_code(r) for r in part["role"].where(part["role"].notna(), None)])
-        return pd.DataFrame([{c: part[c].iloc[0] for c in _KEY} | {"n": len(part), "cells": m.ravel().tolist()}])
+        out = []
+        for key, stretch in runs(part):
+            m = stretch_matrix([role_code(r) for r in stretch["role"]])
+            out.append((*key, len(stretch["role"]), m.ravel().tolist()))
+        return pd.DataFrame(out, columns=[*_KEY, "n", "cells"], dtype=object)
 
     back = _BACK.format(conv=kind)
-    stretches = rows.groupBy(*_KEY).applyInPandas(summed, f"{back}, n long, cells array<long>")
-    states = borders(stretches, kind)
+    stretches = stored(rows.groupBy("bucket").applyInPandas(summed, f"{back}, n long, cells array<long>"), "stretches")
+    states = stored(borders(stretches, kind), "borders")
     keyed = [rows[c].eqNullSafe(states[f"s_{c}"]) for c in _KEY]
     joined = rows.join(states, keyed[0] & keyed[1] & keyed[2] & keyed[3] & keyed[4]).drop(*(f"s_{c}" for c in _KEY))
 
     def repaired(part: pd.DataFrame) -> pd.DataFrame:
-        part = sort(part)
-        none = lambda c: part[c].astype(object).where(part[c].notna(), None).tolist()
-        codes = [role_code(r) for r in none("role")]
-        head = part.iloc[0]
-        path = cheapest(codes, int(head["enter"]), int(head["leave"]))
-        made = render_moves(none("text"), path, bool(head["first"]), bool(head["last"]))
-        out = pd.DataFrame(made, columns=["new_role", "action", "cost", "inserted", "rendered"])
-        out["conv"], out["turn"], out["role"] = none("conv"), none("turn"), none("role")
-        out["place"] = int(head["before"]) + np.arange(len(out))
-        return out[["conv", "turn", "role", "new_role", "action", "cost", "inserted", "rendered", "place"]]
+        out = []
+        for key, s in runs(part):
+            path = cheapest([role_code(r) for r in s["role"]], int(s["enter"][0]), int(s["leave"][0]))
+            made = render_moves(s["text"], path, bool(s["first"][0]), bool(s["last"][0]))
+            start = int(s["before"][0])
+            out += [(key[0], t, r, *m, start + i) for i, (t, r, m) in enumerate(zip(s["turn"], s["role"], made, strict=True))]
+        return pd.DataFrame(out, columns=["conv", "turn", "role", "new_role", "action", "cost", "inserted", "rendered", "place"], dtype=object)
 
     schema = f"conv {kind}, turn long, role string, new_role string, action string, cost long, inserted long, rendered string, place long"
-    return joined.groupBy(*_KEY).applyInPandas(repaired, schema).withColumnRenamed("conv", conv_col)
+    return joined.groupBy("bucket").applyInPandas(repaired, schema).withColumnRenamed("conv", conv_col)
+
+
+#: Turns, and stretches, that share a Python call, about.
+BUCKET = 20_000
+
+
+def runs(part: pd.DataFrame, key: tuple[str, ...] = _KEY, order: tuple[str, ...] = ("turn", "hash", "role", "text", "copy")) -> Iterator[tuple[tuple, dict[str, list[Any]]]]:
+    """Each key's rows in order, as plain lists with None for null; nulls sort first."""
+    columns = {c: part[c].astype(object).where(part[c].notna(), None).tolist() for c in part.columns}
+    ranked = lambda c, i: (columns[c][i] is not None, columns[c][i] if columns[c][i] is not None else 0)
+    index = sorted(range(len(part)), key=lambda i: [ranked(c, i) for c in (*key, *order)])
+    at = 0
+    while at < len(index):
+        own = tuple(columns[c][index[at]] for c in key)
+        end = at
+        while end < len(index) and tuple(columns[c][index[end]] for c in key) == own:
+            end += 1
+        yield own, {c: [v[i] for i in index[at:end]] for c, v in columns.items()}
+        at = end
 
 
 def borders(stretches: DataFrame, kind: str) -> DataFrame:
@@ -222,15 +260,15 @@ def borders(stretches: DataFrame, kind: str) -> DataFrame:
     """
 
     def combine(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["range", "k_turn", "k_hash", "k_copy"], na_position="first", kind="stable")
-        states = junctions([np.array(c, dtype=np.int64).reshape(4, 4) for c in part["cells"]])
-        n = part["n"].to_numpy()
-        out = part[list(_KEY)].rename(columns={c: f"s_{c}" for c in _KEY})
-        out["enter"], out["leave"] = states[:-1], states[1:]
-        out["before"] = np.cumsum(n) - n
-        at = np.arange(len(part))
-        out["first"], out["last"] = at == 0, at == len(part) - 1
-        return out
-
+        out = []
+        for _, s in runs(part, ("conv",), ("range", "k_turn", "k_hash", "k_copy")):
+            states = junctions([np.array(c, dtype=np.int64).reshape(4, 4) for c in s["cells"]])
+            before = 0
+            for i, n in enumerate(s["n"]):
+                out.append((*(s[c][i] for c in _KEY), states[i], states[i + 1], before, i == 0, i == len(s["n"]) - 1))
+                before += n
+        return pd.DataFrame(out, columns=[*(f"s_{c}" for c in _KEY), "enter", "leave", "before", "first", "last"], dtype=object)
+
+    n = stretches.agg(F.count(F.lit(1))).first()[0]
     schema = ", ".join(f"s_{x}" for x in _BACK.format(conv=kind).split(", ")) + ", enter int, leave int, before long, first boolean, last boolean"
-    return stretches.groupBy("conv").applyInPandas(combine, schema)
+    return stretches.groupBy(F.pmod(F.xxhash64("conv"), F.lit(max(1, -(-n // BUCKET)))).alias("bucket")).applyInPandas(combine, schema)
