@@ -18,6 +18,7 @@ from orogen import scratch
 from orogen.functions import crs
 from orogen.functions.geometry import num, octant
 from orogen.operators import cdt, contour, convert, earthwork, grid, measure, mesh, registration, reproject, view
+from orogen.operators.session import MeshSession
 from orogen.plans import tasks
 from orogen.schema import Grid, GridMeta, Mesh
 from orogen.sources import tables, text
@@ -787,6 +788,59 @@ def io17_read_constraint(spark, d):
     return tables.read_constraint(spark, p, 7).select("cid", "seq", "x", "y")
 
 
+@query("io15_constraint_table", f"with {CONS} select cid, 1::int as kind, false as closed, seq, x, y from cons")
+def io15_constraint_table(spark, d):
+    p = scratch.path(spark, "constraints")
+    tables.save_constraints(fx.constraints(spark, d), p)
+    return spark.read.parquet(p).select("cid", "kind", "closed", "seq", "x", "y")
+
+
+@query("c11_constraint_info", f"with {CONS} select cid, 1::int as kind, false as closed, count(*)::bigint as points from cons group by cid")
+def c11_constraint_info(spark, d):
+    return fx.constraints(spark, d).groupBy("cid", "kind", "closed").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query("c15_domain_surface", f"with {DOM}, {CUST}, {HITS.replace('dt t', '(select dt.* from dt join dom using (a, b, c) where in_domain) t')} select q.qid, {q('((bz - az) * (cy - ay) - (by_ - ay) * (cz - az)) / det::double', 8)} as dz_dx, {q('((bx - ax) * (cz - az) - (bz - az) * (cx - ax)) / det::double', 8)} as dz_dy from qs q left join one on one.qid = q.qid and n = 1")
+def c15_domain_surface(spark, d):
+    marked = cdt.domain(tin(spark, d).triangles, fx.rings(spark))
+    return cdt.sample(marked, asked(spark, d)).select("qid", rounded("dz_dx", 8).alias("dz_dx"), rounded("dz_dy", 8).alias("dz_dy"))
+
+
+# A session over one mesh ---------------------------------------------------------------
+
+
+@query("l4_insert_delete", f"with {DT} select a, b, c from dt")
+def l4_insert_delete(spark, d):
+    s = MeshSession(spark, fx.suppliers(spark, d))
+    s.insert(50001.0, 50002.0, 1.0)
+    s.delete_near(50001.0, 50002.0)
+    return s.mesh.triangles.select("a", "b", "c")
+
+
+@query("l8_save_load", f"with {DT} select a, b, c from dt")
+def l8_save_load(spark, d):
+    p, s = scratch.path(spark, "session"), MeshSession(spark, fx.suppliers(spark, d))
+    s.save(p)
+    s.clear()
+    s.load(p)
+    return s.mesh.triangles.select("a", "b", "c")
+
+
+@query("l10_view_to_range", f"with {DT} select a, b, c from dt where {sat_sql()}")
+def l10_view_to_range(spark, d):
+    return MeshSession(spark, fx.suppliers(spark, d)).in_view(*BOX_T).select("a", "b", "c")
+
+
+@query("l11_nearest_point", f"with {PTS} select x::double as x, y::double as y, z from pts order by (x - 30000)::hugeint * (x - 30000) + (y - 60000)::hugeint * (y - 60000), id limit 1")
+def l11_nearest_point(spark, d):
+    return spark.createDataFrame([MeshSession(spark, fx.suppliers(spark, d)).nearest(30000.0, 60000.0)], "x double, y double, z double")
+
+
+@query("l12_covering_triangle", f"with {DT}, qs as (select 0 as qid, 50123 as x, 48877 as y), {HITS} select a, b, c from one where wa > 0 and wb > 0 and wc > 0")
+def l12_covering_triangle(spark, d):
+    return MeshSession(spark, fx.suppliers(spark, d)).covering_triangle(50123.0, 48877.0)
+
+
 # Measurement -----------------------------------------------------------------------
 
 PROFILE = f"""{PARTS}, pr as (select i::int as idx, i / 400e0 as t from range(0, 401) x(i)), {sampled_sql("p as (select idx, sqrt(45e0 * 45e0 + 30e0 * 30e0) * t as distance, 1e0 + 45e0 * t as x, 2e0 + 30e0 * t as y from pr)", "idx, distance, x, y")}, f as (select idx, distance, x, y, {BILINEAR} as z from s)"""
