@@ -1,0 +1,44 @@
+"""The pipeline's stages on a small corpus with planted cases."""
+
+import random
+
+import corpus_pipeline
+
+
+def corpus():
+    r = random.Random(5)
+    parts = {"en": ["the", "ing", "tion", "and", "er"], "de": ["sch", "ung", "lich", "der", "ein"]}
+    word = lambda c: "".join(r.choice(parts[c]) for _ in range(r.randrange(1, 4)))
+    rows = []
+    for i in range(60):
+        c = "en" if i % 2 else "de"
+        rows.append((i, " ".join(word(c) for _ in range(60)), c, f"s{i % 4 and 1}"))
+    rows.append((100, rows[3][1], "en", "s1"))  # an exact copy
+    rows.append((101, rows[4][1] + " ende", "de", "s0"))  # a near copy
+    rows.append((102, "12 34 %%", "en", "s0"))  # no letter
+    rows.append((103, rows[5][1][:200] + " token=abcd1234efgh ende gut", "en", "s1"))
+    rows.append((103, rows[5][1][:200] + " token=abcd1234efgh ende gut", "en", "s1"))  # a repeated row
+    rows.append((104, None, None, None))
+    return [(i, t, c, s, len(t) if t else None) for i, t, c, s in rows]
+
+
+def test_stages(spark, tmp_path):
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    seen = {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, path)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+        out.write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        seen[name] = docs.collect()
+    ids = lambda n: {r.doc_id for r in seen[n]}
+    assert ids("language_id") == {*range(60), 100, 101, 103}
+    assert ids("near_dedup") == {*range(60), 103} and len(seen["near_dedup"]) == 61
+    secret = next(r for r in seen["secrets"] if r.doc_id == 103)
+    assert "[SECRET]" in secret.text and "abcd1234" not in secret.text and secret.n_chars == len(secret.text)
+    assert ids("secrets") == ids("temperature_mix") == ids("bpe")
+    assert max(sum(r.doc_id == i for r in seen["bpe"]) for i in ids("bpe")) <= 2
+    assert all(len(r.ids.split()) == r.n_tokens > 0 for r in seen["bpe"])
