@@ -6,12 +6,14 @@ retained values bring classes together: a pair over the threshold must share a
 known number of retained values, hence one among the rarest few of each, so
 only those are listed and widely shared passages make no lists of strangers.
 
-A list never gives all its pairs. Its first class leads; members meet the
-leader, and the union of two sketches estimates their similarity; pairs that may
-reach the threshold are verified on full sets. Members linked with the leader
-leave, unless a class near the leader, but outside its component, might still
-link with one of them (similarity is a metric). After a few leaders, what is
-left of a list is compared in blocks of sketches, between components only.
+A list never gives all its pairs. The class that shares most with others leads;
+members meet the leader, and the union of two sketches estimates their
+similarity; pairs that may reach the threshold are verified on full sets.
+Members linked with the leader leave the list. As similarity is a metric, they
+can only link with members that are near the leader: if some of those are
+outside its component, the leader's surroundings are compared in blocks. What a
+few leaders leave of a list is compared in blocks too. Blocks compare sketches
+first, then full sets, and give the links that join components, not all pairs.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ WORDS, KEEP = 5, 64
 PERCENT = 85
 #: Chance that a pair at the threshold shares fewer retained values than assumed.
 RISK = 1e-9
-LEADERS = 3
+LEADERS = 2
 #: Members of a block in the comparison of what leaders leave.
-BLOCK = 512
+BLOCK = 256
 
 _STEP = [pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) | 1 for i in range(WORDS)]
 
@@ -84,7 +86,7 @@ def needed(n: int, percent: int) -> int:
     """
     union = n * 100 // percent  # the most that the union can hold
     certain = min(-(-n * percent // 100), KEEP - union * (100 - percent) // 100 if union >= KEEP else KEEP)
-    return max(1, certain, min(quantile(percent / 100), n))
+    return max(1, certain, quantile(percent / 100) if n >= KEEP else 0)
 
 
 _NEED = [needed(n, PERCENT) for n in range(8 * KEEP)]
@@ -107,14 +109,18 @@ def sketches(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def shared_values(classes: DataFrame) -> DataFrame:
-    """Lists: (value, cls) for the rarest retained values of each class that other classes list too."""
+    """Lists: (value, cls, score) for the rarest retained values of each class that other classes list too.
+
+    The score tells how much of a class others share.
+    """
     every = classes.select("cls", "need", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     counts = every.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = every.join(counts, "value").groupBy("cls", "need", "k").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("held"))
     # Values that no other class has come first in the order of rarity.
     room = F.col("k") - F.col("need") + 1 - (F.col("k") - F.size("held"))
-    listed = held.where(room > 0).select("cls", F.explode(F.slice("held", 1, room)).alias("v")).select(F.col("v.value").alias("value"), "cls")
-    return listed
+    score = F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + h["n"])
+    listed = held.where(room > 0).select("cls", score.alias("score"), F.explode(F.slice("held", 1, room)).alias("v"))
+    return listed.select(F.col("v.value").alias("value"), "cls", "score")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -139,13 +145,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, first_ids: DataFrame, id_col:
     ids = wanted.join(first_ids, "cls").select(F.col("first_id").alias("__id")).distinct()
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
 
-    @F.pandas_udf("cls binary, values array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            sets = [shingles(t) for t in part]
-            yield pd.DataFrame({"cls": [set_key(s) for s in sets], "values": sets})
+            sets = [shingles(t) for t in part["text"]]
+            yield pd.DataFrame({"cls": [set_key(s) if len(s) else None for s in sets], "values": sets})
 
-    made = texts.select(run("text").alias("s")).select("s.*").join(wanted, "cls", "left_semi")
+    # Whole-partition Python: the optimizer must not move it before the first join.
+    made = texts.select("text").mapInPandas(run, "cls binary, values array<long>").join(wanted, "cls", "left_semi")
     return made.groupBy("cls").agg(F.first("values").alias("values"))
 
 
@@ -157,69 +163,83 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * 100 >= PERCENT * (F.size("v_a") + F.size("v_b") - common)).select("a", "b")
 
 
-def across(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one list and different components whose sketches may reach the threshold.
+def across(groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different labels within groups (key, cls, label), enough to join what belongs together.
 
-    Lists are cut into blocks; each pair of blocks is one group of at most
-    about 2 * BLOCK rows, and its sketches meet as rows of a product.
+    Groups are cut into blocks; each pair of blocks is one Python call on at
+    most about 2 * BLOCK rows. A pair whose labels are joined already isn't
+    verified, so a call gives fewer links than it has rows.
     """
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = lists.join(sizes, "value").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = groups.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "label")
-    rows = dealt.join(classes.select("cls", "n_shingles", "need", "sketch"), "cls")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "label")
+    rows = dealt.join(classes.select("cls", "need", "sketch"), "cls").join(sets, "cls")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        n, need = part["n_shingles"].to_numpy(), part["need"].to_numpy()
+        need, full = part["need"].to_numpy(), part["values"].to_list()
+        n = np.array([len(f) for f in full])
         values, place = np.unique(np.concatenate(part["sketch"].to_list()), return_inverse=True)
         has = np.zeros((len(part), len(values)), dtype=np.float32)
         has[np.repeat(np.arange(len(part)), [len(s) for s in part["sketch"]]), place] = 1
         met = has @ has.T  # at least the count within the k smallest of the union
-        least = np.maximum(need[:, None], need[None, :])
         size = np.minimum(n[:, None], n[None, :]) * 100 >= PERCENT * np.maximum(n[:, None], n[None, :])
         label = pd.factorize(part["label"])[0]
-        a, b = np.nonzero(np.triu((met >= least) & size & (label[:, None] != label[None, :]), 1))
-        cls = part["cls"].to_numpy()
-        return pd.DataFrame({"a": cls[a], "b": cls[b]}, dtype=object)
+        a, b = np.nonzero(np.triu((met >= np.maximum(need[:, None], need[None, :])) & size & (label[:, None] != label[None, :]), 1))
+        cls, out = part["cls"].to_list(), []
+        for k in np.argsort(-met[a, b], kind="stable"):
+            i, j = a[k], b[k]
+            if label[i] == label[j]:
+                continue
+            common = len(np.intersect1d(full[i], full[j], assume_unique=True))
+            if common * 100 >= PERCENT * (n[i] + n[j] - common):
+                out.append((cls[i], cls[j]))
+                label[label == label[j]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
-    return rows.groupBy("value", "i", "j").applyInPandas(meet, "a binary, b binary").distinct()
+    return rows.groupBy("key", "i", "j").applyInPandas(meet, "a binary, b binary").distinct()
 
 
 def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, label): the component of every class that links with another."""
     lists = stored(shared_values(classes), "lists")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    for turn in range(LEADERS + 1):
-        heads = lists.groupBy("value").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    links = None
+    joined = lambda a, b: b if a is None else a.unionByName(b)
+
+    def named(df: DataFrame, c: str, name: str, labels: DataFrame) -> DataFrame:
+        return df.join(labels.select(F.col("node").alias(c), F.col("label").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+
+    def sets_of(df: DataFrame) -> DataFrame:
+        return stored(full_sets(docs, stored(df.distinct(), "wanted"), first_ids, id_col, text_col), "sets")
+
+    for _ in range(LEADERS):
+        heads = lists.groupBy("value").agg(F.max(F.struct("score", "cls"))["cls"].alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
         lists = lists.join(heads, "value")
-        if turn < LEADERS:
-            pairs = lists.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
-            pairs = stored(estimated(pairs, classes), "pairs")
-        else:
-            named = lists.drop("lead").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            pairs = stored(across(named, classes).withColumn("may", F.lit(True)), "pairs")
-        may = pairs.where("may")
-        wanted = stored(may.select(F.col("a").alias("cls")).union(may.select("b")).distinct(), "wanted")
-        sets = stored(full_sets(docs, wanted, first_ids, id_col, text_col), "sets")
-        found = stored(verified(may, sets), "links")
-        discard(sets)
-        links = found if links is None else links.unionByName(found)
+        pairs = lists.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+        pairs = stored(estimated(pairs, classes), "pairs")
+        sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
+        found = stored(verified(pairs.where("may"), sets), "links")
+        links = joined(links, found)
         labels = components(links)
-        if turn == LEADERS:
-            break
-        # Who is near a leader but not in its component keeps the leader's whole list open.
-        of = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
-        same = lambda x, y, p, q: F.coalesce(F.col(p), F.col(x)) == F.coalesce(F.col(q), F.col(y))
-        outside = pairs.join(of("a", "label_a"), "a", "left").join(of("b", "label_b"), "b", "left").where(~same("a", "b", "label_a", "label_b")).select(F.col("b").alias("lead")).distinct().withColumn("open", F.lit(True))
-        rest = lists.where("cls <> lead").join(outside, "lead", "left").join(of("cls", "label_c"), "cls", "left").join(of("lead", "label_l"), "lead", "left")
-        rest = rest.where(F.col("open").isNotNull() | ~same("cls", "lead", "label_c", "label_l")).select("value", "cls")
+        # Leaders with a near class outside their component: their surroundings are compared.
+        around = stored(named(named(pairs.select("a", "b"), "a", "label_a", labels), "b", "label_b", labels), "around")
+        open_ = around.where("label_a <> label_b").select("b").distinct()
+        around = around.join(open_, "b", "left_semi")
+        groups = around.select(F.col("b").alias("key"), F.col("a").alias("cls"), F.col("label_a").alias("label")).unionByName(around.select(F.col("b").alias("key"), F.col("b").alias("cls"), F.col("label_b").alias("label")).distinct())
+        links = joined(links, stored(across(groups, classes, sets), "links"))
+        discard(sets)
+        # Members linked with their leader are done; the others go on without it.
+        direct = found.select(F.col("a").alias("cls"), F.col("b").alias("lead"))
+        rest = lists.where("cls <> lead").join(direct, ["cls", "lead"], "left_anti").select("value", "cls", "score")
         sizes = rest.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("value")
         lists = stored(rest.join(sizes, "value", "left_semi"), "lists")
         if not lists.limit(1).count():
-            break
-    return labels
+            return components(links)
+    left = stored(named(lists.select(F.col("value").alias("key"), "cls"), "cls", "label", components(links)), "left")
+    mixed = left.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key")
+    left = left.join(mixed, "key", "left_semi")
+    return components(links.unionByName(across(left, classes, sets_of(left.select("cls")))))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
