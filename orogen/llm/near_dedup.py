@@ -36,7 +36,7 @@ PERCENT = 85
 RISK = 1e-9
 LEADERS = 2
 #: Members of a block in the comparison of what leaders leave.
-BLOCK = 256
+BLOCK = 512
 
 _STEP = [pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) | 1 for i in range(WORDS)]
 
@@ -180,9 +180,12 @@ def across(groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         need, full = part["need"].to_numpy(), part["values"].to_list()
         n = np.array([len(f) for f in full])
-        values, place = np.unique(np.concatenate(part["sketch"].to_list()), return_inverse=True)
-        has = np.zeros((len(part), len(values)), dtype=np.float32)
-        has[np.repeat(np.arange(len(part)), [len(s) for s in part["sketch"]]), place] = 1
+        values, place, times = np.unique(np.concatenate(part["sketch"].to_list()), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(part)), [len(s) for s in part["sketch"]])
+        column = np.cumsum(times > 1) - 1  # values of one row alone take no column
+        often = times[place] > 1
+        has = np.zeros((len(part), int((times > 1).sum())), dtype=np.float32)
+        has[row[often], column[place[often]]] = 1
         met = has @ has.T  # at least the count within the k smallest of the union
         size = np.minimum(n[:, None], n[None, :]) * 100 >= PERCENT * np.maximum(n[:, None], n[None, :])
         label = pd.factorize(part["label"])[0]
