@@ -13,6 +13,8 @@ from orogen.llm.common import shared_path
 
 #: Most passes over a source that mixing makes.
 REPEATS = 2.0
+#: Jaccard similarity of five-word shingles, in hundredths, from which documents are near copies.
+NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     without an id stay if no document with an id is like them, one for each text.
     """
     marked = docs.withColumn("__text", F.xxhash64("text"))
-    kept = near_dedup.dedup(marked, carry=("__text",)).where("kept").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__held")).distinct()
+    kept = near_dedup.dedup(marked, carry=("__text",), percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__held")).distinct()
     held = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__held")), "left_semi")
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("__text").cast("string")))
     first = F.row_number().over(Window.partitionBy("__name").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))

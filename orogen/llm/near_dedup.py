@@ -30,7 +30,7 @@ from orogen.llm.common import BLANK, LOWER, discard, mix64, stored, word_hashes
 from orogen.llm.components import components
 
 WORDS, KEEP = 5, 64
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this is what callers that name none get.
 PERCENT = 85
 #: Chance that a pair at the threshold shares fewer retained values than assumed.
 RISK = 1e-9
@@ -89,12 +89,18 @@ def needed(n: int, percent: int) -> int:
     return max(1, certain, quantile(percent / 100) if n >= KEEP else 0)
 
 
-_NEED = [needed(n, PERCENT) for n in range(8 * KEEP)]
+def needs(percent: int) -> list[int]:
+    """:func:`needed` by the set's size; larger sets need what the last one does."""
+    return [needed(n, percent) for n in range(8 * KEEP)]
 
 
-def sketches(docs: DataFrame, text_col: str) -> DataFrame:
+_NEED = needs(PERCENT)
+
+
+def sketches(docs: DataFrame, text_col: str, percent: int = PERCENT) -> DataFrame:
     """Adds ``n_shingles``, ``cls`` (null for empty sets), ``sketch``, ``need`` to every row; the text goes."""
     kept = [c for c in docs.columns if c != text_col]
+    need = needs(percent)
 
     @F.pandas_udf("n_shingles long, cls binary, sketch array<long>, need int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -102,7 +108,7 @@ def sketches(docs: DataFrame, text_col: str) -> DataFrame:
             out = []
             for t in texts:
                 s = shingles(t)
-                out.append((len(s), set_key(s) if len(s) else None, s[:KEEP], _NEED[min(len(s), len(_NEED) - 1)]))
+                out.append((len(s), set_key(s) if len(s) else None, s[:KEEP], need[min(len(s), len(need) - 1)]))
             yield pd.DataFrame(out, columns=["n_shingles", "cls", "sketch", "need"])
 
     return docs.select(*kept, run(F.col(text_col)).alias("s")).select(*kept, "s.*")
@@ -129,15 +135,15 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(smallest, F.array_intersect(a, b)))
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, b): ``may`` reach the threshold, or be ``near`` enough that others may link across."""
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"), F.col("need").alias(f"need_{c}"))
-    near = 2 * PERCENT - 100
+    near = 2 * percent - 100
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     both = both.where(small * 100 >= near * large).withColumn("met", overlap(F.col("s_a"), F.col("s_b")))
     least = F.least(F.lit(quantile(near / 100)), F.ceil(small * near / 100))
-    return both.where(F.col("met") >= least).select("a", "b", ((F.col("met") >= F.greatest("need_a", "need_b")) & (small * 100 >= PERCENT * large)).alias("may"))
+    return both.where(F.col("met") >= least).select("a", "b", ((F.col("met") >= F.greatest("need_a", "need_b")) & (small * 100 >= percent * large)).alias("may"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, first_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,15 +161,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame, first_ids: DataFrame, id_col:
     return made.groupBy("cls").agg(F.first("values").alias("values"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("values").alias(f"v_{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("v_a", "v_b"))
-    return both.where(common * 100 >= PERCENT * (F.size("v_a") + F.size("v_b") - common)).select("a", "b")
+    return both.where(common * 100 >= percent * (F.size("v_a") + F.size("v_b") - common)).select("a", "b")
 
 
-def across(groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def across(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between different labels within groups (key, cls, label), enough to join what belongs together.
 
     Groups are cut into blocks; each pair of blocks is one Python call on at
@@ -187,7 +193,7 @@ def across(groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
         has = np.zeros((len(part), int((times > 1).sum())), dtype=np.float32)
         has[row[often], column[place[often]]] = 1
         met = has @ has.T  # at least the count within the k smallest of the union
-        size = np.minimum(n[:, None], n[None, :]) * 100 >= PERCENT * np.maximum(n[:, None], n[None, :])
+        size = np.minimum(n[:, None], n[None, :]) * 100 >= percent * np.maximum(n[:, None], n[None, :])
         label = pd.factorize(part["label"])[0]
         a, b = np.nonzero(np.triu((met >= np.maximum(need[:, None], need[None, :])) & size & (label[:, None] != label[None, :]), 1))
         cls, out = part["cls"].to_list(), []
@@ -196,7 +202,7 @@ def across(groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
             if label[i] == label[j]:
                 continue
             common = len(np.intersect1d(full[i], full[j], assume_unique=True))
-            if common * 100 >= PERCENT * (n[i] + n[j] - common):
+            if common * 100 >= percent * (n[i] + n[j] - common):
                 out.append((cls[i], cls[j]))
                 label[label == label[j]] = label[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype=object)
@@ -204,7 +210,7 @@ def across(groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInPandas(meet, "a binary, b binary").distinct()
 
 
-def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """(node, label): the component of every class that links with another."""
     lists = stored(shared_values(classes), "lists")
     links = None
@@ -220,9 +226,9 @@ def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: st
         heads = lists.groupBy("value").agg(F.max(F.struct("score", "cls"))["cls"].alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
         lists = lists.join(heads, "value")
         pairs = lists.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
-        pairs = stored(estimated(pairs, classes), "pairs")
+        pairs = stored(estimated(pairs, classes, percent), "pairs")
         sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
-        found = stored(verified(pairs.where("may"), sets), "links")
+        found = stored(verified(pairs.where("may"), sets, percent), "links")
         links = joined(links, found)
         labels = components(links)
         # Leaders with a near class outside their component: their surroundings are compared.
@@ -230,7 +236,7 @@ def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: st
         open_ = around.where("label_a <> label_b").select("b").distinct()
         around = around.join(open_, "b", "left_semi")
         groups = around.select(F.col("b").alias("key"), F.col("a").alias("cls"), F.col("label_a").alias("label")).unionByName(around.select(F.col("b").alias("key"), F.col("b").alias("cls"), F.col("label_b").alias("label")).distinct())
-        links = joined(links, stored(across(groups, classes, sets), "links"))
+        links = joined(links, stored(across(groups, classes, sets, percent), "links"))
         discard(sets)
         # Members linked with their leader are done; the others go on without it.
         direct = found.select(F.col("a").alias("cls"), F.col("b").alias("lead"))
@@ -242,12 +248,13 @@ def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: st
     left = stored(named(lists.select(F.col("value").alias("key"), "cls"), "cls", "label", components(links)), "left")
     mixed = left.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key")
     left = left.join(mixed, "key", "left_semi")
-    return components(links.unionByName(across(left, classes, sets_of(left.select("cls")))))
+    return components(links.unionByName(across(left, classes, sets_of(left.select("cls")), percent)))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every row, and its columns ``carry``.
 
+    Texts link whose sets' Jaccard similarity is ``percent`` hundredths or more.
     ``component_id`` is the smallest id reachable over links, ``kept`` whether
     it is the row's own. Null and blank texts have an empty set, no link and
     their own id. Rows with equal ids and texts stay as many as they are; a
@@ -255,11 +262,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     ``component_id`` is null and ``kept`` true. An empty table gives none.
     """
     docs = docs.select(F.col(id_col), F.col(text_col), *carry)
-    rows = stored(sketches(docs, text_col), "sketches")
+    rows = stored(sketches(docs, text_col, percent), "sketches")
     some = rows.where("n_shingles > 0")
     classes = stored(some.groupBy("cls", "n_shingles").agg(F.min(id_col).alias("first_id"), F.first("sketch").alias("sketch"), F.first("need").alias("need")), "classes")
     first_ids = classes.select("cls", "first_id")
-    labels = linked(docs, classes, first_ids, id_col, text_col)
+    labels = linked(docs, classes, first_ids, id_col, text_col, percent)
     named = first_ids.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(lowest, "label").select("cls", "component_id")

@@ -82,3 +82,23 @@ def test_bounds_hold_for_random_pairs():
             assert 100 * n >= 85 * (len(a) + len(b) - n)
             met = len(set(a[: near_dedup.KEEP]) & set(b[: near_dedup.KEEP]))
             assert met >= max(near_dedup._NEED[min(len(a), 511)], near_dedup._NEED[min(len(b), 511)])
+
+
+def test_links_between_thresholds(spark):
+    rows = families(3)
+    sets = {i: set(near_dedup.shingles(t).tolist()) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in sets:
+        for b in range(a):
+            if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    got = near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
+    assert len({find(i) for i in sets}) < len({c for _, c in brute(rows).values()})

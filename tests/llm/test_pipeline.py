@@ -42,3 +42,17 @@ def test_stages(spark, tmp_path):
     assert ids("secrets") == ids("temperature_mix") == ids("bpe")
     assert max(sum(r.doc_id == i for r in seen["bpe"]) for i in ids("bpe")) <= 2
     assert all(len(r.ids.split()) == r.n_tokens > 0 for r in seen["bpe"])
+
+
+def near_copy(r, shingles, added):
+    """Two texts; the second has so many more shingles than the first, all of whose it has."""
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(shingles + 4 + added)]
+    return " ".join(words[: shingles + 4]), " ".join(words)
+
+
+def test_near_copies_from_four_fifths_go(spark):
+    r = random.Random(9)
+    (a, b), (c, d) = near_copy(r, 56, 12), near_copy(r, 56, 16)  # 0.82 and 0.78
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate((a, b, c, d))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in corpus_pipeline.deduplicated(spark, docs, "").collect()) == [0, 2, 3]
