@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ EPSILON = 2.1
 #: Part of the k nearest that probing alone must find on the sample.
 PROBE_RECALL = 0.97
 MOST_LISTS = 1_024
+#: So many times the lists are probed again for queries that have fewer than k rows.
+WIDER = 4
 
 
 @dataclass
@@ -159,8 +162,10 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
 
     ``is_query`` maps the id column to the condition that a row is a query.
     Zero vectors and those named in :func:`usable` take no part. Every other
-    row is indexed; a list of any size is scanned in parts. With fewer than k
-    candidates all of those in probed lists are returned; an empty table gives none.
+    row is indexed; a list of any size is scanned in parts. Queries that the
+    probed lists leave short are asked again over more lists, at last over all
+    without a test, so fewer than k rows mean that there are no more
+    candidates; an empty table gives none.
     """
     spark = df.sparkSession
     rows = stored(usable(df, id_col, vector_col, nonzero=True), "ann")
@@ -178,20 +183,40 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
                 b["list"] = pd.Series(dtype="int64")
             yield b[["id", "vector", "list"]]
 
+    placed = stored(rows.mapInPandas(place, "id long, vector array<double>, list int"), "ann-lists")
+    # One row a list, MOST_LISTS at most, whatever the input.
+    sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = {c: -(-n // PART) for c, n in sizes.items()}
+    wanted, every = min(k, sum(sizes.values()) - 1), len(index.centroids)
+    asked, probes, done, tested = rows.where(is_query(F.col("id"))), index.probes, None, True
+    while True:
+        found = best(searched(placed, asked, parts, shared, k, probes, tested), k)
+        if not tested:
+            return found if done is None else done.unionByName(found)
+        found = stored(found, "ann-found")
+        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= wanted).select(F.col("query_id").alias("id"))
+        short = stored(asked.join(enough, "id", "left_anti"), "ann-short") if wanted > 0 else asked.limit(0)
+        full = found.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(found.columns)
+        done = full if done is None else done.unionByName(full)
+        if not short.limit(1).count():
+            return done
+        asked, tested, probes = short, probes < every, min(every, WIDER * probes)
+
+
+def searched(placed: DataFrame, asked: DataFrame, parts: dict[int, int], shared: Broadcast, k: int, probes: int, tested: bool) -> DataFrame:
+    """(query_id, vec_id, score) that scans of each query's ``probes`` nearest lists give; without tests all that they hold."""
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for b in batches:
             if len(b):
                 x = matrix(b["vector"], own.width)
-                b["reach"] = own.reach(b["id"].to_numpy(), x, k)
-                b["list"] = list(np.argsort(own.nearness(own.lifted(x, query=True)), 1, kind="stable")[:, : own.probes])
+                b["reach"] = own.reach(b["id"].to_numpy(), x, k) if tested else np.inf
+                b["list"] = list(np.argsort(own.nearness(own.lifted(x, query=True)), 1, kind="stable")[:, :probes])
                 yield b[["id", "vector", "reach", "list"]]
 
-    placed = stored(rows.mapInPandas(place, "id long, vector array<double>, list int"), "ann-lists")
-    asked = rows.where(is_query(F.col("id"))).mapInPandas(probe, "id long, vector array<double>, reach double, list array<int>")
+    asked = asked.mapInPandas(probe, "id long, vector array<double>, reach double, list array<int>")
     asked = stored(asked.select("id", "vector", "reach", F.explode("list").alias("list")), "ann-queries")
-    # One row a list, MOST_LISTS at most, whatever the input.
-    parts = {r["list"]: -(-r["n"] // PART) for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     batches = {r["list"]: -(-r["n"] // BATCH) for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     pieces = lambda sizes: F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, n)])[F.col("list")] if sizes else F.lit(1)
 
@@ -222,5 +247,4 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
         return pd.concat(out)
 
     key = ("list", "part", "meeting")
-    found = lists.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
-    return best(found, k)
+    return lists.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")

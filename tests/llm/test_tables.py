@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,27 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 101), (200, 200)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100
+
+
+def clusters(seed):
+    """Vectors in 60 clusters whose sizes follow Zipf's law."""
+    r = np.random.default_rng(seed)
+    share = 1 / np.arange(1, 61)
+    home = r.choice(60, 6_000, p=share / share.sum())
+    return r.normal(size=(60, 24))[home] * r.uniform(0.3, 3, (60, 1))[home] + 0.1 * r.normal(size=(6_000, 24))
+
+
+def test_queries_get_all_their_neighbours_on_skewed_clusters(spark):
+    x = clusters(3)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = {}
+    for r in ann.neighbours(df, lambda i: i % 20 == 0).collect():
+        rows.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert sorted(rows) == list(range(0, 6_000, 20))
+    right = 0
+    for q, got in rows.items():
+        assert sorted(got) == list(range(1, 21)) and len({v for v, _ in got.values()}) == 20 and q not in {v for v, _ in got.values()}
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        right += len({v for v, _ in got.values()} & set(np.argsort(-exact)[:20].tolist()))
+    assert right >= 0.95 * 20 * len(rows)
