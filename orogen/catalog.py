@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -446,9 +447,9 @@ def v11_contour_info(spark, d):
     return s.select("minimum_level", "maximum_level", *(rounded(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
 
 
-def _lines(spark, d) -> DataFrame:
-    """Ten polylines of five points each from the lattice of suppliers."""
-    p = fx.suppliers(spark, d).where("id <= 50")
+def _lines(spark, d, whole: bool = False) -> DataFrame:
+    """Polylines of five points each from the lattice of suppliers, ten or (``whole``) all."""
+    p = fx.suppliers(spark, d).where(F.lit(whole) | (F.col("id") <= 50))
     line = F.expr("(id - 1) div 5")
     pts = F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), F.lit(0.0).alias("z")))
     return p.groupBy(line.alias("line_id")).agg(pts.alias("pts")).select("line_id", (F.col("line_id") * 10.0).alias("elevation"), (F.col("line_id") % 2 == 0).alias("closed"), "pts")
@@ -462,8 +463,8 @@ LATTICE = "x as (select s_suppkey as k, ((s_suppkey * s_suppkey * 7 + s_suppkey
   d as (select *, greatest(1, ceil(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) / 5000e0))::bigint as n from s),
   e as (select line, px, py, qx, qy, n, unnest(range(0, case when last then n + 1 else n end)) as part from d)
   select {q("x", 3)} as x, {q("y", 3)} as y, z from (select distinct px + part::double / n * (qx - px) as x, py + part::double / n * (qy - py) as y, line * 10e0 as z from e)""")
-def v4_contour_points(spark, d):
-    return contour.surface_points(_lines(spark, d), 5000.0).select(rounded("x", 3).alias("x"), rounded("y", 3).alias("y"), "z")
+def v4_contour_points(spark, d, whole=False):
+    return contour.surface_points(_lines(spark, d, whole), 5000.0).select(rounded("x", 3).alias("x"), rounded("y", 3).alias("y"), "z")
 
 
 @query("v3_points_from_grid", f"with {ORDERS} select r * 150 + c + 1 as id, 500000e0 + c * 10e0 as x, 3200000e0 + r * -10e0 as y, z from g")
@@ -555,13 +556,13 @@ def t5_update_z(spark, d):
 CUST = "qs as (select c_custkey as qid, (c_custkey * c_custkey * 7 + c_custkey * 15485863) % 100003 as x, (c_custkey * c_custkey * c_custkey + c_custkey * 32452843) % 100019 as y from customer where c_custkey >= 100)"
 
 
-def asked(spark, d) -> DataFrame:
-    return fx.customers(spark, d).where("id > 100").select((F.col("id") - 1).alias("qid"), "x", "y")
+def asked(spark, d, whole: bool = False) -> DataFrame:
+    return fx.customers(spark, d).where(F.lit(whole) | (F.col("id") > 100)).select((F.col("id") - 1).alias("qid"), "x", "y")
 
 
 @query("t6_nearest", f"with {PTS}, {CUST}, p as (select q.qid, p.id, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) as d2, row_number() over (partition by q.qid order by (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y), p.id) as n from qs q, pts p) select qid, id, d2::double as d2 from p where n = 1")
-def t6_nearest(spark, d):
-    return mesh.nearest(tin(spark, d), asked(spark, d)).select("qid", "id", "d2")
+def t6_nearest(spark, d, whole=False):
+    return mesh.nearest(tin(spark, d), asked(spark, d, whole)).select("qid", "id", "d2")
 
 
 HITS = """hit as (select q.qid, q.x, q.y, t.*, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) as det, turn * ((cx - bx) * (q.y - by_) - (cy - by_) * (q.x - bx)) as wa, turn * ((ax - cx) * (q.y - cy) - (ay - cy) * (q.x - cx)) as wb, turn * ((bx - ax) * (q.y - ay) - (by_ - ay) * (q.x - ax)) as wc from qs q, dt t),
@@ -569,16 +570,16 @@ HITS = """hit as (select q.qid, q.x, q.y, t.*, (bx - ax) * (cy - ay) - (by_ - ay
 
 
 @query("t7_locate", f"with {DT}, {CUST}, {HITS} select q.qid, case (wa = 0)::int + (wb = 0)::int + (wc = 0)::int when 0 then 'FACE' when 1 then 'EDGE' when 2 then 'VERTEX' else 'OUTSIDE_HULL' end as type, a, b, c from qs q left join one on one.qid = q.qid and n = 1")
-def t7_locate(spark, d):
-    return mesh.locate(tin(spark, d), asked(spark, d))
+def t7_locate(spark, d, whole=False):
+    return mesh.locate(tin(spark, d), asked(spark, d, whole))
 
 
 PLANE = "az + ((bz - az) * (cy - ay) - (by_ - ay) * (cz - az)) / det::double * (x - ax) + ((bx - ax) * (cz - az) - (bz - az) * (cx - ax)) / det::double * (y - ay)"
 
 
 @query("t9_surface", f"with {DT}, {CUST}, {HITS} select q.qid, {q(PLANE.replace(' (x - ax)', ' (one.x - ax)').replace(' (y - ay)', ' (one.y - ay)'), 4)} as z, {q('((bz - az) * (cy - ay) - (by_ - ay) * (cz - az)) / det::double', 8)} as dz_dx from qs q left join one on one.qid = q.qid and n = 1")
-def t9_surface(spark, d):
-    return mesh.surface(tin(spark, d).triangles, asked(spark, d)).select("qid", rounded("z", 4).alias("z"), rounded("dz_dx", 8).alias("dz_dx"))
+def t9_surface(spark, d, whole=False):
+    return mesh.surface(tin(spark, d).triangles, asked(spark, d, whole)).select("qid", rounded("z", 4).alias("z"), rounded("dz_dx", 8).alias("dz_dx"))
 
 
 BOX_T = (30000.0, 40000.0, 45000.0, 52000.0)
@@ -639,7 +640,7 @@ def v6_contours_from_tin(spark, d):
 
 @query("v5_grid_from_contours")
 def v5_grid_from_contours(spark, d):
-    return plain(convert.grid_from_contours(_lines(spark, d), GridMeta(20, 20, (0.0, 5000.0, 0.0, 100000.0, 0.0, -5000.0)), 5000.0).df)
+    return plain(convert.grid_from_contours(_lines(spark, d, whole=True), GridMeta(20, 20, (0.0, 5000.0, 0.0, 100000.0, 0.0, -5000.0)), 5000.0).df)
 
 
 @query("p1_clip_exact")
@@ -663,35 +664,35 @@ CROSS = f"""{SEGS}, cr as (select l.cid as a, r.cid as b, (l.bx - l.ax) * (r.by_
 
 
 @query("c8_crossings", f"with {CROSS} select a, b, {q('t', 9)} as t, {q('u', 9)} as u, {q('x', 4)} as x, {q('y', 4)} as y from hit")
-def c8_crossings(spark, d):
-    s = cdt.segments(fx.constraints(spark, d)).withColumn("sid", F.col("cid"))
+def c8_crossings(spark, d, whole=False):
+    s = cdt.segments(fx.constraints(spark, d, whole)).withColumn("sid", F.col("cid"))
     return cdt.crossings(s).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), rounded("t", 9).alias("t"), rounded("u", 9).alias("u"), rounded("x", 4).alias("x"), rounded("y", 4).alias("y"))
 
 
 @query("c8_noding", f"with {CROSS}, nd as (select cid, seq::double as pos, x, y from cons union all select a, t, x, y from hit union all select b, u, x, y from hit) select cid, (row_number() over (partition by cid order by pos) - 1)::bigint as seq, {q('x', 4)} as x, {q('y', 4)} as y from nd")
-def c8_noding(spark, d):
-    return cdt.noded(fx.constraints(spark, d), policy="split").select("cid", "seq", rounded("x", 4).alias("x"), rounded("y", 4).alias("y"))
+def c8_noding(spark, d, whole=False):
+    return cdt.noded(fx.constraints(spark, d, whole), policy="split").select("cid", "seq", rounded("x", 4).alias("x"), rounded("y", 4).alias("y"))
 
 
 @query("c5_vertex_usage", f"with {CONS}, w as (select cid, x, y from cons union all select cid + 100, x, y from cons where cid % 2 = 0) select w.x, w.y, count(distinct cid)::bigint as constraint_count, count(*)::bigint as reference_count, bool_or(x.k is not null and x.k < 10) as is_base_point from w left join x on x.x = w.x and x.y = w.y group by w.x, w.y")
-def c5_vertex_usage(spark, d):
-    c = fx.constraints(spark, d)
+def c5_vertex_usage(spark, d, whole=False):
+    c = fx.constraints(spark, d, whole)
     both = c.unionByName(c.where("cid % 2 = 0").withColumn("cid", F.col("cid") + 100))
-    return cdt.vertex_usage(both, fx.suppliers(spark, d).where("id <= 10"))
+    return cdt.vertex_usage(both, fx.suppliers(spark, d).where(F.lit(whole) | (F.col("id") <= 10)))
 
 
 @query("c4_remove_constraint", f"with {CONS} select cid, seq, x, y from cons where cid <> 3")
-def c4_remove_constraint(spark, d):
-    return cdt.remove_constraint(fx.constraints(spark, d), 3).select("cid", "seq", "x", "y")
+def c4_remove_constraint(spark, d, whole=False):
+    return cdt.remove_constraint(fx.constraints(spark, d, whole), 3).select("cid", "seq", "x", "y")
 
 
 @query("c6_remove_vertex", f"with {CONS} select cid, case when cid = 5 then 0 else seq end::bigint as seq, x, y from cons where not (cid = 5 and seq = 0)")
-def c6_remove_vertex(spark, d):
-    return cdt.remove_vertex(fx.constraints(spark, d), 5, 0).select("cid", "seq", "x", "y")
+def c6_remove_vertex(spark, d, whole=False):
+    return cdt.remove_vertex(fx.constraints(spark, d, whole), 5, 0).select("cid", "seq", "x", "y")
 
 
-def _edits(spark, d) -> DataFrame:
-    c = fx.constraints(spark, d)
+def _edits(spark, d, whole: bool = False) -> DataFrame:
+    c = fx.constraints(spark, d, whole)
     up = c.where("cid % 4 = 0").withColumn("x", F.col("x") + 1.0).withColumn("order", F.lit(1).cast("long")).withColumn("op", F.lit("update"))
     gone = c.where("cid % 8 = 0 and seq = 0").withColumn("order", F.lit(2).cast("long")).withColumn("op", F.lit("remove"))
     new = c.where("cid = 1").withColumn("cid", F.lit(99).cast("long")).withColumn("order", F.lit(3).cast("long")).withColumn("op", F.lit("add"))
@@ -699,13 +700,13 @@ def _edits(spark, d) -> DataFrame:
 
 
 @query("c7_edit_log", f"with {CONS} select cid, seq, case when cid % 4 = 0 then x + 1 else x end as x, y from cons where cid % 8 <> 0 union all select 99, seq, x, y from cons where cid = 1")
-def c7_edit_log(spark, d):
-    return cdt.apply_edits(fx.constraints(spark, d), _edits(spark, d)).select("cid", "seq", "x", "y")
+def c7_edit_log(spark, d, whole=False):
+    return cdt.apply_edits(fx.constraints(spark, d, whole), _edits(spark, d, whole)).select("cid", "seq", "x", "y")
 
 
 @query("c3_update_constraint", f"with {CONS} select cid, seq, case when cid = 2 then x + 10 else x end as x, y from cons")
-def c3_update_constraint(spark, d):
-    c = fx.constraints(spark, d)
+def c3_update_constraint(spark, d, whole=False):
+    c = fx.constraints(spark, d, whole)
     up = c.where("cid = 2").withColumn("x", F.col("x") + 10.0).withColumn("order", F.lit(1).cast("long")).withColumn("op", F.lit("update"))
     return cdt.apply_edits(c, up).select("cid", "seq", "x", "y")
 
@@ -732,9 +733,9 @@ def c13_domain_window(spark, d):
 
 
 @query("c14_domain_sample", f"with {DOM}, {CUST}, {HITS.replace('dt t', '(select dt.* from dt join dom using (a, b, c) where in_domain) t')} select q.qid, {q(PLANE.replace(' (x - ax)', ' (one.x - ax)').replace(' (y - ay)', ' (one.y - ay)'), 4)} as z from qs q left join one on one.qid = q.qid and n = 1")
-def c14_domain_sample(spark, d):
+def c14_domain_sample(spark, d, whole=False):
     marked = cdt.domain(tin(spark, d).triangles, fx.rings(spark))
-    return cdt.sample(marked, asked(spark, d)).select("qid", rounded("z", 4).alias("z"))
+    return cdt.sample(marked, asked(spark, d, whole)).select("qid", rounded("z", 4).alias("z"))
 
 
 @query("c1_build")
@@ -775,35 +776,35 @@ def v7_contours_from_domain(spark, d):
 
 
 @query("io16_index_window", f"with {CONS} select cid, 1::int as kind, count(*)::bigint as points from cons group by cid having max(x) >= 30000 and min(x) <= 50000 and max(y) >= 30000 and min(y) <= 40000")
-def io16_index_window(spark, d):
+def io16_index_window(spark, d, whole=False):
     p = scratch.path(spark, "constraints")
-    tables.save_constraints(fx.constraints(spark, d), p)
+    tables.save_constraints(fx.constraints(spark, d, whole), p)
     return tables.query_constraints(spark, p, 30000, 30000, 50000, 40000)
 
 
 @query("io17_read_constraint", f"with {CONS} select cid, seq, x, y from cons where cid = 7")
-def io17_read_constraint(spark, d):
+def io17_read_constraint(spark, d, whole=False):
     p = scratch.path(spark, "constraints")
-    tables.save_constraints(fx.constraints(spark, d), p)
+    tables.save_constraints(fx.constraints(spark, d, whole), p)
     return tables.read_constraint(spark, p, 7).select("cid", "seq", "x", "y")
 
 
 @query("io15_constraint_table", f"with {CONS} select cid, 1::int as kind, false as closed, seq, x, y from cons")
-def io15_constraint_table(spark, d):
+def io15_constraint_table(spark, d, whole=False):
     p = scratch.path(spark, "constraints")
-    tables.save_constraints(fx.constraints(spark, d), p)
+    tables.save_constraints(fx.constraints(spark, d, whole), p)
     return spark.read.parquet(p).select("cid", "kind", "closed", "seq", "x", "y")
 
 
 @query("c11_constraint_info", f"with {CONS} select cid, 1::int as kind, false as closed, count(*)::bigint as points from cons group by cid")
-def c11_constraint_info(spark, d):
-    return fx.constraints(spark, d).groupBy("cid", "kind", "closed").agg(F.count(F.lit(1)).alias("points"))
+def c11_constraint_info(spark, d, whole=False):
+    return fx.constraints(spark, d, whole).groupBy("cid", "kind", "closed").agg(F.count(F.lit(1)).alias("points"))
 
 
 @query("c15_domain_surface", f"with {DOM}, {CUST}, {HITS.replace('dt t', '(select dt.* from dt join dom using (a, b, c) where in_domain) t')} select q.qid, {q('((bz - az) * (cy - ay) - (by_ - ay) * (cz - az)) / det::double', 8)} as dz_dx, {q('((bx - ax) * (cz - az) - (bz - az) * (cx - ax)) / det::double', 8)} as dz_dy from qs q left join one on one.qid = q.qid and n = 1")
-def c15_domain_surface(spark, d):
+def c15_domain_surface(spark, d, whole=False):
     marked = cdt.domain(tin(spark, d).triangles, fx.rings(spark))
-    return cdt.sample(marked, asked(spark, d)).select("qid", rounded("dz_dx", 8).alias("dz_dx"), rounded("dz_dy", 8).alias("dz_dy"))
+    return cdt.sample(marked, asked(spark, d, whole)).select("qid", rounded("dz_dx", 8).alias("dz_dx"), rounded("dz_dy", 8).alias("dz_dy"))
 
 
 # A session over one mesh ---------------------------------------------------------------
@@ -1024,25 +1025,25 @@ def io8_grid_table(spark, d):
 
 
 @query("io13_contours_text", f"with {LATTICE} select k // 5 as line_id, (k // 5) * 10e0 as elevation, (k // 5) % 2 = 0 as closed, k % 5 as i, x, y from x where k < 50")
-def io13_contours_text(spark, d):
+def io13_contours_text(spark, d, whole=False):
     p = scratch.path(spark, "lines")
-    text.write_lines(_lines(spark, d), p)
+    text.write_lines(_lines(spark, d, whole), p)
     return text.read_lines(spark, p).select("line_id", "elevation", "closed", F.posexplode("pts").alias("i", "p")).select("line_id", "elevation", "closed", F.col("i").cast("long").alias("i"), "p.x", "p.y")
 
 
 @query("io14_constraints_text", f"with {CONS} select cid, seq, x, y from cons")
-def io14_constraints_text(spark, d):
+def io14_constraints_text(spark, d, whole=False):
     p = scratch.path(spark, "constraints")
-    text.write_constraints(fx.constraints(spark, d), p)
+    text.write_constraints(fx.constraints(spark, d, whole), p)
     return text.read_constraints(spark, p).select("cid", "seq", "x", "y")
 
 
 @query("io20_geojson", f"with {LATTICE} select (k // 5) * 10e0 as elevation, count(*)::bigint as points from x where k < 50 group by 1")
-def io20_geojson(spark, d):
+def io20_geojson(spark, d, whole=False):
     p = scratch.path(spark, "geojson")
-    whole = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(F.from_json("value", "struct<type: string, geometry: struct<type: string, coordinates: array<array<double>>>, properties: struct<elevation: double, closed: boolean, line_id: long>>")).alias("features")))
-    text.write_geojson_lines(_lines(spark, d), p)
-    spark.read.text(p).agg(whole.alias("value")).coalesce(1).write.text(f"{p}-whole")
+    collection = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(F.from_json("value", "struct<type: string, geometry: struct<type: string, coordinates: array<array<double>>>, properties: struct<elevation: double, closed: boolean, line_id: long>>")).alias("features")))
+    text.write_geojson_lines(_lines(spark, d, whole), p)
+    spark.read.text(p).agg(collection.alias("value")).coalesce(1).write.text(f"{p}-whole")
     return text.read_geojson_lines(spark, f"{p}-whole").select("elevation", F.size("pts").cast("long").alias("points"))
 
 
@@ -1092,16 +1093,16 @@ def r4_reproject_mesh(spark, d):
 
 @query("r5_reproject_grid", f"""with {PARTS}, {sampled_sql(f"p as (select a.r, b.c, degrees(b.c * 100000e0 / 6378137e0) as x, degrees(2e0 * atan(exp(a.r * 100000e0 / 6378137e0)) - pi() / 2) as y from (select unnest(range(0, 20)) as r) a, (select unnest(range(0, 40)) as c) b)", "k.r, k.c")}
   select r as "row", c as col, {q(BILINEAR, 5)} as value from s where r > 0 and c > 0""")
-def r5_reproject_grid(spark, d):
+def r5_reproject_grid(spark, d, whole=False):
     g = fx.parts(spark, d)
     g = Grid(g.df, replace(g.meta, crs="EPSG:4326"))
     out = reproject.grid(g, GridMeta(40, 20, (0.0, 100000.0, 0.0, 0.0, 0.0, 100000.0), "EPSG:3857"))
-    return out.df.where("row > 0 and col > 0").select("row", "col", rounded("z", 5).alias("value"))
+    return out.df.where(F.lit(whole) | ((F.col("row") > 0) & (F.col("col") > 0))).select("row", "col", rounded("z", 5).alias("value"))
 
 
 @query("r6_reproject_contours", f"with {LATTICE} select k // 5 as line_id, k % 5 as i, {q('6378137e0 * radians(x / 10000)', 3)} as x, {q('6378137e0 * ln(tan(pi() / 4 + radians(y / 10000) / 2))', 3)} as y from x where k < 50")
-def r6_reproject_contours(spark, d):
-    small = _lines(spark, d).withColumn("pts", F.transform("pts", lambda p: F.struct((p["x"] / 10000).alias("x"), (p["y"] / 10000).alias("y"), p["z"].alias("z"))))
+def r6_reproject_contours(spark, d, whole=False):
+    small = _lines(spark, d, whole).withColumn("pts", F.transform("pts", lambda p: F.struct((p["x"] / 10000).alias("x"), (p["y"] / 10000).alias("y"), p["z"].alias("z"))))
     moved = crs.transform_lines(small, "EPSG:4326", "EPSG:3857")
     return moved.select("line_id", F.posexplode("pts").alias("i", "p")).select("line_id", F.col("i").cast("long").alias("i"), rounded("p.x", 3).alias("x"), rounded("p.y", 3).alias("y"))
 
@@ -1130,3 +1131,20 @@ def t2_edit_stream(spark, d):
     return edits.folded(spark.read.parquet(out).drop("generation")).select("id", "z")
 
 
+
+
+# Whole tables ------------------------------------------------------------------------------
+
+WHOLE_CONS = "cons as (select k // 2 + 1 as cid, k % 2 as seq, x, y from x)"
+
+
+def whole(name: str, sql: bool = True) -> None:
+    """Registers ``<name>_whole``: a query whose SQL is bounded to a few ids once more, over all rows of its tables."""
+    text = ORACLE_SQL[name]
+    for bounded, all_ in ((CONS.removeprefix(f"{LATTICE}, "), WHOLE_CONS), (" where k < 50", ""), (" where c_custkey >= 100", ""), (" and x.k < 10", ""), (" where r > 0 and c > 0", "")):
+        text = text.replace(bounded, all_)
+    query(f"{name}_whole", text if sql else None)(partial(QUERIES[name], whole=True))
+
+
+for _name in ("v4_contour_points", "io13_contours_text", "io20_geojson", "r6_reproject_contours", "c3_update_constraint", "c4_remove_constraint", "c5_vertex_usage", "c6_remove_vertex", "c7_edit_log", "c8_crossings", "c8_noding", "c11_constraint_info", "io14_constraints_text", "io15_constraint_table", "io16_index_window", "io17_read_constraint", "t6_nearest", "t7_locate", "t9_surface", "c14_domain_sample", "c15_domain_surface", "r5_reproject_grid"):
+    whole(_name)

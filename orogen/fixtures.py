@@ -54,9 +54,13 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")
 
 
-def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaklines between the lattice places of suppliers ten apart, twenty of them."""
-    p = suppliers(spark, sf_dir).where("id <= 40")
+def constraints(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Breaklines between the lattice places of suppliers twenty apart, twenty of them; ``whole``: between all suppliers, by pairs."""
+    p = suppliers(spark, sf_dir)
+    if whole:
+        cid, seq = F.expr("(id - 1) div 2 + 1"), (F.col("id") - 1) % 2
+        return p.select(cid.alias("cid"), F.lit(1).alias("kind"), F.lit(False).alias("closed"), seq.alias("seq"), "x", "y", F.lit(0.0).alias("z"))
+    p = p.where("id <= 40")
     a = p.where("id <= 20").select(F.col("id").alias("cid"), F.lit(0).cast("long").alias("seq"), "x", "y", F.lit(0.0).alias("z"))
     b = p.where("id > 20").select((F.col("id") - 20).alias("cid"), F.lit(1).cast("long").alias("seq"), "x", "y", F.lit(0.0).alias("z"))
     return a.unionByName(b).select("cid", F.lit(1).alias("kind"), F.lit(False).alias("closed"), "seq", "x", "y", "z")
