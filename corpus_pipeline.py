@@ -24,17 +24,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component.
+    """One document of each near-duplicate component, with the smallest id; texts without a word all stay.
 
-    Rows with one id count as one document, of which one row stays; rows
-    without an id stay if no document with an id is like them, one for each text.
+    Rows with one id and text count as one document, of which one row stays.
+    Several texts of one id, and documents without an id, are documents apart.
     """
     marked = docs.withColumn("__text", F.xxhash64("text"))
-    kept = near_dedup.dedup(marked, carry=("__text",), percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__held")).distinct()
-    held = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__held")), "left_semi")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("__text").cast("string")))
-    first = F.row_number().over(Window.partitionBy("__name").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))
-    return held.withColumn("__name", name).withColumn("__first", first).where("__first = 1").select(docs.columns)
+    found = near_dedup.dedup(marked, carry=("__text",), percent=NEAR_PERCENT, key="__key").where("kept")
+    row = F.struct(F.col("doc_id").alias("__id"), F.col("__text").alias("__held"))
+    apart = F.when(F.col("__key").isNull(), row)  # empty sets have no component
+    chosen = found.groupBy("__key", apart.alias("__apart")).agg(F.min(row).alias("__row")).select("__row.*")
+    held = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__held")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))
+    return held.withColumn("__first", first).where("__first = 1").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,7 +251,7 @@ def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: st
     return components(links.unionByName(across(left, classes, sets_of(left.select("cls")), percent)))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), percent: int = PERCENT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), percent: int = PERCENT, key: str | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every row, and its columns ``carry``.
 
     Texts link whose sets' Jaccard similarity is ``percent`` hundredths or more.
@@ -259,7 +259,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     it is the row's own. Null and blank texts have an empty set, no link and
     their own id. Rows with equal ids and texts stay as many as they are; a
     null id is never the smallest unless its component has no other, and then
-    ``component_id`` is null and ``kept`` true. An empty table gives none.
+    ``component_id`` is null and ``kept`` true. An empty table gives none. Column
+    ``key``, if named, tells components apart that have the same smallest id or
+    none; it is null for empty sets.
     """
     docs = docs.select(F.col(id_col), F.col(text_col), *carry)
     rows = stored(sketches(docs, text_col, percent), "sketches")
@@ -269,7 +271,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     labels = linked(docs, classes, first_ids, id_col, text_col, percent)
     named = first_ids.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_class = named.join(lowest, "label").select("cls", "component_id")
+    by_class = named.join(lowest, "label").select("cls", "component_id", *([F.col("label").alias(key)] if key else []))
     out = rows.select(id_col, "n_shingles", "cls", *carry).join(by_class, "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col(id_col)).otherwise(F.col("component_id"))
-    return out.select(id_col, "n_shingles", *carry, component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"))
+    return out.select(id_col, "n_shingles", *carry, *([key] if key else []), component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"))

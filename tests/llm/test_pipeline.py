@@ -56,3 +56,16 @@ def test_near_copies_from_four_fifths_go(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate((a, b, c, d))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x.doc_id for x in corpus_pipeline.deduplicated(spark, docs, "").collect()) == [0, 2, 3]
+
+
+def test_one_document_of_each_component_whatever_its_ids(spark):
+    r = random.Random(12)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    a, b, c, e = (text() for _ in range(4))
+    rows = [(7, a), (7, b), (7, b), (8, b + " ende"), (None, c), (None, c + " ende"), (None, e), (None, e), (9, " "), (9, None), (3, e + " ende")]
+    rows = [(i, t, "en", "s", len(t) if t else None) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.deduplicated(spark, docs, "").collect()]
+    assert sorted((t for i, t in got if i == 7)) == sorted((a, b))
+    assert [t[:400] for i, t in got if i is None] == [c[:400]] and {i for i, _ in got} == {7, None, 9, 3}
+    assert sorted((str(t) for i, t in got if i == 9)) == [" ", "None"] and len(got) == 6
