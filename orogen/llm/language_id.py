@@ -26,6 +26,8 @@ SLOTS = 1 << 17
 STRETCH = 1 << 19
 #: Labelled rows that the classifiers are fitted on at most, about.
 SAMPLE_ROWS = 6_000
+#: Rows of each label at least, if it has them, however many labels share the sample.
+LEAST_ROWS = 20
 
 _FOLD = LOWER.copy()
 _FOLD[[*range(0x00, 0x21), *range(0x30, 0x3A)]] = 0x20
@@ -158,16 +160,17 @@ def fit(df: DataFrame, usable: Column, text_col: str = "text", label_col: str =
     """Fits on about ``sample_rows`` labelled rows, chosen by a hash of the key and text.
 
     Every label gets an equal share, so rare languages are learned too. The
-    bound is the parameter; rows with null text or label are not used.
+    bound is the parameter, but for LEAST_ROWS rows of each label; rows with
+    null text or label are not used.
     """
     rows = df.where(usable & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).cast("string")).count().orderBy(F.desc("count")).limit(200).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).cast("string")).count().collect()}
     if not sizes:
         return train([], [])
-    share = sample_rows / len(sizes)
+    share = max(sample_rows / len(sizes), LEAST_ROWS)
     draw = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.col(text_col)), F.lit(1_000_000)) / 1e6
     chance = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, share / n))])
-    chosen = rows.where(draw < chance[F.col(label_col).cast("string")]).select(F.col(text_col), F.col(label_col).cast("string")).limit(2 * sample_rows).collect()
+    chosen = rows.where(draw < chance[F.col(label_col).cast("string")]).select(F.col(text_col), F.col(label_col).cast("string")).limit(max(2 * sample_rows, int(2 * share * len(sizes)))).collect()
     return train([r[0] for r in chosen], [r[1] for r in chosen])
 
 

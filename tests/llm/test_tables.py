@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orogen.llm import ann, components, role_repair, secrets, temperature_mix, topk_blocks, warc
+from orogen.llm import ann, components, language_id, role_repair, secrets, temperature_mix, topk_blocks, warc
 from orogen.llm.common import shared_path
 
 
@@ -143,3 +143,10 @@ def test_queries_get_all_their_neighbours_on_skewed_clusters(spark):
         exact[q] = -np.inf
         right += len({v for v, _ in got.values()} & set(np.argsort(-exact)[:20].tolist()))
     assert right >= 0.95 * 20 * len(rows)
+
+
+def test_all_labels_are_learned(spark):
+    letters = "abcdefghijklmnop"
+    rows = [(f"{c}{'xy'[i]}", letters[c % 16] * 3 + letters[c // 16] * 4 + " " + letters[c // 16] * 5, f"l{c}") for c in range(203) for i in range(2 if c else 1)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id string, text string, lang string"), F.lit(True))
+    assert model.languages == sorted({r[2] for r in rows})
