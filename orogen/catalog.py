@@ -386,19 +386,24 @@ def g22_registration_scores(spark, d):
 @query("g22_registration")
 def g22_registration(spark, d):
     ref, moving = _shifted(spark, d)
-    r = registration.register(ref, moving, budget=256, minimum=16, most=2.0, least=0.5)
+    r = registration.register(ref, moving, most=2.0, least=0.5)
     return spark.createDataFrame([(r.dx, r.dy, r.dz, r.rmse_after, r.overlap, r.valid, r.candidates)], "dx double, dy double, dz double, rmse double, overlap double, valid long, candidates long")
 
 
 @query("g23_surface_error", f"""with {PARTS}, {HP}, {sampled_sql("p as (select idx, hx as x, hy as y, 0 as side from hp union all select idx, hx - 0.5e0, hy - 0.25e0, 1 from hp)", "idx, side")},
   z as (select idx, side, {BILINEAR} as z from s), e as (select a.z - (b.z + 2e0 - 2e0) as e from z a join z b on a.idx = b.idx and a.side = 0 and b.side = 1 where a.z is not null and b.z is not null)
   select count(*)::bigint as valid_count, {q("min(e)")} as minimum_error, {q("max(e)")} as maximum_error, {q("avg(e)")} as mean_error, {q("avg(abs(e))")} as mean_absolute_error, {q("sqrt(avg(e * e))")} as rmse, {q("max(abs(e))")} as maximum_absolute_error, 512::bigint as attempted_count from e""")
-def g23_surface_error(spark, d):
+def g23_surface_error(spark, d, **bounds):
     ref, moving = _shifted(spark, d)
-    e = registration.error(ref, moving, dx=0.5, dy=0.25, dz=-2.0, minimum=64, budget=512)
+    e = registration.error(ref, moving, dx=0.5, dy=0.25, dz=-2.0, **(bounds or {"minimum": 64, "budget": 512}))
     return e.select("valid_count", *(rounded(c).alias(c) for c in ("minimum_error", "maximum_error", "mean_error", "mean_absolute_error", "rmse", "maximum_absolute_error")), "attempted_count")
 
 
+@query("g23_surface_error_full", ORACLE_SQL["g23_surface_error"].replace(halton_sql(512), halton_sql(65_536)).replace("512::bigint", "65536::bigint"))
+def g23_surface_error_full(spark, d):
+    return g23_surface_error(spark, d, minimum=1024, budget=65_536)
+
+
 @query("g24_apply_registration", f"""with {PARTS}, {sampled_sql("p as (select r, c, c - 0.5e0 as x, r - 0.25e0 as y from g)", "k.r, k.c")} select r as "row", c as col, {q(f"{BILINEAR} + 1e0")} as value from s""")
 def g24_apply_registration(spark, d):
     g = fx.parts(spark, d)
@@ -897,7 +902,7 @@ def m5_ears(spark, d):
 
 @query("m6_polygon_volume")
 def m6_polygon_volume(spark, d):
-    return measure.polygon_volume(fx.parts(spark, d), [(x * 4 + 2.3, y * 0.5 + 1.1) for x, y in CONCAVE], 20.0, 2000)
+    return measure.polygon_volume(fx.parts(spark, d), [(x * 4 + 2.3, y * 0.5 + 1.1) for x, y in CONCAVE], 20.0)
 
 
 @query("m7_nice_interval", f"select o_orderkey, {q('case when n <= 1 then 1e0 when n <= 2 then 2e0 when n <= 5 then 5e0 else 10e0 end * p', 3)} as interval from (select o_orderkey, o_totalprice / 12e0 / pow(10e0, floor(log10(o_totalprice / 12e0))) as n, pow(10e0, floor(log10(o_totalprice / 12e0))) as p from orders where o_totalprice > 0)")
