@@ -6,14 +6,17 @@ retained values bring classes together: a pair over the threshold must share a
 known number of retained values, hence one among the rarest few of each, so
 only those are listed and widely shared passages make no lists of strangers.
 
-A list never gives all its pairs. The class that shares most with others leads;
-members meet the leader, and the union of two sketches estimates their
-similarity; pairs that may reach the threshold are verified on full sets.
-Members linked with the leader leave the list. As similarity is a metric, they
-can only link with members that are near the leader: if some of those are
-outside its component, the leader's surroundings are compared in blocks. What a
-few leaders leave of a list is compared in blocks too. Blocks compare sketches
-first, then full sets, and give the links that join components, not all pairs.
+A list never gives all its pairs. The class that shares most with others leads,
+at first for all lists that its members reach, so that a large family has one
+leader; members meet the leader, and the union of two sketches estimates their
+similarity; pairs that may reach the threshold are verified on full sets. As
+similarity is a metric, members linked with the leader can only link with
+members that are near it: if some of those are outside its component, the
+leader's surroundings are compared in blocks, once. Members that are settled
+leave the list; a list goes when the rest share a component or a leader's
+surroundings. What a few leaders leave is compared in blocks too. Blocks are
+cut by the size of their sets; sketches and then full sets meet as products of
+matrices, and only the links that join components come out.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.common import BLANK, LOWER, discard, mix64, stored, word_hashes
+from orogen.llm.common import BLANK, LOWER, discard, mix64, stored, texts_to_python, tidy, word_hashes
 from orogen.llm.components import components
 
 WORDS, KEEP = 5, 64
@@ -35,8 +38,10 @@ PERCENT = 85
 #: Chance that a pair at the threshold shares fewer retained values than assumed.
 RISK = 1e-9
 LEADERS = 2
-#: Members of a block in the comparison of what leaders leave.
-BLOCK = 512
+#: Shingles of a block in comparisons, about; a set counts for LIGHT at least, so blocks also have few rows.
+BLOCK, LIGHT = 1 << 19, 128
+#: Rows and columns of the matrices that a comparison multiplies.
+ROWS, COLUMNS = 512, 4096
 
 _STEP = [pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) | 1 for i in range(WORDS)]
 
@@ -49,7 +54,7 @@ def shingles(text: str | None) -> np.ndarray:
     """
     if not text:
         return np.empty(0, dtype=np.int64)
-    words = word_hashes(LOWER[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)], BLANK)
+    words = word_hashes(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), BLANK, fold=LOWER)
     size = min(WORDS, len(words))
     if not size:
         return np.empty(0, dtype=np.int64)
@@ -104,7 +109,7 @@ def sketches(docs: DataFrame, text_col: str, percent: int = PERCENT) -> DataFram
 
     @F.pandas_udf("n_shingles long, cls binary, sketch array<long>, need int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in tidy(batches):
             out = []
             for t in texts:
                 s = shingles(t)
@@ -152,7 +157,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, first_ids: DataFrame, id_col:
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in tidy(batches):
             sets = [shingles(t) for t in part["text"]]
             yield pd.DataFrame({"cls": [set_key(s) if len(s) else None for s in sets], "values": sets})
 
@@ -169,45 +174,93 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(common * 100 >= percent * (F.size("v_a") + F.size("v_b") - common)).select("a", "b")
 
 
+def dense(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """0/1 matrix of rows of sorted values over some sorted values."""
+    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    values = np.concatenate(rows)
+    at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+    held = columns[at] == values
+    out[row[held], at[held]] = 1
+    return out
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Of every pair from two lists of sorted sets, how many values both have; a bounded number of columns at a time."""
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    met = np.zeros((len(a), len(b)))
+    for at in range(0, len(common), COLUMNS):
+        columns = common[at : at + COLUMNS]
+        met += dense(a, columns) @ dense(b, columns).T
+    return met
+
+
+def joining(full: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of linked pairs that join different labels, enough to join all that belongs together.
+
+    With ``side`` only pairs from different sides are looked at. Joined labels
+    become one, so there are fewer pairs than rows; ``label`` is changed.
+    """
+    n = np.array([len(f) for f in full])
+    need = np.array([needed(min(m, 8 * KEEP - 1), percent) for m in n])
+    order, out = np.lexsort((n, label)), []
+    strips = [order[at : at + ROWS] for at in range(0, len(order), ROWS)]
+    for p, one in enumerate(strips):
+        for two in strips[p:]:
+            open_ = label[one][:, None] != label[two][None, :]
+            if side is not None:
+                open_ &= side[one][:, None] != side[two][None, :]
+            if one is two:
+                open_ &= np.triu(np.ones(open_.shape, dtype=bool), 1)
+            open_ &= np.minimum(n[one][:, None], n[two][None, :]) * 100 >= percent * np.maximum(n[one][:, None], n[two][None, :])
+            if not open_.any():
+                continue
+            met = shared_counts([full[i][:KEEP] for i in one], [full[i][:KEEP] for i in two])  # at least the count within the k smallest of the union
+            open_ &= met >= np.maximum(need[one][:, None], need[two][None, :])
+            a, b = np.nonzero(open_)
+            if not len(a):
+                continue
+            if len(a) > len(one) + len(two):
+                exact = shared_counts([full[i] for i in one], [full[i] for i in two])[a, b]
+            else:
+                exact = np.array([len(np.intersect1d(full[one[i]], full[two[j]], assume_unique=True)) for i, j in zip(a, b, strict=True)])
+            linked = exact * 100 >= percent * (n[one[a]] + n[two[b]] - exact)
+            for i, j in zip(one[a[linked]], two[b[linked]], strict=True):
+                if label[i] != label[j]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
+
+
 def across(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between different labels within groups (key, cls, label), enough to join what belongs together.
 
-    Groups are cut into blocks; each pair of blocks is one Python call on at
-    most about 2 * BLOCK rows. A pair whose labels are joined already isn't
-    verified, so a call gives fewer links than it has rows.
+    A group whose sets are together larger than BLOCK is cut into blocks by a
+    hash of the class; each pair of blocks is one Python call.
     """
-    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = groups.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    weighed = groups.join(classes.select("cls", F.greatest("n_shingles", F.lit(LIGHT)).alias("weight")), "cls")
+    sizes = weighed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("weight") / BLOCK).cast("int").alias("blocks")).where("n > 1").drop("n")
+    dealt = weighed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "label")
-    rows = dealt.join(classes.select("cls", "need", "sketch"), "cls").join(sets, "cls")
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        need, full = part["need"].to_numpy(), part["values"].to_list()
-        n = np.array([len(f) for f in full])
-        values, place, times = np.unique(np.concatenate(part["sketch"].to_list()), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(part)), [len(s) for s in part["sketch"]])
-        column = np.cumsum(times > 1) - 1  # values of one row alone take no column
-        often = times[place] > 1
-        has = np.zeros((len(part), int((times > 1).sum())), dtype=np.float32)
-        has[row[often], column[place[often]]] = 1
-        met = has @ has.T  # at least the count within the k smallest of the union
-        size = np.minimum(n[:, None], n[None, :]) * 100 >= percent * np.maximum(n[:, None], n[None, :])
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label")
+
+    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         label = pd.factorize(part["label"])[0]
-        a, b = np.nonzero(np.triu((met >= np.maximum(need[:, None], need[None, :])) & size & (label[:, None] != label[None, :]), 1))
-        cls, out = part["cls"].to_list(), []
-        for k in np.argsort(-met[a, b], kind="stable"):
-            i, j = a[k], b[k]
-            if label[i] == label[j]:
-                continue
-            common = len(np.intersect1d(full[i], full[j], assume_unique=True))
-            if common * 100 >= percent * (n[i] + n[j] - common):
-                out.append((cls[i], cls[j]))
-                label[label == label[j]] = label[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+        side = None if key[1] == key[2] else part["block"].to_numpy()
+        cls = part["cls"].to_list()
+        return pd.DataFrame([(cls[i], cls[j]) for i, j in joining(part["values"].to_list(), label, side, percent)], columns=["a", "b"], dtype=object)
+
+    return dealt.join(sets, "cls").groupBy("key", "i", "j").applyInPandas(meet, "a binary, b binary").distinct()
+
 
-    return rows.groupBy("key", "i", "j").applyInPandas(meet, "a binary, b binary").distinct()
+def leaders(lists: DataFrame, hops: int) -> DataFrame:
+    """(value, lead): of each list's members the class of the highest score; with hops, of lists that members are in too."""
+    held = lists.select("value", "cls")
+    heads = lists.groupBy("value").agg(F.max(F.struct("score", "cls")).alias("top"))
+    for _ in range(hops):
+        reach = held.join(heads, "value").groupBy("cls").agg(F.max("top").alias("top"))
+        heads = held.join(reach, "cls").groupBy("value").agg(F.max("top").alias("top"))
+    return heads.select("value", F.col("top.cls").alias("lead"))
 
 
 def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
@@ -222,10 +275,9 @@ def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: st
     def sets_of(df: DataFrame) -> DataFrame:
         return stored(full_sets(docs, stored(df.distinct(), "wanted"), first_ids, id_col, text_col), "sets")
 
-    for _ in range(LEADERS):
-        heads = lists.groupBy("value").agg(F.max(F.struct("score", "cls"))["cls"].alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-        lists = lists.join(heads, "value")
-        pairs = lists.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    for turn in range(LEADERS):
+        led = stored(lists.join(leaders(lists, 1 if turn == 0 else 0), "value"), "led")
+        pairs = led.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
         pairs = stored(estimated(pairs, classes, percent), "pairs")
         sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
         found = stored(verified(pairs.where("may"), sets, percent), "links")
@@ -233,21 +285,26 @@ def linked(docs: DataFrame, classes: DataFrame, first_ids: DataFrame, id_col: st
         labels = components(links)
         # Leaders with a near class outside their component: their surroundings are compared.
         around = stored(named(named(pairs.select("a", "b"), "a", "label_a", labels), "b", "label_b", labels), "around")
-        open_ = around.where("label_a <> label_b").select("b").distinct()
-        around = around.join(open_, "b", "left_semi")
-        groups = around.select(F.col("b").alias("key"), F.col("a").alias("cls"), F.col("label_a").alias("label")).unionByName(around.select(F.col("b").alias("key"), F.col("b").alias("cls"), F.col("label_b").alias("label")).distinct())
-        links = joined(links, stored(across(groups, classes, sets, percent), "links"))
+        open_ = stored(around.where("label_a <> label_b").select("b").distinct(), "open")
+        if open_.limit(1).count():
+            around = around.join(open_, "b", "left_semi")
+            groups = around.select(F.col("b").alias("key"), F.col("a").alias("cls"), F.col("label_a").alias("label")).unionByName(around.select(F.col("b").alias("key"), F.col("b").alias("cls"), F.col("label_b").alias("label")).distinct())
+            links = joined(links, stored(across(groups, classes, sets, percent), "links"))
+            labels = components(links)
         discard(sets)
-        # Members linked with their leader are done; the others go on without it.
+        # Leaders and members linked with them are done. The others go on, unless the rest of the list is one
+        # component, or near its leader and so compared with one another already.
+        near = pairs.select(F.col("a").alias("cls"), F.col("b").alias("lead"), F.lit(True).alias("near"))
         direct = found.select(F.col("a").alias("cls"), F.col("b").alias("lead"))
-        rest = lists.where("cls <> lead").join(direct, ["cls", "lead"], "left_anti").select("value", "cls", "score")
-        sizes = rest.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("value")
-        lists = stored(rest.join(sizes, "value", "left_semi"), "lists")
+        rest = led.where("cls <> lead").join(direct, ["cls", "lead"], "left_anti").join(near, ["cls", "lead"], "left")
+        rest = stored(named(rest, "cls", "label", labels), "rest")
+        going = rest.groupBy("value").agg((F.min("label") < F.max("label")).alias("apart"), F.max(F.col("near").isNull()).alias("far")).where("apart and far").select("value")
+        discard(lists)
+        discard(led)
+        lists = stored(rest.join(going, "value", "left_semi").select("value", "cls", "score"), "lists")
         if not lists.limit(1).count():
-            return components(links)
-    left = stored(named(lists.select(F.col("value").alias("key"), "cls"), "cls", "label", components(links)), "left")
-    mixed = left.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key")
-    left = left.join(mixed, "key", "left_semi")
+            return labels
+    left = stored(named(lists.select(F.col("value").alias("key"), "cls"), "cls", "label", labels), "left")
     return components(links.unionByName(across(left, classes, sets_of(left.select("cls")), percent)))
 
 
@@ -263,6 +320,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     ``key``, if named, tells components apart that have the same smallest id or
     none; it is null for empty sets.
     """
+    texts_to_python(docs.sparkSession)
     docs = docs.select(F.col(id_col), F.col(text_col), *carry)
     rows = stored(sketches(docs, text_col, percent), "sketches")
     some = rows.where("n_shingles > 0")
