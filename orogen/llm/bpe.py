@@ -12,7 +12,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import regex
@@ -20,6 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orogen.llm.common import texts_to_python, tidy
 
 
 def byte_alphabet() -> list[str]:
@@ -37,8 +38,10 @@ class Codec:
     byte-level symbols whose last carries the end-of-word suffix.
     """
 
-    #: Words in each of the two generations of kept results, so memory is bounded.
-    CACHE = 400_000
+    #: Bytes of kept results, about, in two generations.
+    CACHE = 96 << 20
+    #: Bytes that a kept word takes besides its characters and ids: two objects and a place in a table.
+    ENTRY = 190
     #: Longer words are encoded without being kept.
     KEEP = 64
 
@@ -55,13 +58,19 @@ class Codec:
         letters = byte_alphabet()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + suffix] for c in letters]
-        self.strings = {i: s for s, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in definition["added_tokens"]}
-        self.strings |= {i: s for s, i in self.added.items()}
+        known = {i: s for s, i in (vocab | self.added).items()}
+        self.strings = [known.get(i, "") for i in range(max(known, default=-1) + 1)]
+        self.decimal = [str(i) for i in range(len(self.strings))]
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.pieces = regex.compile(definition["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.young: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the kept results."""
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.size = 0
 
     def merge(self, word: str) -> list[int]:
         """The ids that a word's bytes end up in."""
@@ -103,8 +112,8 @@ class Codec:
                     push(queue, r << 32 | h)
         return [s for s in symbol if s >= 0]
 
-    def chunk(self, text: str) -> tuple[str, int, str]:
-        """Of a run without white space: its ids joined by blanks, their number, the decoded text."""
+    def chunk(self, text: str) -> tuple[int, ...]:
+        """Ids of a run without white space."""
         out = self.old.get(text)
         if out is None:
             if text.isascii():
@@ -112,50 +121,52 @@ class Codec:
                 pieces = [low] if low.isalpha() else self.pieces(low)
             else:
                 pieces = self.pieces("".join([c.lower() for c in text]))
-            ids = self.piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self.piece(p)]
-            strings = self.strings
-            out = " ".join(map(str, ids)), len(ids), " ".join([strings[i] for i in ids])
+            out = tuple(self.merge(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self.piece(p)])
         if len(text) <= self.KEEP:
-            if len(self.young) >= self.CACHE:
-                self.old, self.young = self.young, {}
+            if self.size >= self.CACHE // 2:
+                self.old, self.young, self.size = self.young, {}, 0
             self.young[text] = out
+            self.size += self.ENTRY + len(text) + 8 * len(out)
         return out
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of one piece of the split pattern; words that also stand next to punctuation are found again."""
-        known = self.old.get(text) or self.young.get(text)
-        if known is not None and text.isascii() and text.isalpha():
-            return list(map(int, known[0].split()))
+    def piece(self, text: str) -> Sequence[int]:
+        """Ids of one piece of the split pattern; words that also stand alone are found again."""
+        if text.isascii() and text.isalpha():
+            known = self.young.get(text) or self.old.get(text)
+            if known is not None:
+                return known
         return self.merge(text)
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        if self.special is None or not any(s in text for s in self.added):
+            return self._plain(text)
+        out = []
+        for part in self.special.split(text):
+            known = self.added.get(part)
+            out += self._plain(part) if known is None else [known]
+        return out
+
     def encode(self, text: str) -> tuple[str, int, str]:
         """Ids joined by blanks, their number and the decoded text of a whole text."""
-        if self.special is not None and any(s in text for s in self.added):
-            parts = []
-            for part in self.special.split(text):
-                known = self.added.get(part)
-                parts.append(self._plain(part) if known is None else (str(known), 1, part))
-        else:
-            parts = [self._plain(text)]
-        parts = [p for p in parts if p[1]]
-        return " ".join(p[0] for p in parts), sum(p[1] for p in parts), " ".join(p[2] for p in parts)
-
-    def _plain(self, text: str) -> tuple[str, int, str]:
+        ids = self.ids(text)
+        return " ".join(map(self.decimal.__getitem__, ids)), len(ids), self.decode(ids)
+
+    def _plain(self, text: str) -> list[int]:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # str.split() also splits at four control characters that \s leaves alone
         words = WHITE.split(text) if CONTROL.search(text) else text.split()
         get, make = self.young.get, self.chunk
-        found = [get(w) or make(w) for w in words if w]
-        found = [f for f in found if f[1]]
-        if not found:
-            return "", 0, ""
-        ids, counts, decoded = zip(*found, strict=True)
-        return " ".join(ids), sum(counts), " ".join(decoded)
-
-    def decode(self, ids: list[int]) -> str:
+        out = []
+        for w in words:
+            if w:
+                out += get(w) or make(w)
+        return out
+
+    def decode(self, ids: Sequence[int]) -> str:
         """Vocabulary strings of the ids, joined as a tokenizer without decoder does."""
-        return " ".join(self.strings[i] for i in ids)
+        return " ".join(map(self.strings.__getitem__, ids))
 
 
 CONTROL = regex.compile("[\x1c-\x1f]")
@@ -178,44 +189,47 @@ def ship(spark, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Adds ``n_tokens``, ``ids`` (as decimal text, blank-separated) and ``decoded``.
-
-    Every whole text is encoded; null counts as the empty text, which has no
-    ids and decodes to the empty text. Input columns with one of these names
-    are replaced. Repeated rows stay repeated; an empty table gives none.
-    """
-    return _mapped(df, path, text_col, digests=False)
+#: What :func:`encode` can add, with its type.
+MADE = {"n_tokens": "long", "ids": "string", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode_digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """As :func:`encode`, with SHA-256 digests in place of ids and decoded text.
+def sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
-    Only the digests leave Python, so rows stay small; adds ``n_tokens``,
-    ``ids_sha256`` and ``decoded_sha256``.
-    """
-    return _mapped(df, path, text_col, digests=True)
 
+def encode(df: DataFrame, path: str, text_col: str = "text", add: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """Adds columns of :data:`MADE`; ``ids`` are decimal, blank-separated.
 
-def _mapped(df: DataFrame, path: str, text_col: str, *, digests: bool) -> DataFrame:
+    Every whole text is encoded; null counts as the empty text, which has no
+    ids and decodes to the empty text. Input columns with one of the added
+    names are replaced. Repeated rows stay repeated; an empty table gives none.
+    Only what is asked for leaves Python, so digests keep rows small.
+    """
+    texts_to_python(df.sparkSession)
     name = ship(df.sparkSession, path)
-    kind = "n_tokens long, first string, second string"
-    titles = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
+    # The decoded text comes from the ids' vocabulary strings.
+    parts = {"n_tokens": lambda ids, n, text: n, "ids": lambda ids, n, text: ids, "decoded": lambda ids, n, text: text,
+             "ids_sha256": lambda ids, n, text: sha256(ids), "decoded_sha256": lambda ids, n, text: sha256(text)}
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(", ".join(f"{c} {MADE[c]}" for c in add))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(name)
-        for texts in batches:
-            rows = []
-            for t in texts:
-                ids, n, decoded = codec.encode(t or "")
-                if digests:
-                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                else:
-                    rows.append((n, ids, decoded))
-            yield pd.DataFrame(rows, columns=["n_tokens", "first", "second"])
-
-    made = ("n_tokens", *titles)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
-    out = df.select(*kept, run(F.coalesce(F.col(text_col), F.lit(""))).alias("__bpe"))
-    return out.select(*kept, F.col("__bpe.n_tokens").alias("n_tokens"), F.col("__bpe.first").alias(titles[0]), F.col("__bpe.second").alias(titles[1]))
+        wanted = [parts[c] for c in add]
+        try:
+            for texts in tidy(batches):
+                rows = []
+                for t in texts:
+                    out = codec.encode(t or "")
+                    rows.append(tuple([f(*out) for f in wanted]))
+                yield pd.DataFrame(rows, columns=list(add))
+        finally:
+            codec.forget()
+
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in add]
+    out = df.select(*kept, run(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__bpe"))
+    return out.select(*kept, *(F.col(f"__bpe.{c}").alias(c) for c in add))
+
+
+def encode_digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """As :func:`encode`, with SHA-256 digests in place of ids and decoded text."""
+    return encode(df, path, text_col, ("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -34,9 +34,11 @@ def test_bpe_equals_the_library():
 def test_bpe_cache_is_bounded():
     with open(PATH, encoding="utf-8") as f:
         codec = Codec(json.load(f))
-    codec.CACHE = 10
+    codec.CACHE = 20 * codec.ENTRY
     first = codec.encode(" ".join(f"w{i}" for i in range(100)))
     assert len(codec.young) <= 10 and len(codec.old) <= 10
+    codec.forget()
+    assert not codec.young and not codec.old
     assert codec.encode(" ".join(f"w{i}" for i in range(100))) == first
 
 
@@ -151,3 +153,13 @@ def test_repairs_are_cheapest_and_legal():
         assert cost == (cheapest(roles) if roles else 0)
         assert "system" not in seq[1:] and all(a != b for a, b in itertools.pairwise(seq)) and (not seq or seq[-1] == "assistant")
         assert [f"t{i}" for i in range(len(roles))] == re.findall(r"t\d+", text)
+
+
+def test_hashes_do_not_depend_on_stretches(monkeypatch):
+    r = np.random.default_rng(1)
+    letters = lambda n, from_: r.choice(np.frombuffer(from_, dtype=np.uint8), n)
+    for data in (letters(5_000, b"abcd  "), letters(3_000, b"ab"), np.concatenate([letters(500, b"ab "), letters(900, b"ab"), letters(500, b"ab ")])):
+        whole = word_hashes(data, BLANK), np.sort(word_hashes(data, BLANK, (4, 5)))
+        with monkeypatch.context() as m:
+            m.setattr("orogen.llm.common.STRETCH", 64)
+            assert (word_hashes(data, BLANK) == whole[0]).all() and (np.sort(word_hashes(data, BLANK, (4, 5))) == whole[1]).all()

@@ -6,10 +6,12 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from orogen.llm import ann, components, language_id, role_repair, secrets, temperature_mix, topk_blocks, warc
+from orogen.llm import ann, bpe, components, language_id, role_repair, secrets, temperature_mix, topk_blocks, warc
 from orogen.llm.common import shared_path
 
 
@@ -150,3 +152,20 @@ def test_all_labels_are_learned(spark):
     rows = [(f"{c}{'xy'[i]}", letters[c % 16] * 3 + letters[c // 16] * 4 + " " + letters[c // 16] * 5, f"l{c}") for c in range(203) for i in range(2 if c else 1)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id string, text string, lang string"), F.lit(True))
     assert model.languages == sorted({r[2] for r in rows})
+
+
+def test_encoding_of_a_table_equals_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [None, "", " \n", "It's 42 Kühe, ǅ!", "<|endoftext|>x", "long word " * 30_000, "It's 42 Kühe, ǅ!", "x" * 70_000]
+    df = spark.createDataFrame([(i % 7, t, "clash") for i, t in enumerate(texts)] + [(None, "a", "b")], "doc_id long, text string, ids string")
+    got = bpe.encode(df, path).collect()
+    for r in got:
+        e = library.encode(r.text or "", add_special_tokens=False)
+        assert r.ids == " ".join(map(str, e.ids)) and r.n_tokens == len(e.ids) and r.decoded == library.decode(e.ids, skip_special_tokens=False)
+    assert len(got) == 9
+    digests = {(r.doc_id, r.text): r for r in bpe.encode_digests(df, path).collect()}
+    for r in got:
+        d = digests[r.doc_id, r.text]
+        assert d.ids_sha256 == hashlib.sha256(r.ids.encode()).hexdigest() and d.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    assert bpe.encode(df.where("false"), path).count() == 0
