@@ -9,6 +9,8 @@ is live-looking, and its wider occurrences are added to the spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,46 @@ WIDE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Z
 KINDS = ("assign", "access", "hex", "owned")
 
 
+#: Items of a part in which :func:`running` combines; parts are combined apart from one another.
+PART = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_parts(items: Column) -> Column:
+    """An array cut into arrays of PART items."""
+    steps = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(steps, lambda i: F.slice(items, i * PART + 1, F.lit(PART)))
+
+
+def running(items: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], item_type: str) -> Column:
+    """Each item with the combination of the (int) values of all before it, 0 at first: array<struct<item, before>>.
+
+    A long array is combined in parts, whose totals are combined first, so the
+    work grows with the array and hardly with its square.
+    """
+    out_type = f"array<struct<item:{item_type},before:int>>"
+
+    def of(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: combine(acc, value(x))))
+        starts = F.aggregate(totals, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(combine(F.element_at(acc, -1), t))))
+        return F.flatten(F.zip_with(parts, starts, one))
+
+    def one(part: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            pair = F.struct(x.alias("item"), acc["at"].alias("before"))
+            return F.struct(combine(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(pair)).alias("out"))
+
+        # There is a start more than there are parts; it meets a null part.
+        empty = F.struct(start.alias("at"), F.array().cast(out_type).alias("out"))
+        return F.coalesce(F.aggregate(part, empty, step, lambda acc: acc["out"]), F.array().cast(out_type))
+
+    return let(items, lambda x: let(in_parts(x), of))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as an array of (start, end, value), in code points.
 
@@ -31,19 +73,34 @@ def matches(text: Column, pattern: str) -> Column:
     same regular expression, so running sums of their lengths give positions.
     """
     rule = F.lit(pattern)
-    found = F.regexp_extract_all(text, rule, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    # There is a gap more than there are matches; it meets a null match and is dropped.
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, rule, F.lit(0)), lambda gap, hit: F.when(hit.isNotNull(), F.struct(F.length(gap).alias("gap"), hit.alias("hit"))))
+    pairs = F.filter(pairs, lambda p: p.isNotNull())
+    placed = running(pairs, lambda p: p["gap"] + F.length(p["hit"]), lambda a, b: a + b, "struct<gap:int,hit:string>")
+
+    def span(x: Column) -> Column:
+        start = x["before"] + x["item"]["gap"]
+        return F.struct(start.alias("start"), (start + F.length(x["item"]["hit"])).alias("end"), x["item"]["hit"].alias("value"))
+
+    return F.when(text.rlike(pattern), F.transform(placed, span)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
+def apart_from(base: Column, wide: Column) -> Column:
+    """The ``wide`` spans that meet no ``base`` span; wide spans don't meet one another.
+
+    In their common order a wide span must start after the ends of all base
+    spans before it, and the next base span, if it is the next of all, after its end.
+    """
+    span = "struct<start:int,order:int,end:int,value:string>"
+    both = F.array_sort(F.concat(base, wide))
+    placed = running(both, lambda s: F.when(s["order"] < 3, s["end"]).otherwise(0), lambda a, b: F.greatest(a, b), span)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        item = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def free(x: Column, following: Column) -> Column:
+        clear = (x["item"]["order"] == 3) & (x["before"] <= x["item"]["start"])
+        return F.when(clear & (following.isNull() | (following["item"]["start"] >= x["item"]["end"])), x["item"])
 
-    pairs = F.transform(found, lambda hit, i: F.struct(F.get(gaps, i).alias("gap"), hit.alias("hit")))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    found = let(placed, lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), free))
+    return F.when((F.size(base) > 0) & (F.size(wide) > 0), F.filter(found, lambda w: w.isNotNull())).otherwise(wide)
 
 
 def _kind(spans: Column, order: int) -> Column:
@@ -63,8 +120,10 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     assign = F.filter(_kind(matches(text, ASSIGN), 0), lambda s: F.length(s["value"]) >= 6)
     base = F.array_sort(F.concat(assign, _kind(matches(text, ACCESS), 1), _kind(matches(text, HEX), 2)))
     wide = _kind(matches(text, WIDE), 3)
-    apart = lambda w: ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    return df.withColumn("base", base).withColumn("wide", wide).withColumn("wide", F.filter("wide", apart))
+    # Both are computed once a text: what a lambda names is a value, not an expression.
+    both = let(F.struct(base.alias("base"), wide.alias("wide")), lambda x: F.struct(x["base"].alias("base"), apart_from(x["base"], x["wide"]).alias("wide")))
+    found = df.withColumn("__spans", both)
+    return found.withColumns({"base": F.col("__spans.base"), "wide": F.col("__spans.wide")}).drop("__spans")
 
 
 def owner_of(repository: Column) -> Column:
@@ -104,19 +163,16 @@ def detect(df: DataFrame, keep: list[str], text_col: str = "text", repository_co
     Returns the columns ``keep`` (with ``repository_col`` among them or not) and
     ``base``, ``spans`` (base spans and single-owner wide tokens, sorted) and
     ``live`` (the spans whose value is no widely copied example).
-    Rows without any candidate take no part in a shuffle by value; the others
-    are written to the shared folder, so that they are scanned once. Equal rows
+    Scanned rows are written to the shared folder, so every text is scanned
+    once; rows without any candidate take no part in a shuffle. Equal rows
     stay as many as they were; null and empty texts get empty arrays; an empty
     table gives none. A kept column named like an added one is replaced.
     """
     keep = [c for c in keep if c not in ("base", "wide", "spans", "live")]
     found = scan(df, text_col).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{repository_col}`").alias("__repository"), "base", "wide")
     any_found = (F.size("base") > 0) | (F.size("wide") > 0)
-    if text_col in keep:  # texts are long: only those with candidates are written
-        some, none = stored(found.where(any_found), "secrets"), found.where(~any_found)
-    else:
-        found = stored(found, "secrets")
-        some, none = found.where(any_found), found.where(~any_found)
+    found = stored(found, "secrets")
+    some, none = found.where(any_found), found.where(~any_found)
     owned = ownership(some, "__repository", widely=widely)
 
     # A row is known by all its columns; equal rows are one with their number.
@@ -133,12 +189,27 @@ def detect(df: DataFrame, keep: list[str], text_col: str = "text", repository_co
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span's characters replaced by a mark; overlapping spans merge."""
-    def step(acc: Column, s: Column) -> Column:
-        from_ = F.greatest(acc["at"], s["start"])
-        add = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(from_, s["end"]).alias("at"), F.concat(acc["out"], add).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, done))
+    """The text with every span's characters replaced by a mark; overlapping spans merge.
+
+    ``spans`` are sorted by their starts. The text is cut at every PART spans
+    before it is cut at each, so long texts with many spans take no square of time.
+    """
+    placed = running(spans, lambda s: s["end"], lambda a, b: F.greatest(a, b), "struct<start:int,order:int,end:int,value:string>")
+
+    def cut(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, one), "")
+
+    def one(part: Column) -> Column:
+        # From the end of what was replaced before the part to the start of its last span.
+        first = F.get(part, F.lit(0))["before"]
+        last = F.element_at(part, -1)["item"]["start"]
+        own = F.when(last > first, F.substring(text, first + 1, last - first)).otherwise(F.lit(""))
+        return let(F.struct(own.alias("text"), first.alias("at")), lambda o: F.array_join(F.transform(part, lambda x: piece(o, x)), ""))
+
+    def piece(own: Column, x: Column) -> Column:
+        start, before = x["item"]["start"], x["before"]
+        return F.when(start >= before, F.concat(F.substring(own["text"], before - own["at"] + 1, start - before), F.lit("[SECRET]"))).otherwise(F.lit(""))
+
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    done = F.concat(let(placed, lambda p: let(in_parts(p), cut)), F.substring(text, end + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(done)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -169,3 +170,29 @@ def test_encoding_of_a_table_equals_the_library(spark):
         d = digests[r.doc_id, r.text]
         assert d.ids_sha256 == hashlib.sha256(r.ids.encode()).hexdigest() and d.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert bpe.encode(df.where("false"), path).count() == 0
+
+
+def test_a_text_with_many_secrets(spark):
+    """Positions, apartness and redaction in a text of 20,000 matches, against a plain walk."""
+    r = random.Random(7)
+    bits = ["token=abcd12ef ", "é AKIA" + "B" * 17 + " ", "0123456789abcdef01234567, ", "Zx9" * 8 + " 🙂 ", "Zx9" * 8 + "=secret:" + "a1" * 20 + " "]
+    text = "".join(r.choice(bits) for _ in range(20_000))
+    df = spark.createDataFrame([(1, text, "o/r"), (2, None, None)], "doc_id long, text string, source string")
+    out = secrets.detect(df, ["doc_id", "text"]).withColumn("clean", secrets.redact(F.col("text"), F.col("live")))
+    start = time.monotonic()
+    got = out.where("doc_id = 1").select(secrets.label(F.col("base")).alias("base"), "spans", "live", "clean").first()
+    assert time.monotonic() - start < 60  # squares of 20,000 would take many minutes
+    assert got.base == base_spans(text)
+    base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in got.base.split(","))]
+    holds = np.zeros(len(text) + 1, dtype=int)
+    for a, b in base:
+        holds[a:b] = 1
+    before = np.concatenate(([0], np.cumsum(holds)))
+    wide = re.finditer(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", text)
+    assert [(s["start"], s["end"]) for s in got.spans if s["order"] == 3] == [m.span() for m in wide if before[m.end()] == before[m.start()]]
+    want, at = [], 0
+    for s in got.live:
+        if s["start"] >= at:
+            want += [text[at : s["start"]], "[SECRET]"]
+        at = max(at, s["end"])
+    assert got.clean == "".join(want) + text[at:]
