@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogen.llm import bpe, language_id, near_dedup, secrets, temperature_mix
@@ -29,14 +30,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows with one id and text count as one document, of which one row stays.
     Several texts of one id, and documents without an id, are documents apart.
     """
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    found = near_dedup.dedup(marked, carry=("__text",), percent=NEAR_PERCENT, key="__key").where("kept")
-    row = F.struct(F.col("doc_id").alias("__id"), F.col("__text").alias("__held"))
-    apart = F.when(F.col("__key").isNull(), row)  # empty sets have no component
-    chosen = found.groupBy("__key", apart.alias("__apart")).agg(F.min(row).alias("__row")).select("__row.*")
-    held = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__held")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))
-    return held.withColumn("__first", first).where("__first = 1").select(docs.columns)
+    marked = docs.withColumn("__text", F.xxhash64("text")).withColumn("__row", F.xxhash64("text", "lang", "source", "n_chars"))
+    found = near_dedup.dedup(marked, carry=("__text", "__row"), percent=NEAR_PERCENT, key="__key").where("kept")
+    row = F.struct(F.col("doc_id").alias("__id"), F.col("__text").alias("__held"), F.col("__row").alias("__own"))
+    apart = F.when(F.col("__key").isNull(), F.struct(F.col("doc_id").alias("id"), F.col("__text").alias("text")))  # empty sets have no component
+    chosen = found.groupBy("__key", apart.alias("__apart")).agg(F.min(row).alias("__first")).select("__first.*")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__held")) & (F.col("__row") == F.col("__own"))
+    # Only equal rows are left beside one another; one of each is found by partial aggregation, however many there are.
+    return marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__text", "__row"]).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +49,28 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, those of small sources again, in training order."""
+    """Every document, those of small sources again, in training order: written files hold it part by part."""
     return temperature_mix.mix(docs, repeats=REPEATS).orderBy("mix_position").select(docs.columns)
 
 
+def position() -> Column:
+    """A row's place in written files, which follow one another by their part's number."""
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.shiftleft(number(r"^part-(\d+)"), 43) + F.shiftleft(number(r"-c(\d+)\."), 33) + F.col("_metadata.row_index")
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (decimal, blank-separated) and their number for each document."""
-    out = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select("doc_id", "source", "n_tokens", "ids")
+    """Token ids (decimal, blank-separated) and their number for each document.
+
+    ``position`` keeps the training order of the files that the rows come from;
+    it is null for rows that come from elsewhere.
+    """
+    try:
+        placed = docs.select(position().alias("position"), "doc_id", "source", "text")
+    except AnalysisException:  # not read from Parquet files
+        placed = docs.select(F.lit(None).cast("long").alias("position"), "doc_id", "source", "text")
+    return bpe.encode(placed, public_tokenizers.path("word_bpe_49k.json"), add=("n_tokens", "ids")).drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
