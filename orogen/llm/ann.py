@@ -15,12 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.common import stored
-from orogen.llm.vectors import PACK, best, matrix, pack, unpack, usable
+from orogen.llm.common import mix64, stored
+from orogen.llm.vectors import best, matrix, pack, unpack, usable
 
 #: Vectors that the index is fitted on at most, about.
 SAMPLE_ROWS = 8_192
@@ -72,20 +72,35 @@ class Index:
         return np.partition(squares, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-12
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Adds ``deal``, a number below 2**40 that differs between rows, equal ones too; fixed once it is written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId() << 32
+        for b in batches:
+            number = mix64(np.arange(at, at + len(b), dtype=np.uint64))
+            b["deal"] = (number >> np.uint64(24)).astype(np.int64)
+            at += len(b)
+            yield b
+
+    return rows.mapInPandas(run, "id long, vector array<double>, deal long")
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
 def fit(rows: DataFrame, k: int, seed: int = 11) -> Index | None:
-    """Centroids, rotation and number of probes from a bounded sample of (id, vector) rows."""
+    """Centroids, rotation and number of probes from a bounded sample of (id, vector, deal) rows."""
     n, length, width = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))), F.max(F.size("vector"))).first()
     if not n:
         return None
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = rows.where(draw < min(1.0, SAMPLE_ROWS / n)).limit(2 * SAMPLE_ROWS).toPandas()
+    # Rows are drawn one by one, so the sample's size varies by some roots of SAMPLE_ROWS only.
+    draw = F.col("deal") / float(1 << 40)
+    chosen = rows.where(draw < min(1.0, SAMPLE_ROWS / n)).toPandas()
     if not len(chosen):
         chosen = rows.limit(1).toPandas()
-    chosen = chosen.sort_values("id")
+    chosen = chosen.sort_values(["id", "deal"])
     rng = np.random.default_rng(seed)
     sample_ids, sample = chosen["id"].to_numpy(), matrix(chosen["vector"], width)
     rotation = np.linalg.qr(rng.normal(size=(width + 1, width + 1)))[0]
@@ -160,7 +175,10 @@ def scan(index: Index, ids: np.ndarray, cells: np.ndarray, query_ids: np.ndarray
 def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k nearest found: ``query_id``, ``rank``, ``vec_id``, ``score`` (inner product).
 
-    ``is_query`` maps the id column to the condition that a row is a query.
+    ``is_query`` maps the id column to the condition that a row is a query. A
+    row with a query's id is no candidate of it; other rows that share an id
+    all are. Queries with equal ids and vectors count as one, those with equal
+    ids and several vectors are ranked together.
     Zero vectors and those named in :func:`usable` take no part. Every other
     row is indexed; a list of any size is scanned in parts. Queries that the
     probed lists leave short are asked again over more lists, at last over all
@@ -168,7 +186,7 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     candidates; an empty table gives none.
     """
     spark = df.sparkSession
-    rows = stored(usable(df, id_col, vector_col, nonzero=True), "ann")
+    rows = stored(dealt(usable(df, id_col, vector_col, nonzero=True)), "ann")
     index = fit(rows, k)
     if index is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
@@ -181,14 +199,15 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
                 b["list"] = own.nearness(own.lifted(matrix(b["vector"], own.width))).argmin(1)
             else:
                 b["list"] = pd.Series(dtype="int64")
-            yield b[["id", "vector", "list"]]
+            yield b[["id", "vector", "deal", "list"]]
 
-    placed = stored(rows.mapInPandas(place, "id long, vector array<double>, list int"), "ann-lists")
+    placed = stored(rows.mapInPandas(place, "id long, vector array<double>, deal long, list int"), "ann-lists")
     # One row a list, MOST_LISTS at most, whatever the input.
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = {c: -(-n // PART) for c, n in sizes.items()}
     wanted, every = min(k, sum(sizes.values()) - 1), len(index.centroids)
-    asked, probes, done, tested = rows.where(is_query(F.col("id"))), index.probes, None, True
+    asked = rows.where(is_query(F.col("id"))).groupBy("id", "vector").agg(F.min("deal").alias("deal"))
+    probes, done, tested = index.probes, None, True
     while True:
         found = best(searched(placed, asked, parts, shared, k, probes, tested), k)
         if not tested:
@@ -213,15 +232,15 @@ def searched(placed: DataFrame, asked: DataFrame, parts: dict[int, int], shared:
                 x = matrix(b["vector"], own.width)
                 b["reach"] = own.reach(b["id"].to_numpy(), x, k) if tested else np.inf
                 b["list"] = list(np.argsort(own.nearness(own.lifted(x, query=True)), 1, kind="stable")[:, :probes])
-                yield b[["id", "vector", "reach", "list"]]
+                yield b[["id", "vector", "deal", "reach", "list"]]
 
-    asked = asked.mapInPandas(probe, "id long, vector array<double>, reach double, list array<int>")
-    asked = stored(asked.select("id", "vector", "reach", F.explode("list").alias("list")), "ann-queries")
+    asked = asked.mapInPandas(probe, "id long, vector array<double>, deal long, reach double, list array<int>")
+    asked = stored(asked.select("id", "vector", "deal", "reach", F.explode("list").alias("list")), "ann-queries")
     batches = {r["list"]: -(-r["n"] // BATCH) for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     pieces = lambda sizes: F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, n)])[F.col("list")] if sizes else F.lit(1)
 
     def whole(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id")
+        b = b.sort_values(["id", "deal"])
         return pd.DataFrame([{"list": key[0], "part": key[1]} | pack(b["id"].to_numpy(), matrix(b["vector"], shared.value.width))])
 
     def batch(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -229,8 +248,8 @@ def searched(placed: DataFrame, asked: DataFrame, parts: dict[int, int], shared:
         p = pack(b["id"].to_numpy(), matrix(b["vector"], shared.value.width))
         return pd.DataFrame([{"list": key[0], "batch": key[1], "q_ids": p["ids"], "q_cells": p["cells"], "reach": b["reach"].to_numpy().tobytes()}])
 
-    salt = lambda sizes: F.pmod(F.xxhash64("id"), pieces(sizes)).cast("int")
-    lists = placed.withColumn("part", salt(parts)).groupBy("list", "part").applyInPandas(whole, f"list int, part int, {PACK}")
+    salt = lambda sizes: F.pmod(F.xxhash64("deal"), pieces(sizes)).cast("int")
+    lists = placed.withColumn("part", salt(parts)).groupBy("list", "part").applyInPandas(whole, "list int, part int, width int, ids binary, cells binary")
     queries = asked.withColumn("batch", salt(batches)).groupBy("list", "batch").applyInPandas(batch, "list int, batch int, q_ids binary, q_cells binary, reach binary")
     queries = queries.withColumn("meeting", F.floor(F.col("batch") / TOGETHER).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(pieces(parts), F.lit(1)) - 1)))
     meetings = F.coalesce(F.floor((pieces(batches) - 1) / TOGETHER), F.lit(0)).cast("int")

@@ -25,7 +25,7 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::dou
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 pairs as (select q.vec_id as query_id, d.vec_id as vec_id,
   list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2]))::bigint as score
-  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
+  from (select distinct vec_id, e from v where vec_id % 50 = 0) q join v d on q.vec_id <> d.vec_id),
 ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from pairs)
 select * from ranked where rank <= 5
 """

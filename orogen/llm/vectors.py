@@ -12,18 +12,16 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, *, nonzero: bool = False) -> DataFrame:
-    """``id`` and ``vector`` (doubles) of the rows that take part, one for each id.
+    """``id`` and ``vector`` (doubles) of the rows that take part, as many as there are.
 
     Rows with a null id, a null vector or a null, NaN or infinite component
-    don't. Of several rows with one id the greatest vector, compared component
-    by component, is kept. ``nonzero`` also leaves out zero and empty vectors.
+    don't. Rows that share an id all take part. ``nonzero`` also leaves out
+    zero and empty vectors.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~bad)
-    if nonzero:
-        rows = rows.where(F.exists("vector", lambda x: x != 0))
-    return rows.groupBy("id").agg(F.max("vector").alias("vector"))
+    return rows.where(F.exists("vector", lambda x: x != 0)) if nonzero else rows
 
 
 def matrix(vectors: pd.Series, width: int | None = None) -> np.ndarray:
@@ -37,11 +35,11 @@ def matrix(vectors: pd.Series, width: int | None = None) -> np.ndarray:
     return out
 
 
-PACK = "first long, slot int, width int, ids binary, cells binary"
+PACK = "pack long, width int, ids binary, cells binary"
 
 
 def pack(ids: np.ndarray, cells: np.ndarray) -> dict:
-    return {"first": int(ids[0]), "slot": TaskContext.get().partitionId(), "width": cells.shape[1], "ids": ids.astype(np.int64).tobytes(), "cells": np.ascontiguousarray(cells, dtype=np.float64).tobytes()}
+    return {"width": cells.shape[1], "ids": ids.astype(np.int64).tobytes(), "cells": np.ascontiguousarray(cells, dtype=np.float64).tobytes()}
 
 
 def unpack(ids: bytes, cells: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +48,11 @@ def unpack(ids: bytes, cells: bytes, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def packed(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (id, vector) in runs of at most ``most``, each one row of :data:`PACK`; slot is the partition."""
+    """Rows (id, vector) in runs of at most ``most``, each one row of :data:`PACK`; ``pack`` numbers them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        size = 0
+        size, number = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             while len(batch):
                 take = batch.iloc[: most - size]
@@ -62,14 +60,14 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
                 held.append(take)
                 size += len(take)
                 if size == most:
-                    yield one(held)
-                    held, size = [], 0
+                    yield one(held, number)
+                    held, size, number = [], 0, number + 1
         if size:
-            yield one(held)
+            yield one(held, number)
 
-    def one(held: list[pd.DataFrame]) -> pd.DataFrame:
+    def one(held: list[pd.DataFrame], number: int) -> pd.DataFrame:
         part = pd.concat(held)
-        return pd.DataFrame([pack(part["id"].to_numpy(), matrix(part["vector"]))])
+        return pd.DataFrame([{"pack": number} | pack(part["id"].to_numpy(), matrix(part["vector"]))])
 
     return rows.select("id", "vector").mapInPandas(run, PACK)
 

@@ -72,8 +72,9 @@ def test_vectors_that_take_no_part(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(3))
     top = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_blocks.top_k(df, lambda i: i % 50 == 0).collect()}
     assert {q for q, _ in top} == {0, 50, 300} and top[0, 1] == (11, 256 * 256 * 5) and top[0, 2] == (300, 256 * 256 * 5) and top[50, 1][0] == 0
+    assert [top[0, i] for i in (3, 4, 5)] == [(7, 0), (50, 128 * 256), (50, 179 * 256)][::-1]  # both rows of id 50
     near = {(r.query_id, r["rank"]): r.vec_id for r in ann.neighbours(df, lambda i: i % 20 == 0).collect()}
-    assert {q for q, _ in near} == {0, 300} and [near[0, k] for k in (1, 2, 3)] == [11, 300, 50] and len(near) == 6
+    assert {q for q, _ in near} == {0, 300} and [near[0, k] for k in (1, 2, 3, 4)] == [11, 300, 50, 50] and len(near) == 8
     for f in (topk_blocks.top_k, ann.neighbours):
         assert f(df.where("false"), lambda i: i % 20 == 0).count() == 0
 
@@ -196,3 +197,24 @@ def test_a_text_with_many_secrets(spark):
             want += [text[at : s["start"]], "[SECRET]"]
         at = max(at, s["end"])
     assert got.clean == "".join(want) + text[at:]
+
+
+def test_shards_below_a_query_s_bound_are_not_visited(spark, monkeypatch):
+    """Exact against brute force over several shards, with fewer meetings than shards times queries."""
+    monkeypatch.setattr(topk_blocks, "BLOCK", 8)
+    monkeypatch.setattr(topk_blocks, "SHARD", 4)
+    monkeypatch.setattr(topk_blocks, "BATCH", 16)
+    r = np.random.default_rng(4)
+    x = np.floor(r.uniform(0, 1, (640, 12)) * np.linspace(1, 4, 640)[:, None] * 64) / 256  # ranges differ in length
+    x[100:140] = x[100]
+    df = spark.createDataFrame([(i, v if i % 9 else v[:7]) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    x[::9, 7:] = 0
+    met = []
+    scored = topk_blocks.scored
+    monkeypatch.setattr(topk_blocks, "scored", lambda shards, batches, pairs, k: met.append((pairs.count(), shards.count())) or scored(shards, batches, pairs, k))
+    got = topk_blocks.top_k(df, lambda i: i % 20 == 0).collect()
+    whole = np.floor(x * 256).astype(int)
+    for q in range(0, 640, 20):
+        want = sorted((-int(s), d) for d, s in enumerate(whole @ whole[q]) if d != q)[:5]
+        assert [(-g.score, g.vec_id) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])] == want
+    assert sum(n for n, _ in met) < 0.5 * 32 * met[0][1]
