@@ -10,7 +10,7 @@ codewords are almost as near as one another is flagged as ambiguous.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,16 +18,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.common import LOWER
+from orogen.llm.common import LOWER, discard, stored, texts_to_python, tidy
 
 #: Slots of the table of hashed n-grams.
 SLOTS = 1 << 17
 #: Bytes handled at a time; longer texts are summed over several such stretches.
-STRETCH = 1 << 19
+STRETCH = 1 << 18
 #: Labelled rows that the classifiers are fitted on at most, about.
 SAMPLE_ROWS = 6_000
 #: Rows of each label at least, if it has them, however many labels share the sample.
 LEAST_ROWS = 20
+#: Tasks that count the sample's n-grams.
+SAMPLE_PARTS = 8
 
 _FOLD = LOWER.copy()
 _FOLD[[*range(0x00, 0x21), *range(0x30, 0x3A)]] = 0x20
@@ -115,34 +117,47 @@ class Model:
         return self.decode(self.margins(text))
 
 
-def train(texts: list[str], labels: list[str], smooth: float = 0.5) -> Model:
-    """Fits the bit classifiers; no rows give a model that answers ``und``."""
-    languages = sorted(set(labels))
-    k = len(languages)
-    code = codewords(k)
-    counts = np.zeros((k, SLOTS))
-    place = {c: i for i, c in enumerate(languages)}
-    for text, label in zip(texts, labels, strict=True):
+def counted(texts: Iterable[str]) -> np.ndarray:
+    """How often each slot is met in texts."""
+    out = np.zeros(SLOTS, dtype=np.int64)
+    for text in texts:
         for slots in stretches(text):
-            counts[place[label]] += np.bincount(slots, minlength=SLOTS)
-    bits = code.shape[1] if k else 0
+            out += np.bincount(slots, minlength=SLOTS)
+    return out
+
+
+def uncalibrated(counts: dict[str, np.ndarray], smooth: float = 0.5) -> Model:
+    """The classifiers of every bit from each label's counts; no labels give a model that answers ``und``."""
+    languages = sorted(counts)
+    code = codewords(len(languages))
+    bits = code.shape[1] if languages else 0
     odds = np.zeros((SLOTS, bits), dtype=np.float32)
     for b in range(bits):
         # Languages count alike, however much text each has.
-        side = {s: sum((counts[c] + smooth) / (counts[c].sum() + smooth * SLOTS) for c in range(k) if code[c, b] == s) for s in (-1, 1)}
+        side = {s: sum((counts[c] + smooth) / (counts[c].sum() + smooth * SLOTS) for c, of in zip(languages, code[:, b], strict=True) if of == s) for s in (-1, 1)}
         ones, zeros = (int((code[:, b] == s).sum()) for s in (1, -1))
         if zeros:
             odds[:, b] = np.log(side[1] / ones) - np.log(side[-1] / zeros)
-    model = Model(languages, code, odds, np.ones(bits), np.zeros(bits), np.ones(bits))
-    if k > 1 and texts:
-        seen = np.array([model.margins(t) for t in texts])
-        truth = code[[place[c] for c in labels]]
-        model.scale, model.shift, right = _calibrate(seen, truth)
+    return Model(languages, code, odds, np.ones(bits), np.zeros(bits), np.ones(bits))
+
+
+def calibrated(model: Model, margins: np.ndarray, labels: list[str]) -> Model:
+    """The model with each bit's scale, shift and weight from the margins of labelled texts."""
+    if len(model.languages) > 1 and len(labels):
+        place = {c: i for i, c in enumerate(model.languages)}
+        model.scale, model.shift, right = _calibrate(margins, model.code[[place[c] for c in labels]])
         model.weight = np.maximum(right - 0.5, 1e-3)
         model.weight /= model.weight.mean()
     return model
 
 
+def train(texts: list[str], labels: list[str]) -> Model:
+    """Fits the bit classifiers to a few texts; :func:`fit` does it for a table."""
+    counts = {c: counted(t for t, own in zip(texts, labels, strict=True) if own == c) for c in set(labels)}
+    model = uncalibrated(counts)
+    return calibrated(model, np.array([model.margins(t) for t in texts]), labels)
+
+
 def _calibrate(margins: np.ndarray, truth: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic scale and shift per bit by gradient descent, and each bit's training accuracy."""
     spread = margins.std(0) + 1e-6
@@ -161,17 +176,45 @@ def fit(df: DataFrame, usable: Column, text_col: str = "text", label_col: str =
 
     Every label gets an equal share, so rare languages are learned too. The
     bound is the parameter, but for LEAST_ROWS rows of each label; rows with
-    null text or label are not used.
+    null text or label are not used, equal rows count once. Texts stay on the
+    executors: counts by label, and every text's margins, come to the driver.
     """
+    texts_to_python(df.sparkSession)
+    label = F.col(label_col).cast("string")
     rows = df.where(usable & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).cast("string")).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not sizes:
-        return train([], [])
+        return uncalibrated({})
     share = max(sample_rows / len(sizes), LEAST_ROWS)
     draw = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.col(text_col)), F.lit(1_000_000)) / 1e6
     chance = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, share / n))])
-    chosen = rows.where(draw < chance[F.col(label_col).cast("string")]).select(F.col(text_col), F.col(label_col).cast("string")).limit(max(2 * sample_rows, int(2 * share * len(sizes)))).collect()
-    return train([r[0] for r in chosen], [r[1] for r in chosen])
+    chosen = rows.where(draw < chance[label]).select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"), label.alias("label"))
+    sample = stored(chosen.distinct().repartition(SAMPLE_PARTS, "key", "text"), "languages")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, np.ndarray] = {}
+        for b in tidy(batches):
+            for c, part in b.groupby("label"):
+                seen[c] = seen.get(c, 0) + counted(part["text"])
+        for c, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"label": [c], "at": [at.astype(np.int32).tobytes()], "n": [n[at].tobytes()]})
+
+    counts: dict[str, np.ndarray] = {}
+    for r in sample.mapInPandas(count, "label string, at binary, n binary").toLocalIterator():  # SAMPLE_PARTS short rows a label
+        own = counts.setdefault(r[0], np.zeros(SLOTS, dtype=np.int64))
+        own[np.frombuffer(r[1], dtype=np.int32)] += np.frombuffer(r[2], dtype=np.int64)
+    model = uncalibrated(counts)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # SLOTS x bits floats, whatever the input
+
+    @F.pandas_udf("array<double>")
+    def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in tidy(batches):
+            yield pd.Series([shared.value.margins(t) for t in texts])
+
+    seen = sorted((r[1], r[0]) for r in sample.select("label", margins("text")).collect())  # a few floats for each of the bounded sample
+    discard(sample)
+    return calibrated(model, np.array([m for m, _ in seen]), [c for _, c in seen])
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -181,12 +224,13 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ambiguous. Whole texts are read whatever their length; equal texts get
     equal answers; input columns with one of these names are replaced.
     """
+    texts_to_python(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # SLOTS x bits floats, whatever the input
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for texts in batches:
+        for texts in tidy(batches):
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 
     made = ("lang_pred", "score", "ambiguous")
