@@ -119,6 +119,18 @@ def test_toxicity_learns_words_and_pairs():
     rows = [(" ".join([word() for _ in range(10)] + s), y) for s, y in ((["alpha"], 0), (["omega"], 0), (["alpha", "omega"], 1)) for _ in range(200)]
     m = toxicity.train([t for t, _ in rows], [y for _, y in rows])
     assert m.score("alpha omega") > 0.5 > max(m.score("alpha"), m.score("omega"))
+    # Both or neither: no term tells anything alone, and no additive machine can learn it.
+    rows = [(" ".join([word() for _ in range(6)] + s), y) for s, y in (([], 1), (["alpha"], 0), (["omega"], 0), (["alpha", "omega"], 1)) for _ in range(200)]
+    m = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    right = lambda machine: np.mean([(machine.score(t) > 0.5) == y for t, y in rows])
+    x = np.array([[1, "alpha" in t, "omega" in t] for t, _ in rows], dtype=float)
+    additive = x @ np.linalg.lstsq(x, np.array([y for _, y in rows]) - 0.5, rcond=None)[0]
+    assert right(m) > 0.95 and np.abs(additive).max() < 0.1
+    # A group word that is neutral alone, with an insult that is mostly harmless without it.
+    plans = [(["group"], 0, 300), (["insult"], 0, 200), (["insult", "group"], 1, 60), ([], 0, 500), ([], 1, 12)]
+    rows = [(" ".join([word() for _ in range(12)] + s), y) for s, y, n in plans for _ in range(n)]
+    m = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    assert m.score("insult group") > 0.5 and max(m.score("group"), m.score("insult")) < 0.3
     assert toxicity.train(["a"], [1]).score("a") > 0.5 and toxicity.train([], []).score("a") < 0.5
 
 

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orogen.llm import ann, bpe, components, language_id, role_repair, secrets, temperature_mix, topk_blocks, warc
+from orogen.llm import ann, bpe, components, language_id, queries, role_repair, secrets, temperature_mix, topk_blocks, toxicity, warc
 from orogen.llm.common import shared_path
 
 
@@ -218,3 +219,45 @@ def test_shards_below_a_query_s_bound_are_not_visited(spark, monkeypatch):
         want = sorted((-int(s), d) for d, s in enumerate(whole @ whole[q]) if d != q)[:5]
         assert [(-g.score, g.vec_id) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])] == want
     assert sum(n for n, _ in met) < 0.5 * 32 * met[0][1]
+
+
+def labelled(n, seed):
+    r = random.Random(seed)
+    parts = {"x": ["ba", "ko", "tu"], "y": ["schen", "lich", "ung"], "z": ["éa", "ou", "què"]}
+    rows = []
+    for i in range(n):
+        c, bad = r.choice("xyz"), r.random() < 0.2
+        words = ["".join(r.choice(parts[c]) for _ in range(3)) for _ in range(20)] + (["idiots"] if bad else [])
+        rows.append((i, " ".join(words), c, int(bad)))
+    return rows
+
+
+def test_language_query_on_held_out_rows(spark, tmp_path):
+    rows = labelled(600, 3)
+    odd = [(None, "ba ko tu" * 5, None), (700, None, "x"), (701, "12 %% \n", "y"), (702, "", "z"), (703, "kotu ba " * 60_000, "x"), (3, rows[3][1], rows[3][2])]
+    df = spark.createDataFrame([r[:3] for r in rows] + odd, "doc_id long, text string, lang string").withColumns({"score": F.lit("clash"), "ambiguous": F.lit(1)})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == 606 and {(r.doc_id, r.held_out) for r in got if r.doc_id is not None} == {(i, zlib.crc32(str(i).encode()) % 5 == 0) for i in [*range(600), *range(700, 704)]}
+    truth = {r[0]: r[2] for r in rows}
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) >= 0.98 and all(0 <= r.score <= 1 for r in got)
+    assert {(r.doc_id, r.lang_pred) for r in got if r.doc_id in (700, 701, 702, 703)} == {(700, "und"), (701, "und"), (702, "und"), (703, "x")}
+    empty = df.where("false")
+    assert language_id.identify(empty, language_id.fit(empty, F.lit(True))).count() == 0
+
+
+def test_toxicity_query_on_held_out_rows(spark, tmp_path):
+    rows = labelled(900, 5)
+    odd = [(None, "idiots", None), (1000, None, None), (1001, "", None), (1002, "baba idiots " + "kotu " * 60_000, None), (3, rows[3][1], None)]
+    spark.createDataFrame([(i, t, "s", 0.5) for i, t, *_ in rows + odd], "doc_id long, text string, source string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, y) for i, _, _, y in rows if i % 10] + [(4, 0, None), (None, 0, 1), (5, 0, 0), (5000, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op10_toxicity(spark, str(tmp_path)).collect()
+    truth = {i: y for i, _, _, y in rows}
+    assert len(got) == 905 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    held = [r for r in got if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert held and all(r.held_out for r in held) and np.mean([r.predicted == truth[r.doc_id] for r in held]) >= 0.98
+    assert {r.predicted for r in got if r.doc_id in (1000, 1001)} == {0} and next(r.predicted for r in got if r.doc_id == 1002) == 1
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none, F.lit(True)).score("a") < 0.3
