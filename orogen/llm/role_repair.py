@@ -30,6 +30,16 @@ STRETCH, NEVER = 4096, 1 << 40
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
 
+def escaped(text: str | None) -> str:
+    """A text that can't hold a mark: every ``<|`` in it becomes ``<||``, and no mark has a bar there."""
+    return (text or "").replace("<|", "<||")
+
+
+def unescaped(rendered: str) -> str:
+    """The text that :func:`escaped` made this of."""
+    return rendered.replace("<||", "<|")
+
+
 def legal(state: int, role: int) -> list[tuple[int, tuple[int, ...]]]:
     """Ways to open a message of ``role`` after ``state``: cost and the roles of empty messages put between."""
     if role == SYSTEM:
@@ -139,13 +149,14 @@ def junctions(matrices: list[np.ndarray]) -> list[int]:
 def render_moves(texts: list[str | None], path: list, first: bool, last: bool) -> list[tuple[str, str, int, int, str]]:
     """Per turn: repaired role, kind of move, cost, messages inserted, rendered piece.
 
-    Pieces joined in order are the whole rendering. A piece closes the message
+    Pieces joined in order are the whole rendering; texts are escaped, so the
+    marks in it are those of messages and no text can pose as another turn. A piece closes the message
     before it; the last piece also closes its own and puts what must follow.
     """
     empty = lambda r: OPEN.format(role=ROLES[r - 1]) + CLOSE
     out = []
     for i, (text, (_, after, cost, kind, between)) in enumerate(zip(texts, path, strict=True)):
-        text = text or ""
+        text = escaped(text)
         if kind == "merge":
             piece = "\n" + text
         else:
@@ -202,8 +213,8 @@ def repair_table(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     gives none.
     """
     kind = dict(df.dtypes)[conv_col]
-    rows = ordered(df, conv_col, turn_col, role_col, text_col)
-    n = rows.agg(F.count(F.lit(1))).first()[0]
+    rows = stored(ordered(df, conv_col, turn_col, role_col, text_col), "turns")  # three passes follow
+    n = rows.count()
     # Many stretches share a Python call; a stretch's size is bounded, so a bucket's is about.
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(max(1, -(-n // BUCKET)))))
 

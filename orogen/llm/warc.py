@@ -12,9 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orogen.llm.common import stored
+
 #: Payloads under so many bytes are never written as revisits.
 REVISIT_LEAST = 1000
 CRLF = "\r\n"
+#: Extension field of revisits: the page of the record that they refer to.
+REFERRED = "Refers-To-Page"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -37,8 +41,9 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
 
-def _record_id(key: Column, url: Column) -> Column:
-    h = F.sha1(F.concat_ws("\n", F.coalesce(key.cast("string"), F.lit("")), url).cast("binary"))
+def _record_id(path: str, number: Column) -> Column:
+    """A UUID of a record's number in the archive at ``path``."""
+    h = F.sha1(F.concat_ws("\n", F.lit(path), number).cast("binary"))
     at = lambda start, n: F.substring(h, start, n)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", at(1, 8), at(9, 4), at(13, 4), at(17, 4), at(21, 12)), F.lit(">"))
 
@@ -50,7 +55,9 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     those with the largest id are responses and the others revisit that id; if
     no id is known all are responses. Null payloads count as empty, null URLs
     as ``urn:page:<id>``; line ends in a URL are written as %0D and %0A. Equal
-    rows give equal records. Other columns are not read.
+    rows give records that differ in their id only. A revisit names the record
+    that it refers to by its id, and that record's page in an extension field.
+    An empty table gives an empty archive. Other columns are not read.
     """
     spark = df.sparkSession
     archive = Archive(path.rstrip("/"))
@@ -62,8 +69,11 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     # Partial aggregation leaves one row of a payload for each task, however many records have it.
     rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(archive.payloads)
 
-    small = rows.select("id", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"))
-    groups = small.where(F.col("bytes") >= REVISIT_LEAST).groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Numbers are given once and written, so a record keeps its number whatever happens to executors.
+    small = rows.select("id", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"), F.monotonically_increasing_id().alias("number"))
+    small = stored(small, "warc-records")
+    row = F.when(F.col("id").isNotNull(), F.struct("id", "number"))
+    groups = small.where(F.col("bytes") >= REVISIT_LEAST).groupBy("digest").agg(F.max(row).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.id").alias("first"), F.col("first.number").alias("first_number"))
     # One group may hold a third of the records; adaptive execution splits such a join's tasks.
     joined = small.join(groups, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
@@ -72,11 +82,11 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", _record_id(F.col("id"), F.col("url"))),
+        _line("WARC-Record-ID", _record_id(archive.path, F.col("number"))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))))).otherwise(""),
+        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", _record_id(archive.path, F.col("first_number"))), _line(REFERRED, F.col("first").cast("string")))).otherwise(""),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", block.cast("string")),
         F.lit(CRLF),
@@ -112,7 +122,7 @@ def field(header: Column, name: str) -> Column:
 def read(spark: SparkSession, archive: Archive) -> DataFrame:
     """Parses every reconstructed record.
 
-    Gives ``id``, ``url``, ``record_type``, ``refers_to`` (the id, as text),
+    Gives ``id``, ``record_id``, ``refers_to_record``, ``url``, ``record_type``, ``refers_to`` (the id, as text),
     ``payload``, ``payload_bytes`` and ``payload_digest`` (SHA-1 of the payload
     as read, which must be the one that the header states).
     """
@@ -120,12 +130,14 @@ def read(spark: SparkSession, archive: Archive) -> DataFrame:
     sha1 = F.sha1("payload")
     stated = F.concat(F.lit("sha1:"), sha1) == field(F.col("text"), "WARC-Payload-Digest")
     head = F.octet_length(F.encode(F.substring_index("text", CRLF * 2, 1), "UTF-8")) + 4
-    whole = F.octet_length("record") == head + field(F.col("text"), "Content-Length").cast("int") + 4
+    whole = F.octet_length("record") == head + field(F.col("text"), "Content-Length").cast("long") + 4
     return parts.select(
         "id",
         field(F.col("text"), "WARC-Target-URI").alias("url"),
         field(F.col("text"), "WARC-Type").alias("record_type"),
-        F.regexp_extract(field(F.col("text"), "WARC-Refers-To"), "^<urn:page:(.*)>$", 1).alias("refers_to"),
+        field(F.col("text"), "WARC-Record-ID").alias("record_id"),
+        field(F.col("text"), "WARC-Refers-To").alias("refers_to_record"),
+        field(F.col("text"), REFERRED).alias("refers_to"),
         "payload",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(stated & whole, sha1).otherwise(F.raise_error(F.lit("a record doesn't match its header"))).alias("payload_digest"),

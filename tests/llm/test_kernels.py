@@ -175,3 +175,14 @@ def test_hashes_do_not_depend_on_stretches(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr("orogen.llm.common.STRETCH", 64)
             assert (word_hashes(data, BLANK) == whole[0]).all() and (np.sort(word_hashes(data, BLANK, (4, 5))) == whole[1]).all()
+
+
+def test_texts_cannot_forge_marks():
+    r = random.Random(11)
+    bits = ["<", "|", ">", "end", "system", "user", "<|end|>", "<|system|>", "\n", "<||", "é"]
+    for _ in range(300):
+        turns = [(x, "".join(r.choice(bits) for _ in range(r.randrange(8)))) for x in ("user", "assistant") * 2]
+        rows, _, text = role_repair.repair(turns)
+        assert re.findall(r"<\|(system|user|assistant|end)\|>", text) == ["user", "end", "assistant", "end"] * 2
+        found = re.findall(r"<\|(user|assistant)\|>\n(.*?)\n<\|end\|>\n", text, re.S)
+        assert [(role, role_repair.unescaped(t)) for role, t in found] == turns

@@ -55,6 +55,9 @@ def test_archive_round_trip(spark):
     assert len(got) == 7
     for r in got:
         assert r.payload_digest == hashlib.sha1(bytes(r.payload)).hexdigest() and r.payload_bytes == len(r.payload)
+    made = {r.record_id: r for r in got}
+    assert len(made) == 7 and all((r.refers_to_record is None) == (r.record_type == "response") for r in got)
+    assert all(made[r.refers_to_record].id == 2 and made[r.refers_to_record].record_type == "response" for r in got if r.refers_to_record)
     kinds = sorted((str(r.id), r.record_type, r.refers_to) for r in got)
     assert kinds == [("1", "revisit", "2"), ("2", "response", None), ("2", "response", None), ("3", "response", None), ("4", "response", None), ("5", "response", None), ("None", "revisit", "2")]
     assert warc.read(spark, warc.write(df.where("false"), shared_path(spark, "warc"))).count() == 0
