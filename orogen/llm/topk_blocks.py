@@ -109,9 +109,11 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
     rows = usable(df, id_col, vector_col).select("id", weights.alias("vector"))
     rows = stored(rows, "topk")
     slots = max(1, -(-rows.count() // (BLOCK * SHARD)))
-    shards = stored(packed(rows.repartitionByRange(slots, "id").sortWithinPartitions("id"), BLOCK * SHARD), "topk-shards")
-    asked = rows.where(is_query(F.col("id"))).distinct()
-    batches = stored(packed(asked.repartition(F.col("id")).sortWithinPartitions("id"), BATCH), "topk-queries")
+    # Neighbouring parts are put together, so that shards and batches are full however the shuffles are dealt.
+    dealt = rows.repartitionByRange(slots, "id").sortWithinPartitions("id").coalesce(slots)
+    shards = stored(packed(dealt, BLOCK * SHARD), "topk-shards")
+    asked = stored(rows.where(is_query(F.col("id"))).distinct(), "topk-asked")
+    batches = stored(packed(asked.coalesce(max(1, -(-asked.count() // BATCH))), BATCH), "topk-queries")
     first = stored(reaching(shards, batches, None), "topk-first")
     early = stored(scored(shards, batches, first, k), "topk-early")
     held = Window.partitionBy("batch", "place").orderBy(F.desc("score"))
