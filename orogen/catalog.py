@@ -1136,6 +1136,75 @@ def t2_edit_stream(spark, d):
     return edits.folded(spark.read.parquet(out).drop("generation")).select("id", "z")
 
 
+# Formats, metadata, sessions and tasks -----------------------------------------------------
+
+
+@query("io12_prefetch_window", ORACLE_SQL["g2_read_window"])
+def io12_prefetch_window(spark, d):
+    return plain(view.prefetch(fx.orders(spark, d), (10, 2, 50, 5)))
+
+
+@query("io15_broken_constraints", f"with {CONS} select distinct cid from cons where cid % 3 = 0")
+def io15_broken_constraints(spark, d, whole=False):
+    p, held = scratch.path(spark, "constraints"), fx.constraints(spark, d, whole)
+    tables.save_constraints(held, p)
+    changed = spark.read.parquet(p).withColumn("z", F.when(F.col("cid") % 3 == 0, F.col("z") + 1).otherwise(F.col("z")))
+    changed.write.parquet(f"{p}-changed")
+    spark.read.parquet(f"{p}.sums").write.parquet(f"{p}-changed.sums")
+    return tables.verify_constraints(spark, f"{p}-changed")
+
+
+@query("io15_load_constraints", f"with {CONS} select cid, seq, x, y from cons")
+def io15_load_constraints(spark, d, whole=False):
+    p = scratch.path(spark, "constraints")
+    tables.save_constraints(fx.constraints(spark, d, whole), p)
+    return tables.load_constraints(spark, p).select("cid", "seq", "x", "y")
+
+
+@query("io19_ascii_grid", f'with {PARTS} select r as "row", c as col, 100 + 2 * c::double as x, 500 - 2 * r::double as y, z as value from g')
+def io19_ascii_grid(spark, d):
+    p, g = scratch.path(spark, "ascii"), fx.parts(spark, d)
+    text.write_ascii_grid(Grid(g.df, replace(g.meta, gt=(100.0, 2.0, 0.0, 500.0, 0.0, -2.0))), p)
+    return grid.positions(text.read_ascii_grid(spark, p)).select("row", "col", "x", "y", F.col("z").alias("value"))
+
+
+@query("io21_formats", "select * from (values ('xyz', true), ('asciigrid', true), ('geojson', true), ('gtiff', false)) t(name, available)")
+def io21_formats(spark, d):
+    return spark.createDataFrame([(n, text.is_available(n)) for n in ("xyz", "asciigrid", "geojson", "gtiff")], "name string, available boolean")
+
+
+@query("m9_edge_sample", f"""with {ORDERS}, line as (select c, max(z) as z from g group by c), p as (select event_id as qid, (event_id % 1501) * 0.1e0 as x from events),
+  s as (select qid, x, least(floor(x), 148)::bigint as c0 from p where x <= 149 + 1e-9)
+  select p.qid, {q("a.z * (1 - (s.x - s.c0)) + b.z * (s.x - s.c0)", 4)} as value from p left join s on p.qid = s.qid left join line a on a.c = s.c0 left join line b on b.c = s.c0 + 1""")
+def m9_edge_sample(spark, d):
+    line = fx.orders(spark, d).df.groupBy("col").agg(F.max("z").alias("z")).select(F.lit(0).cast("long").alias("row"), "col", "z")
+    asked = fx.table(spark, d, "events").select(F.col("event_id").alias("qid"), ((F.col("event_id") % 1501) * num(0.1)).alias("x"), num(0).alias("y"))
+    return grid.sample_edges(Grid(line, GridMeta(150, 1)), asked).select("qid", rounded("z", 4).alias("value"))
+
+
+@query("g26_crs_carried", "select name, 'EPSG:32650' as crs from (values ('slope'), ('aspect'), ('hillshade'), ('resample'), ('difference')) t(name)")
+def g26_crs_carried(spark, d):
+    g, h = (Grid(x.df, replace(x.meta, crs="EPSG:32650")) for x in (fx.orders(spark, d), fx.design(spark, d)))
+    made = {"slope": grid.slope(g), "aspect": grid.aspect(g), "hillshade": grid.hillshade(g), "resample": grid.resample(g, g.meta), "difference": earthwork.difference(g, h)}
+    return spark.createDataFrame([(n, x.meta.crs) for n, x in made.items()], "name string, crs string")
+
+
+@query("l5_clear_and_start_again", "select 0::bigint as cleared, 3::bigint as vertices, 1::bigint as triangles")
+def l5_clear_and_start_again(spark, d):
+    s = MeshSession(spark, fx.suppliers(spark, d))
+    s.clear()
+    cleared = s.mesh.triangles.count()
+    for x, y in ((0.0, 0.0), (10.0, 0.0), (0.0, 10.0)):
+        s.insert(x, y, 1.0)
+    return spark.createDataFrame([(cleared, s.mesh.vertices.count(), s.mesh.triangles.count())], "cleared long, vertices long, triangles long")
+
+
+@query("k2_task_states", "select * from (values ('sum', 'SUCCEEDED', false), ('fault', 'FAILED', true)) t(name, state, has_error)")
+def k2_task_states(spark, d):
+    total = tasks.submit(spark, lambda: fx.orders(spark, d).df.agg(F.sum("z")).first()[0])
+    fault = tasks.submit(spark, lambda: grid.create(spark, GridMeta(0, 1)))
+    rows = [(n, t.state, t.error() is not None) for n, t in (("sum", total), ("fault", fault)) if t.wait(600)]
+    return spark.createDataFrame(rows, "name string, state string, has_error boolean")
 
 
 # Whole tables ------------------------------------------------------------------------------
@@ -1144,12 +1213,12 @@ WHOLE_CONS = "cons as (select k // 2 + 1 as cid, k % 2 as seq, x, y from x)"
 
 
 def whole(name: str, sql: bool = True) -> None:
-    """Registers ``<name>_whole``: a query whose SQL is bounded to a few ids once more, over all rows of its tables."""
+    """Registers a query over all rows of its tables, in place of the form that is bounded to a few ids for unit tests."""
     text = ORACLE_SQL[name]
     for bounded, all_ in ((CONS.removeprefix(f"{LATTICE}, "), WHOLE_CONS), (" where k < 50", ""), (" where c_custkey >= 100", ""), (" and x.k < 10", ""), (" where r > 0 and c > 0", "")):
         text = text.replace(bounded, all_)
-    query(f"{name}_whole", text if sql else None)(partial(QUERIES[name], whole=True))
+    query(name, text if sql else None)(partial(QUERIES[name], whole=True))
 
 
-for _name in ("v4_contour_points", "io13_contours_text", "io20_geojson", "r6_reproject_contours", "c3_update_constraint", "c4_remove_constraint", "c5_vertex_usage", "c6_remove_vertex", "c7_edit_log", "c8_crossings", "c8_noding", "c11_constraint_info", "io14_constraints_text", "io15_constraint_table", "io16_index_window", "io17_read_constraint", "t6_nearest", "t7_locate", "t9_surface", "c14_domain_sample", "c15_domain_surface", "r5_reproject_grid"):
+for _name in ("v4_contour_points", "io13_contours_text", "io20_geojson", "r6_reproject_contours", "c3_update_constraint", "c4_remove_constraint", "c5_vertex_usage", "c6_remove_vertex", "c7_edit_log", "c8_crossings", "c8_noding", "c11_constraint_info", "io14_constraints_text", "io15_constraint_table", "io15_broken_constraints", "io15_load_constraints", "io16_index_window", "io17_read_constraint", "t6_nearest", "t7_locate", "t9_surface", "c14_domain_sample", "c15_domain_surface", "r5_reproject_grid"):
     whole(_name)

@@ -87,7 +87,12 @@ def apply_edits(constraints: DataFrame, edits: DataFrame) -> DataFrame:
     return kept.unionByName(new.select(constraints.columns))
 
 
-def crossings(segs: DataFrame) -> DataFrame:
+def overlaps(segs: DataFrame) -> DataFrame:
+    """Pairs of segments on one line that share more than a point: (sid_a, sid_b, t_from, t_to, same), places along the first."""
+    return crossings(segs, overlapping=True)
+
+
+def crossings(segs: DataFrame, *, overlapping: bool = False) -> DataFrame:
     """Proper crossings (sid_a, sid_b, t, u, x, y, za, zb) of segments (sid, ax, ..., bz), sid_a < sid_b.
 
     Segments meet in the tiles that both boxes cover; the tile of the boxes'
@@ -113,6 +118,14 @@ def crossings(segs: DataFrame) -> DataFrame:
     det = rx * sy - ry * sx
     scale = F.greatest(num(1), F.abs(rx), F.abs(ry), F.abs(sx), F.abs(sy))
     qx, qy = F.col("r_ax") - F.col("l_ax"), F.col("r_ay") - F.col("l_ay")
+    if overlapping:
+        # On one line, with more than a point in common: places of the other's ends along the first.
+        length = rx * rx + ry * ry
+        p = p.where((F.abs(det) <= num(32 * EPS) * scale * scale) & (F.abs(qx * ry - qy * rx) <= num(32 * EPS) * scale * scale) & (length > 0))
+        one, two = F.try_divide(qx * rx + qy * ry, length), F.try_divide((qx + sx) * rx + (qy + sy) * ry, length)
+        from_, to = F.greatest(F.least(one, two), num(0)), F.least(F.greatest(one, two), num(1))
+        same = (F.abs(F.least(one, two)) <= 1e-12) & (F.abs(F.greatest(one, two) - 1) <= 1e-12)
+        return p.where(to - from_ > 1e-12).select(F.col("l_sid").alias("sid_a"), F.col("r_sid").alias("sid_b"), from_.alias("t_from"), to.alias("t_to"), same.alias("same"))
     p = p.where(F.abs(det) > num(32 * EPS) * scale * scale)
     p = p.withColumn("t", (qx * sy - qy * sx) / det).withColumn("u", (qx * ry - qy * rx) / det)
     inner = lambda c: (F.col(c) > 1e-12) & (F.col(c) < 1 - 1e-12)
@@ -123,8 +136,14 @@ def crossings(segs: DataFrame) -> DataFrame:
 
 
 def noded(constraints: DataFrame, *, policy: str = "reject", z_tolerance: float = 1e-9) -> DataFrame:
-    """Constraints with a vertex at each crossing of two segments (policy ``split``), or refused if there is one (``reject``)."""
+    """Constraints with a vertex at each crossing of two segments (policy ``split``), or refused if there is one (``reject``).
+
+    Segments of two constraints that overlap along a line, without being the
+    same, are refused under either policy.
+    """
     s = segments(constraints).withColumn("sid", F.struct("cid", "seg"))
+    if overlaps(s).where("not same").limit(1).count():
+        raise InvalidArgument("constraints overlap along a line")
     x = crossings(s).persist()
     inner = lambda c: (F.col(c) > 1e-12) & (F.col(c) < 1 - 1e-12)
     if policy == "reject":

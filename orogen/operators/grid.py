@@ -159,6 +159,24 @@ def sample(grid: Grid, points: DataFrame, x: str = "x", y: str = "y") -> DataFra
     return df.drop("cr", "cc", "u", "v", "z00", "z10", "z01", "z11")
 
 
+def sample_edges(grid: Grid, points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """As :func:`sample`, but grids of one row or one column have heights along it too, level across it.
+
+    Points count as inside up to 1e-9 of a step beyond the outermost nodes.
+    """
+    m, df = grid.meta, grid.df
+    if m.width == 1:
+        df = df.unionByName(df.withColumn("col", F.col("col") + 1))
+    if m.height == 1:
+        df = df.unionByName(df.withColumn("row", F.col("row") + 1))
+    wide = replace(m, width=max(m.width, 2), height=max(m.height, 2))
+    inside = lambda at, n: at.between(-1e-9, n - 1 + 1e-9)
+    held = inside(node_col(m, F.col(x), F.col(y)), m.width) & inside(node_row(m, F.col(x), F.col(y)), m.height)
+    out = sample(Grid(df, wide), points, x, y)
+    made = [c for c in out.columns if c not in points.columns]
+    return out.select(*points.columns, *(F.when(held, F.col(c)).alias(c) for c in made))
+
+
 def resample(grid: Grid, target: GridMeta, method: str = "bilinear", *, renormalize: bool = False) -> Grid:
     """The grid's heights at the nodes of another geometry (``nearest`` or ``bilinear``).
 

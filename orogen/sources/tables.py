@@ -65,6 +65,27 @@ def save_constraints(constraints: DataFrame, path: str) -> None:
     """Vertices with their constraint's box, clustered by id, so that windows and ids prune."""
     box = constraints.groupBy("cid").agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
     constraints.join(box, "cid").repartitionByRange("cid").sortWithinPartitions("cid", "seq").write.parquet(path)
+    _payload_sums(constraints).write.parquet(f"{path}.sums")
+
+
+def _payload_sums(constraints: DataFrame) -> DataFrame:
+    """Per constraint the number of its vertices and a checksum of all that they hold, whatever their order in files."""
+    one = F.pmod(F.xxhash64("cid", "kind", "closed", "seq", "x", "y", "z"), F.lit(1 << 31))
+    return constraints.groupBy("cid").agg(F.count(F.lit(1)).alias("points"), F.sum(one).alias("checksum"))
+
+
+def verify_constraints(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of constraints that aren't as they were saved: changed, lost or added; none in a sound table."""
+    now = _payload_sums(spark.read.parquet(path)).select("cid", F.struct("points", "checksum").alias("now"))
+    then = spark.read.parquet(f"{path}.sums").select("cid", F.struct("points", "checksum").alias("then"))
+    return now.join(then, "cid", "full").where(~F.col("now").eqNullSafe(F.col("then"))).select("cid")
+
+
+def load_constraints(spark: SparkSession, path: str) -> DataFrame:
+    """All constraints, after their checksums have been verified."""
+    if verify_constraints(spark, path).limit(1).count():
+        raise InvalidArgument("a constraint's checksum is wrong")
+    return spark.read.parquet(path).select("cid", "kind", "closed", "seq", "x", "y", "z")
 
 
 def query_constraints(spark: SparkSession, path: str, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:

@@ -129,6 +129,21 @@ def read_ascii_grid(spark: SparkSession, path: str) -> Grid:
     return Grid(v.select("row", "col", z.alias("z")), GridMeta(w, h, (x0, size, 0.0, y0 + (h - 1) * size, 0.0, -size)))
 
 
+def write_ascii_grid(grid: Grid, path: str, *, nodata: float = -9999.0) -> None:
+    """One ESRI ASCII file: a line a row, from north to south. The format has square cells without rotation, and one file."""
+    m = grid.meta
+    if m.gt[2] or m.gt[4] or m.gt[1] <= 0 or abs(m.gt[5]) != m.gt[1]:
+        raise InvalidArgument("an ASCII grid needs square cells along the axes")
+    low = min(m.gt[3], m.gt[3] + (m.height - 1) * m.gt[5])
+    head = [f"ncols {m.width}", f"nrows {m.height}", f"xllcenter {m.gt[0]!r}", f"yllcenter {low!r}", f"cellsize {m.gt[1]!r}", f"NODATA_value {nodata!r}"]
+    spark = grid.df.sparkSession
+    top = spark.createDataFrame([(i - len(head), v) for i, v in enumerate(head)], "at long, value string")
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("col", "z"))), lambda c: F.coalesce(c["z"], F.lit(nodata)).cast("string"))
+    at = F.col("row") if m.gt[5] < 0 else F.lit(m.height - 1) - F.col("row")
+    lines = grid.df.groupBy(at.cast("long").alias("at")).agg(F.concat_ws(" ", cells).alias("value"))
+    top.unionByName(lines).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+
+
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_id, elevation, closed, pts) of the LineString and MultiLineString features of a GeoJSON file; others are skipped.
 
@@ -158,7 +173,7 @@ def write_geojson_lines(lines: DataFrame, path: str) -> None:
 #: Formats by name: (reader, writer), where there is one.
 FORMATS = {
     "xyz": (read_xyz, write_xyz), "grid": (read_grid, write_grid), "mesh": (read_mesh, write_mesh), "contours": (read_lines, write_lines),
-    "constraints": (read_constraints, write_constraints), "asciigrid": (read_ascii_grid, None), "geojson": (read_geojson_lines, write_geojson_lines),
+    "constraints": (read_constraints, write_constraints), "asciigrid": (read_ascii_grid, write_ascii_grid), "geojson": (read_geojson_lines, write_geojson_lines),
 }
 
 
