@@ -42,6 +42,10 @@ def test_stages(spark, tmp_path):
     assert ids("secrets") == ids("temperature_mix") == ids("bpe")
     assert max(sum(r.doc_id == i for r in seen["bpe"]) for i in ids("bpe")) <= 2
     assert all(len(r.ids.split()) == r.n_tokens > 0 for r in seen["bpe"])
+    # Positions follow the mixing stage's files, part by part.
+    assert len({r.position for r in seen["bpe"]}) == len(seen["bpe"])
+    mixed = spark.read.parquet(f"{path}/temperature_mix").select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    assert [r.doc_id for r in sorted(mixed, key=lambda r: (r.file_name, r.row_index))] == [r.doc_id for r in sorted(seen["bpe"], key=lambda r: r.position)]
 
 
 def near_copy(r, shingles, added):
@@ -69,3 +73,11 @@ def test_one_document_of_each_component_whatever_its_ids(spark):
     assert sorted((t for i, t in got if i == 7)) == sorted((a, b))
     assert [t[:400] for i, t in got if i is None] == [c[:400]] and {i for i, _ in got} == {7, None, 9, 3}
     assert sorted((str(t) for i, t in got if i == 9)) == [" ", "None"] and len(got) == 6
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (i == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns)
+    assert {r.position for r in corpus_pipeline.encoded(spark, spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string"), "").collect()} == {None}
