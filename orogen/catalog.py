@@ -23,6 +23,7 @@ from orogen.operators.session import MeshSession
 from orogen.plans import tasks
 from orogen.schema import Grid, GridMeta, Mesh
 from orogen.sources import tables, text
+from orogen.sources.tile_package import TilePackage
 from orogen.streaming import edits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -964,6 +965,30 @@ def w4_cache_statistics(spark, d):
     return spark.createDataFrame([(s["hits"], s["misses"], s["tables"])], "hits long, misses long, tables long")
 
 
+def _package_sql() -> str:
+    """Tiles of 16 x 16 blocks of 2 x 2 nodes: how many a package of the orders' grid holds."""
+    return f"with {ORDERS_ND}, t as (select count(distinct (r // 32, c // 32))::bigint as n from g)"
+
+
+@query("w5_package", f"{_package_sql()} select 1::bigint as hits, 0::bigint as misses, 0::bigint as stale, 0::bigint as corrupted, n as records, n as tiles from t")
+def w5_package(spark, d):
+    path, g = scratch.path(spark, "package"), fx.orders_nd(spark, d)
+    TilePackage(g, path).tiles(2, 16)
+    later = TilePackage(g, path)
+    later.tiles(2, 16)
+    s = later.statistics()
+    return spark.createDataFrame([tuple(s.values())], ", ".join(f"{k} long" for k in s))
+
+
+@query("io18_package_tiles", f"""with {ORDERS_ND}, e as (select r // 32 as tr, c // 32 as tc, r % 32 as y, c % 32 as x, z, least(32, h - r // 32 * 32) as th, least(32, w - c // 32 * 32) as tw from g, m),
+  b as (select *, ceil(th / 2e0)::bigint as oh, ceil(tw / 2e0)::bigint as ow from e)
+  select tr as tile_row, tc as tile_col, ((y + 1) * oh - 1) // th as r, ((x + 1) * ow - 1) // tw as c, {q('avg(z) + 1e-6', 3)} as value from b group by all""")
+def io18_package_tiles(spark, d):
+    path, g = scratch.path(spark, "package"), fx.orders_nd(spark, d)
+    TilePackage(g, path).tiles(2, 16)
+    return TilePackage(g, path).tiles(2, 16).select("tile_row", "tile_col", "r", "c", off_ties("value").alias("value"))
+
+
 @query("w6_compact", "select user_id, arg_max(value, event_id) as value, max(event_id) as event_id from events group by user_id")
 def w6_compact(spark, d):
     return view.compacted(fx.table(spark, d, "events").select("user_id", "value", "event_id"), ["user_id"], "event_id")
@@ -1105,6 +1130,50 @@ def r5_reproject_grid(spark, d, whole=False):
     return out.df.where(F.lit(whole) | ((F.col("row") > 0) & (F.col("col") > 0))).select("row", "col", rounded("z", 5).alias("value"))
 
 
+WARPED = "p as (select a.r, b.c, degrees(b.c * 100000e0 / 6378137e0) as x, degrees(2e0 * atan(exp(a.r * 100000e0 / 6378137e0)) - pi() / 2) as y from (select unnest(range(0, 20)) as r) a, (select unnest(range(0, 40)) as c) b)"
+#: Weights of the nodes -1 to 2 (-2 to 3) around a place t, as SQL.
+KERNELS = {
+    "cubic": ("-1, 3", lambda t, k: f"case {k} when -1 then -0.5e0 * {t} + {t} ** 2 - 0.5e0 * {t} ** 3 when 0 then 1 - 2.5e0 * {t} ** 2 + 1.5e0 * {t} ** 3 when 1 then 0.5e0 * {t} + 2 * {t} ** 2 - 1.5e0 * {t} ** 3 else -0.5e0 * {t} ** 2 + 0.5e0 * {t} ** 3 end"),
+    "cubicspline": ("-1, 3", lambda t, k: f"case {k} when -1 then (1 - {t}) ** 3 / 6 when 0 then (3 * {t} ** 3 - 6 * {t} ** 2 + 4) / 6 when 1 then (-3 * {t} ** 3 + 3 * {t} ** 2 + 3 * {t} + 1) / 6 else {t} ** 3 / 6 end"),
+    "lanczos": ("-2, 4", lambda t, k: f"case when abs({t} - {k}) >= 3 then 0 when {t} = {k} then 1 else sin(pi() * ({t} - {k})) / (pi() * ({t} - {k})) * sin(pi() * ({t} - {k}) / 3) / (pi() * ({t} - {k}) / 3) end"),
+}
+
+
+def warped_sql(method: str) -> str:
+    """Every target node's kernel, node by node: a plain sum over a join."""
+    span, w = KERNELS[method]
+    near = "count(z) filter (where i in (0, 1) and j in (0, 1)) = 4"
+    value = f"case when count(z) = 16 then sum(wu * wv * z) when {near} then sum(case when i = 0 then 1 - u else u end * case when j = 0 then 1 - v else v end * z) filter (where i in (0, 1) and j in (0, 1)) end" if method == "cubic" else "case when sum(wu * wv) filter (where z is not null) > 1e-6 then sum(wu * wv * z) / sum(wu * wv) filter (where z is not null) end"
+    return f"""with {PARTS}, {WARPED}, k as (select p.r, p.c, case when x >= 0 and y >= 0 and x <= m.w - 1 and y <= m.h - 1 then least(floor(x), m.w - 2)::bigint end as cc, case when x >= 0 and y >= 0 and x <= m.w - 1 and y <= m.h - 1 then least(floor(y), m.h - 2)::bigint end as cr, x, y from p, m),
+  t as (select k.*, x - cc as u, y - cr as v, i, j from k, (select unnest(range({span})) as i) a, (select unnest(range({span})) as j) b),
+  s as (select t.r as row, t.c as col, t.i, t.j, t.u, t.v, {w("t.u", "t.i")} as wu, {w("t.v", "t.j")} as wv, g.z from t left join g on g.r = t.cr + t.j and g.c = t.cc + t.i)
+  select row, col, {q(value, 5)} as value from s group by row, col"""
+
+
+def _warped(spark, d, method: str):
+    g = fx.parts(spark, d)
+    out = reproject.grid(Grid(g.df, replace(g.meta, crs="EPSG:4326")), GridMeta(40, 20, (0.0, 100000.0, 0.0, 0.0, 0.0, 100000.0), "EPSG:3857"), method)
+    return out.df.select("row", "col", rounded("z", 5).alias("value"))
+
+
+for _method in KERNELS:
+    query(f"r5_reproject_{_method}", warped_sql(_method))(partial(_warped, method=_method))
+
+
+@query("r5_reproject_nearest", f"with {PARTS}, {WARPED} select p.r as row, p.c as col, g.z as value from p left join g on g.r = floor(y + 0.5e0) and g.c = floor(x + 0.5e0)")
+def r5_reproject_nearest(spark, d):
+    return _warped(spark, d, "nearest")
+
+
+@query("r5_suggested", f"""with {PARTS}, o as (select 6378137e0 * radians(-0.5e0) as x0, 6378137e0 * radians(w - 0.5e0) as x1, 6378137e0 * ln(tan(pi() / 4 + radians(-0.5e0) / 2)) as y0, 6378137e0 * ln(tan(pi() / 4 + radians(h - 0.5e0) / 2)) as y1, w, h from m),
+  s as (select *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / sqrt((w * w + h * h)::double) as size from o)
+  select floor((x1 - x0) / size + 0.5e0)::bigint as width, floor((y1 - y0) / size + 0.5e0)::bigint as height, {q('x0 + size / 2', 2)} as x, {q('y1 - size / 2', 2)} as y, {q('size', 3)} as step from s""")
+def r5_suggested(spark, d):
+    m = reproject.suggested(spark, replace(fx.parts(spark, d).meta, crs="EPSG:4326"), "EPSG:3857")
+    at = spark.createDataFrame([(m.width, m.height, m.gt[0], m.gt[3], m.gt[1])], "width long, height long, x double, y double, step double")
+    return at.select("width", "height", rounded("x", 2).alias("x"), rounded("y", 2).alias("y"), rounded("step", 3).alias("step"))
+
+
 @query("r6_reproject_contours", f"with {LATTICE} select k // 5 as line_id, k % 5 as i, {q('6378137e0 * radians(x / 10000)', 3)} as x, {q('6378137e0 * ln(tan(pi() / 4 + radians(y / 10000) / 2))', 3)} as y from x where k < 50")
 def r6_reproject_contours(spark, d, whole=False):
     small = _lines(spark, d, whole).withColumn("pts", F.transform("pts", lambda p: F.struct((p["x"] / 10000).alias("x"), (p["y"] / 10000).alias("y"), p["z"].alias("z"))))

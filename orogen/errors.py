@@ -25,3 +25,11 @@ class Unsupported(TerrainError):
 
 class LimitExceeded(TerrainError):
     pass
+
+
+class StaleQuery(TerrainError):
+    pass
+
+
+class CorruptedData(TerrainError):
+    pass
