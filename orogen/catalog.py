@@ -19,7 +19,7 @@ from orogen import scratch
 from orogen.functions import crs
 from orogen.functions.geometry import num, octant
 from orogen.operators import cdt, contour, convert, earthwork, grid, measure, mesh, registration, reproject, view
-from orogen.operators.session import MeshSession
+from orogen.operators.session import ConstrainedSession, MeshSession
 from orogen.plans import tasks
 from orogen.schema import Grid, GridMeta, Mesh
 from orogen.sources import tables, text
@@ -763,6 +763,26 @@ def c16_domain_area(spark, d):
     return marked.where("in_domain").agg(rounded(F.sum(area) / 1e6, 3).alias("area"))
 
 
+def _with_breakline(spark, d) -> ConstrainedSession:
+    s = ConstrainedSession(fx.suppliers(spark, d), fx.rings(spark))
+    rows = [(9, 1, False, 0, 25000.5, 50000.5, 0.0), (9, 1, False, 1, 60000.5, 75000.5, 0.0)]
+    s.insert(spark.createDataFrame(rows, "cid long, kind int, closed boolean, seq long, x double, y double, z double"))
+    return s
+
+
+@query("c9_edit_metrics", "select 'local' as mode, 1::bigint as local_edits, 0::bigint as full_rebuilds, 2::bigint as generation")
+def c9_edit_metrics(spark, d):
+    m = _with_breakline(spark, d).metrics()
+    return spark.createDataFrame([tuple(m.values())], "mode string, local_edits long, full_rebuilds long, generation long")
+
+
+@query("c16_validate", f"with {PTS} select count(*)::bigint + 9 as vertices, 0::bigint as crowded_edges, 0::bigint as missing_segments, true as euler, 0::bigint as wrongly_marked from pts")
+def c16_validate(spark, d):
+    s = _with_breakline(spark, d)
+    n = s.mesh.vertices.agg(F.count(F.lit(1)).alias("vertices"))
+    return n.join(F.broadcast(cdt.validate(s.mesh, s.marked, s.used))).select("vertices", "crowded_edges", "missing_segments", "euler", "wrongly_marked")  # one row each
+
+
 @query("p2_clip_domain")
 def p2_clip_domain(spark, d):
     _, marked, _ = cdt.build(fx.suppliers(spark, d), fx.rings(spark))

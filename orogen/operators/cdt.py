@@ -193,17 +193,31 @@ def build(points: DataFrame, constraints: DataFrame, crs: str = "", *, policy: s
     The Delaunay mesh of all vertices comes from tiles; only triangles that a
     segment crosses are taken out and rebuilt.
     """
+    cons = checked(constraints, policy=policy, z_tolerance=z_tolerance)
+    return constrain(tin.build(with_places(points, cons), crs), cons)
+
+
+def checked(constraints: DataFrame, *, policy: str = "reject", z_tolerance: float = 1e-9) -> DataFrame:
+    """Constraints as a mesh can use them: normalized, without faults, with vertices at crossings or without crossings."""
     cons = normalized(constraints)
     bad = faults(cons).limit(1).collect()
     if bad:
         raise InvalidArgument(f"constraint {bad[0]['cid']}: {bad[0]['fault']}")
-    cons = noded(cons, policy=policy, z_tolerance=z_tolerance)
+    return noded(cons, policy=policy, z_tolerance=z_tolerance)
+
+
+def with_places(points: DataFrame, cons: DataFrame) -> DataFrame:
+    """The points and, with new ids, the places of constraints that none of them has."""
     extra = cons.groupBy("x", "y").agg(F.first("z").alias("z")).join(points.select("x", "y"), ["x", "y"], "left_anti")
     most = points.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # Constraint vertices are few against points; they are numbered in order of place.
     numbered = extra.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("x", "y")) + F.lit(most).cast("long"))
-    vertices = points.select("id", "x", "y", "z").unionByName(numbered.select("id", "x", "y", "z"))
-    plain = tin.build(vertices, crs)
+    return points.select("id", "x", "y", "z").unionByName(numbered.select("id", "x", "y", "z"))
+
+
+def constrain(plain: Mesh, cons: DataFrame) -> tuple[Mesh, DataFrame, DataFrame]:
+    """The Delaunay mesh ``plain``, which has the constraints' places, with their segments as edges; as :func:`build` gives it."""
+    vertices, crs = plain.vertices, plain.crs
     ids = vertices.select("id", "x", "y")
     ends = segments(cons).join(ids.select(F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay")), ["ax", "ay"]).join(ids.select(F.col("id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by")), ["bx", "by"])
     wanted = ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *(F.col(c).alias(f"s_{c}") for c in ("ax", "ay", "bx", "by"))).dropDuplicates(["u", "v"])
@@ -335,6 +349,17 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(new)
 
 
+def validate(mesh: Mesh, marked: DataFrame, constraints: DataFrame) -> DataFrame:
+    """One row of faults: edges with more than two faces, segments that aren't edges, Euler's formula, triangles marked against the domain."""
+    sound = tin.validate(mesh).select("crowded_edges", "euler")
+    place = lambda k, p: mesh.vertices.select(F.col("id").alias(k), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    wanted = segments(constraints).join(place("i", "a"), ["ax", "ay"], "left").join(place("j", "b"), ["bx", "by"], "left").select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
+    missing = wanted.join(tin.edges(mesh).select("u", "v"), ["u", "v"], "left_anti").agg(F.count(F.lit(1)).alias("missing_segments"))
+    key = ["a", "b", "c", "in_domain"]
+    wrong = marked.select(key).join(domain(mesh.triangles, constraints).select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("wrongly_marked"))
+    return sound.join(F.broadcast(missing)).join(F.broadcast(wrong))  # one row each
+
+
 def statistics(mesh: Mesh, marked: DataFrame, constraints: DataFrame) -> DataFrame:
     s = segments(constraints).count()
     c = constraints.select("cid").distinct().count()
