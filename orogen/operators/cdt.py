@@ -6,18 +6,24 @@ kinds are 1 breakline, 2 outer boundary, 3 hole.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orogen import scratch
 from orogen.errors import InvalidArgument, Unsupported
 from orogen.functions.geometry import num, orient
 from orogen.functions.predicates import GHOST, Plane
 from orogen.operators import mesh as tin
+from orogen.plans.components import components, numbered
 from orogen.plans.tiles import covered, grid_for
 from orogen.schema import EPS, Mesh
 
 BREAKLINE, OUTER, HOLE = 1, 2, 3
+#: Meetings of segments with triangles that are recovered in one call, unless more hang together.
+RECOVERED = 1 << 15
 
 
 def normalized(constraints: DataFrame) -> DataFrame:
@@ -210,9 +216,8 @@ def with_places(points: DataFrame, cons: DataFrame) -> DataFrame:
     """The points and, with new ids, the places of constraints that none of them has."""
     extra = cons.groupBy("x", "y").agg(F.first("z").alias("z")).join(points.select("x", "y"), ["x", "y"], "left_anti")
     most = points.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # Constraint vertices are few against points; they are numbered in order of place.
-    numbered = extra.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("x", "y")) + F.lit(most).cast("long"))
-    return points.select("id", "x", "y", "z").unionByName(numbered.select("id", "x", "y", "z"))
+    placed = numbered(extra, ["x", "y"], "id", F.lit(most).cast("long"))
+    return points.select("id", "x", "y", "z").unionByName(placed.select("id", "x", "y", "z"))
 
 
 def constrain(plain: Mesh, cons: DataFrame) -> tuple[Mesh, DataFrame, DataFrame]:
@@ -221,10 +226,18 @@ def constrain(plain: Mesh, cons: DataFrame) -> tuple[Mesh, DataFrame, DataFrame]
     ids = vertices.select("id", "x", "y")
     ends = segments(cons).join(ids.select(F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay")), ["ax", "ay"]).join(ids.select(F.col("id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by")), ["bx", "by"])
     wanted = ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *(F.col(c).alias(f"s_{c}") for c in ("ax", "ay", "bx", "by"))).dropDuplicates(["u", "v"])
-    missing = wanted.join(tin.edges(plain).select("u", "v"), ["u", "v"], "left_anti").persist()
+    missing = wanted.join(tin.edges(plain).select("u", "v"), ["u", "v"], "left_anti")
+    missing = scratch.stored(missing, "missing")
     if not missing.limit(1).count():
         return plain, domain(plain.triangles, cons), cons
-    crossed = crossed_triangles(plain.triangles, missing).persist()
+    pairs = scratch.stored(crossed_pairs(plain.triangles, missing), "crossed")
+    # Segments that share a crossed triangle are recovered together, others apart.
+    size, x0, y0, x1, y1 = pairs.agg(F.count(F.lit(1)), F.min("ax"), F.min("ay"), F.max("ax"), F.max("ay")).first()
+    tiles = grid_for(size, x0, y0, x1, y1, per_tile=RECOVERED)
+    links = pairs.withColumns({"s": F.xxhash64(F.lit(0), "u", "v"), "t": F.xxhash64(F.lit(1), "a", "b", "c"), "tc": tiles.column(F.col("ax")), "tr": tiles.row(F.col("ay"))})
+    calls = math.ceil(size / RECOVERED)
+    dealt = scratch.stored(components(links, "s", "t", ["tc", "tr"]).withColumn("g", F.pmod(F.xxhash64("component"), F.lit(calls))), "crossed")
+    crossed = dealt.select("g", "a", "b", "c", *tin.CORNERS).dropDuplicates(["a", "b", "c"])
 
     def recover(key: tuple, faces: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
         pts = pd.concat([faces[[k, f"{k}x", f"{k}y", f"{k}z"]].set_axis(["id", "x", "y", "z"], axis=1) for k in "abc"]).drop_duplicates("id").reset_index(drop=True)
@@ -236,15 +249,14 @@ def constrain(plain: Mesh, cons: DataFrame) -> tuple[Mesh, DataFrame, DataFrame]
             work.segment(place[r.u], place[r.v])
         return tin._faces(pts, work.triangles())
 
-    one = F.lit(0).alias("g")
-    rebuilt = crossed.groupBy(one).cogroup(missing.select("u", "v").groupBy(one)).applyInPandas(recover, tin.SCHEMA)
+    rebuilt = crossed.groupBy("g").cogroup(dealt.select("g", "u", "v").distinct().groupBy("g")).applyInPandas(recover, tin.SCHEMA)
     triangles = plain.triangles.join(crossed.select("a", "b", "c"), ["a", "b", "c"], "left_anti").select("a", "b", "c", *tin.CORNERS).unionByName(rebuilt)
     done = Mesh(vertices, triangles, crs)
     return done, domain(triangles, cons), cons
 
 
-def crossed_triangles(triangles: DataFrame, segs: DataFrame) -> DataFrame:
-    """Triangles that a segment (s_ax, ..., s_by) passes through or has an end in."""
+def crossed_pairs(triangles: DataFrame, segs: DataFrame) -> DataFrame:
+    """(u, v, a, b, c, corners): triangles with the segments (u, v, s_ax, ..., s_by) that pass through them or have an end in them."""
     n, x0, y0, x1, y1 = triangles.agg(F.count(F.lit(1)), F.min(F.least("ax", "bx", "cx")), F.min(F.least("ay", "by", "cy")), F.max(F.greatest("ax", "bx", "cx")), F.max(F.greatest("ay", "by", "cy"))).first()
     tiles = grid_for(n, x0, y0, x1, y1, per_tile=8)
     t = covered(triangles, tiles, F.least("ax", "bx", "cx"), F.least("ay", "by", "cy"), F.greatest("ax", "bx", "cx"), F.greatest("ay", "by", "cy"))
@@ -252,7 +264,7 @@ def crossed_triangles(triangles: DataFrame, segs: DataFrame) -> DataFrame:
     o = [orient(F.col("s_ax"), F.col("s_ay"), F.col("s_bx"), F.col("s_by"), F.col(f"{k}x"), F.col(f"{k}y")) for k in "abc"]
     split = (F.greatest(*o) >= 0) & (F.least(*o) <= 0)
     box = (F.greatest("ax", "bx", "cx") >= F.least("s_ax", "s_bx")) & (F.least("ax", "bx", "cx") <= F.greatest("s_ax", "s_bx")) & (F.greatest("ay", "by", "cy") >= F.least("s_ay", "s_by")) & (F.least("ay", "by", "cy") <= F.greatest("s_ay", "s_by"))
-    return t.join(s.drop("u", "v"), ["tc", "tr"]).where(split & box).select("a", "b", "c", *tin.CORNERS).dropDuplicates(["a", "b", "c"])
+    return t.join(s, ["tc", "tr"]).where(split & box).select("u", "v", "a", "b", "c", *tin.CORNERS).dropDuplicates(["u", "v", "a", "b", "c"])
 
 
 class Recovery:
@@ -260,16 +272,20 @@ class Recovery:
 
     def __init__(self, plane: Plane) -> None:
         self.p, self.apex, self.fixed = plane, {}, set()
+        self.facing: dict[int, dict[tuple[int, int], None]] = {}  # the edges opposite each vertex
 
     def add(self, a: int, b: int, c: int) -> None:
         if self.p.orient(a, b, c) < 0:
             b, c = c, b
         for u, v, w in ((a, b, c), (b, c, a), (c, a, b)):
             self.apex[u, v] = w
+            self.facing.setdefault(w, {})[u, v] = None
 
     def drop(self, a: int, b: int, c: int) -> None:
         for e in ((a, b), (b, c), (c, a)):
-            self.apex.pop(e, None)
+            w = self.apex.pop(e, None)
+            if w is not None:
+                self.facing[w].pop(e, None)
 
     def segment(self, u: int, v: int) -> None:
         while u != v:
@@ -281,9 +297,7 @@ class Recovery:
     def _one(self, u: int, v: int) -> int:
         """Makes the part of the segment up to the next vertex on it an edge; gives that vertex."""
         o = self.p.orient
-        for (a, b), w in list(self.apex.items()):
-            if w != u:
-                continue
+        for a, b in self.facing.get(u, {}):
             right, left = o(u, v, a), o(u, v, b)
             for k, side in ((a, right), (b, left)):
                 if side == 0 and self._ahead(u, v, k):

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orogen import scratch
 from orogen.errors import EmptySurface, InvalidArgument, LimitExceeded
 from orogen.functions.geometry import num, world_x, world_y
 from orogen.operators.grid import cells
+from orogen.plans.components import components
+from orogen.plans.tiles import grid_for
 from orogen.schema import Grid, Mesh
 
 MOST_LEVELS = 1_000_000
+#: Segments of a tile, and about as many of a call that walks lines.
+STITCHED = 1 << 14
 
 
 def levels(zmin: float, zmax: float, interval: float | None = None, base: float = 0.0, explicit: list[float] | None = None) -> list[float]:
@@ -83,9 +90,14 @@ def stitch(parts: DataFrame, tolerance: float) -> DataFrame:
 
     Ends snap to a lattice. Chains start at nodes that don't join two segments,
     the smallest first; the rest are loops and repeat their first point.
+    Segments that hang together meet in one call; a level's others don't.
     """
     key = lambda v: F.floor(F.col(v) / num(tolerance) + 0.5)
-    keyed = parts.select("level", "x1", "y1", "x2", "y2", *(key(v).alias(f"k{v}") for v in ("x1", "y1", "x2", "y2")))
+    keyed = scratch.stored(parts.select("level", "x1", "y1", "x2", "y2", *(key(v).alias(f"k{v}") for v in ("x1", "y1", "x2", "y2"))), "segments")
+    n, x0, y0, x1, y1 = keyed.agg(F.count(F.lit(1)), F.min("x1"), F.min("y1"), F.max("x1"), F.max("y1")).first()
+    tiles = grid_for(n, x0 or 0.0, y0 or 0.0, x1 or 0.0, y1 or 0.0, per_tile=STITCHED)
+    links = keyed.withColumns({"u": F.xxhash64("level", "kx1", "ky1"), "v": F.xxhash64("level", "kx2", "ky2"), "tc": tiles.column(F.col("x1")), "tr": tiles.row(F.col("y1"))})
+    dealt = components(links, "u", "v", ["level", "tc", "tr"]).withColumn("g", F.pmod(F.xxhash64("component"), F.lit(max(1, math.ceil(n / STITCHED)))))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kx1", "ky1", "kx2", "ky2", "x1", "y1"], kind="stable")
@@ -118,9 +130,15 @@ def stitch(parts: DataFrame, tolerance: float) -> DataFrame:
             while any(not used[i] for i in at[start]):
                 lines.append(follow(start))
         level = pdf["level"].iloc[0]
-        return pd.DataFrame({"level": level, "line": range(len(lines)), "closed": [len(p) > 2 and p[0] == p[-1] for p in lines], "pts": [[{"x": float(place[n][0]), "y": float(place[n][1]), "z": float(level)} for n in p] for p in lines]})
-
-    return keyed.groupBy("level").applyInPandas(walk, "level double, line long, closed boolean, pts array<struct<x: double, y: double, z: double>>")
+        return pd.DataFrame({
+            "level": level, "loop": [len(at[p[0]]) == 2 for p in lines], "kx": [p[0][0] for p in lines], "ky": [p[0][1] for p in lines], "turn": range(len(lines)),
+            "closed": [len(p) > 2 and p[0] == p[-1] for p in lines], "pts": [[{"x": float(place[n][0]), "y": float(place[n][1]), "z": float(level)} for n in p] for p in lines]})
+
+    lines = scratch.stored(dealt.groupBy("level", "g").applyInPandas(walk, "level double, loop boolean, kx long, ky long, turn long, closed boolean, pts array<struct<x: double, y: double, z: double>>"), "lines")
+    place = ["level", "loop", "kx", "ky", "turn"]
+    # Lines are numbered without their points.
+    numbers = lines.select(*place, (F.row_number().over(Window.partitionBy("level").orderBy(*place)) - 1).cast("long").alias("line"))
+    return lines.join(numbers, place).select("level", "line", "closed", "pts")
 
 
 def line_statistics(lines: DataFrame) -> DataFrame:
