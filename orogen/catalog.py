@@ -510,6 +510,11 @@ def t1_delaunay_tiled(spark, d):
     return mesh.build(fx.customers(spark, d), tile_points=60).triangles.select("a", "b", "c")
 
 
+@query("t1_delaunay_tiles", f"with {DT} select a, b, c from dt")
+def t1_delaunay_tiles(spark, d):
+    return mesh.build(fx.suppliers(spark, d), tile_points=6).triangles.select("a", "b", "c")
+
+
 @query("t1_edges", f"with {DT}, e as (select a as u, b as v from dt union all select b, c from dt union all select a, c from dt) select u, v, count(*)::bigint as faces from e group by u, v")
 def t1_edges(spark, d):
     return mesh.edges(tin(spark, d))
@@ -651,7 +656,8 @@ def v5_grid_from_contours(spark, d):
 
 @query("p1_clip_exact")
 def p1_clip_exact(spark, d):
-    p = convert.clip_exact(tin(spark, d).triangles, [(20000.0, 20000.0), (80000.0, 25000.0), (70000.0, 80000.0), (25000.0, 70000.0)], [[(40000.0, 40000.0), (60000.0, 42000.0), (50000.0, 60000.0)]])
+    shape = lambda ring: [(float(x), float(y)) for x, y in ring]
+    p = convert.clip_exact(tin(spark, d).triangles, shape(CLIP), [shape(CLIP_HOLE)])
     return p.select("a", "b", "c", rounded("area", 2).alias("area"), "rings")
 
 
@@ -660,6 +666,32 @@ def p1_clip_area(spark, d):
     return p1_clip_exact(spark, d).agg(rounded(F.sum("area") / 1e6, 3).alias("area"))
 
 
+CLIP, CLIP_HOLE = [(20000, 20000), (80000, 25000), (70000, 80000), (25000, 70000)], [(40000, 40000), (60000, 42000), (50000, 60000)]
+
+
+def clipped_sql(triangles: str, *shapes: list[tuple[int, int]]) -> str:
+    """(a, b, c, area): what convex shapes, the first less the others, have of each triangle.
+
+    The boundary of what two convex shapes share is, of each, the part inside the other.
+    """
+    sides = ", ".join(f"({k}, {i}, {p[0]}e0, {p[1]}e0, {r[0]}e0, {r[1]}e0)" for k, shape in enumerate(shapes) for i, (p, r) in enumerate(zip(shape, shape[1:] + shape[:1], strict=True)))
+    corners = {"a": "ax::double, ay::double", "b": "bx::double, by_::double", "c": "cx::double, cy::double"}
+    turned = " union all ".join(f"select a, b, c, {i} as i, {corners[u]}, {corners[v]} from {triangles} where turn {sign} 0" for sign, way in ((">", "abc"), ("<", "acb")) for i, (u, v) in enumerate(zip(way, way[1:] + way[:1], strict=True)))
+    inside = lambda own, other: f"""select a, b, c, k, {own}.i, {own}.x1, {own}.y1, {own}.x2, {own}.y2, ({other}.x2 - {other}.x1) * ({own}.y1 - {other}.y1) - ({other}.y2 - {other}.y1) * ({own}.x1 - {other}.x1) as f,
+    ({other}.x2 - {other}.x1) * ({own}.y2 - {own}.y1) - ({other}.y2 - {other}.y1) * ({own}.x2 - {own}.x1) as g, '{own}' as own from side, edge"""
+    return f"""side as (select * from (values {sides}) s(k, i, x1, y1, x2, y2)), edge(a, b, c, i, x1, y1, x2, y2) as ({turned}),
+  met as ({inside("side", "edge")} union all {inside("edge", "side")}),
+  part as (select a, b, c, k, x1, y1, x2 - x1 as dx, y2 - y1 as dy, greatest(0e0, coalesce(max(-f / g) filter (g > 0), 0e0)) as lo, least(1e0, coalesce(min(-f / g) filter (g < 0), 1e0)) as hi
+    from met group by a, b, c, k, own, i, x1, y1, x2, y2 having not bool_or(g = 0 and f < 0)),
+  area as (select a, b, c, sum(case when k = 0 then 0.5e0 else -0.5e0 end * ((x1 + lo * dx) * (y1 + hi * dy) - (x1 + hi * dx) * (y1 + lo * dy))) as area from part where lo < hi group by a, b, c)
+  select a, b, c, {q("area", 2)} as area from area where area > 0.001e0"""
+
+
+@query("p1_clip_areas", f"with {DT}, {clipped_sql('dt', CLIP, CLIP_HOLE)}")
+def p1_clip_areas(spark, d):
+    return p1_clip_exact(spark, d).groupBy("a", "b", "c").agg(rounded(F.sum("area"), 2).alias("area")).where("area > 0")
+
+
 # Constrained meshes ----------------------------------------------------------------
 
 CONS = f"{LATTICE}, cons as (select k % 20 + 1 as cid, k // 20 as seq, x, y from x where k < 40)"
@@ -801,6 +833,32 @@ def v7_contours_from_domain(spark, d):
     return contour.segments(marked.where("in_domain").drop("in_domain"), 500.0).select("a", "b", "c", "level", "x1", "y1", "x2", "y2")
 
 
+IN_DOMAIN = f"{DOM}, inner_dt as (select dt.* from dt join dom using (a, b, c) where in_domain)"
+
+
+def _marked(spark, d) -> DataFrame:
+    return cdt.domain(tin(spark, d).triangles, fx.rings(spark))
+
+
+@query("p2_clip_areas", f"with {IN_DOMAIN}, {clipped_sql('inner_dt', CLIP[:3])}")
+def p2_clip_areas(spark, d):
+    p = convert.clip_exact(_marked(spark, d).where("in_domain"), [(float(x), float(y)) for x, y in CLIP[:3]])
+    return p.groupBy("a", "b", "c").agg(rounded(F.sum("area"), 2).alias("area")).where("area > 0")
+
+
+@query("v2_grid_from_marked", f"""with {IN_DOMAIN}, qs as (select r * 40 + c as qid, r, c, 1000 + c * 2500 as x, 99000 - r * 2500 as y from (select unnest(range(0, 40)) as r), (select unnest(range(0, 40)) as c)), {HITS.replace('dt t', 'inner_dt t')}
+  select q.r as "row", q.c as col, {q(PLANE.replace(' (x - ax)', ' (one.x - ax)').replace(' (y - ay)', ' (one.y - ay)'), 4)} as value from qs q left join one on one.qid = q.qid and n = 1""")
+def v2_grid_from_marked(spark, d):
+    g = convert.grid_from_domain(_marked(spark, d), GridMeta(40, 40, GRID_V1))
+    return g.df.select("row", "col", rounded("z", 4).alias("value"))
+
+
+@query("v7_contours_from_marked", f"with {IN_DOMAIN}, {TIN_T.replace('from dt', 'from inner_dt')}, {crossing_sql('a, b, c', 500)} select a, b, c, level, {q('x1', 3)} as x1, {q('y1', 3)} as y1, {q('x2', 3)} as x2, {q('y2', 3)} as y2 from seg")
+def v7_contours_from_marked(spark, d):
+    s = contour.segments(_marked(spark, d).where("in_domain"), 500.0)
+    return s.select("a", "b", "c", "level", *(rounded(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
 @query("io16_index_window", f"with {CONS} select cid, 1::int as kind, count(*)::bigint as points from cons group by cid having max(x) >= 30000 and min(x) <= 50000 and max(y) >= 30000 and min(y) <= 40000")
 def io16_index_window(spark, d, whole=False):
     p = scratch.path(spark, "constraints")
@@ -1135,10 +1193,10 @@ def r2_is_same(spark, d):
     return spark.createDataFrame([(a, b, crs.is_same(a, b)) for a, b in (("WGS84", "EPSG:4326"), ("EPSG:4326", "EPSG:3857"))], "a string, b string, same boolean")
 
 
-@query("r4_reproject_mesh")
+@query("r4_reproject_mesh", f"with {DT} select a, b, c, {q('6378137e0 * radians(ax / 10000e0)', 3)} as ax, {q('6378137e0 * ln(tan(pi() / 4 + radians(ay / 10000e0) / 2))', 3)} as ay from dt")
 def r4_reproject_mesh(spark, d):
     p = fx.suppliers(spark, d).select("id", (F.col("x") / 10000).alias("x"), (F.col("y") / 10000).alias("y"), "z")
-    return reproject.mesh(mesh.build(p, "EPSG:4326"), "EPSG:3857").triangles.select("a", "b", "c")
+    return reproject.mesh(mesh.build(p, "EPSG:4326"), "EPSG:3857").triangles.select("a", "b", "c", rounded("ax", 3).alias("ax"), rounded("ay", 3).alias("ay"))
 
 
 @query("r5_reproject_grid", f"""with {PARTS}, {sampled_sql(f"p as (select a.r, b.c, degrees(b.c * 100000e0 / 6378137e0) as x, degrees(2e0 * atan(exp(a.r * 100000e0 / 6378137e0)) - pi() / 2) as y from (select unnest(range(0, 20)) as r) a, (select unnest(range(0, 40)) as c) b)", "k.r, k.c")}
