@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -264,3 +265,78 @@ def test_toxicity_query_on_held_out_rows(spark, tmp_path):
     assert {r.predicted for r in got if r.doc_id in (1000, 1001)} == {0} and next(r.predicted for r in got if r.doc_id == 1002) == 1
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none, F.lit(True)).score("a") < 0.3
+
+
+def log_entropy(shares, a):
+    w = [s**a for s in shares]
+    w = [x / sum(w) for x in w]
+    return -sum(x * math.log(x) for x in w), w
+
+
+def test_exponents_against_plain_bisection(spark):
+    tokens = {"a": 900_000, "b": 70_000, "c": 20_000, "d": 11}
+    sources = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+    top = max(tokens.values())
+
+    def search(fits):
+        """The border between exponents that fit (small ones) and those that don't."""
+        low, high = 0.0, 1.0
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if fits(mid) else (low, mid)
+        return low
+
+    for nats in (0.5, 0.9, 1.3):
+        a = temperature_mix.exponent_for_entropy(sources, nats)
+        assert a == pytest.approx(search(lambda x: log_entropy(tokens.values(), x)[0] >= nats), abs=1e-6)  # noqa: B023
+        assert log_entropy(tokens.values(), a)[0] >= nats
+    assert temperature_mix.exponent_for_entropy(sources, 0.1) == 1 and temperature_mix.exponent_for_entropy(sources, 9.0) == 0
+    for repeats, budget in ((2.0, None), (3.5, None), (2.0, 500_000.0), (1.5, 1_000_000.0)):
+        def most(a):
+            w = log_entropy(tokens.values(), a)[1]
+            whole = budget if budget is not None else top / max(w)  # noqa: B023
+            return max(whole * x / t for x, t in zip(w, tokens.values()))
+
+        a = temperature_mix.exponent_for_repeats(sources, repeats, budget)
+        assert a == pytest.approx(search(lambda x: most(x) > repeats), abs=1e-6) and most(a) <= repeats * (1 + 1e-6)  # noqa: B023
+        planned = {r.source: r for r in temperature_mix.plan(sources, a, budget).collect()}
+        w = dict(zip(tokens, log_entropy(tokens.values(), a)[1]))
+        assert all(planned[s].weight == pytest.approx(w[s]) for s in tokens) and sum(r.weight for r in planned.values()) == pytest.approx(1)
+        whole = budget if budget is not None else top / max(w.values())
+        for s, t in tokens.items():
+            assert planned[s].passes * t + planned[s].rest == pytest.approx(whole * w[s], abs=1e-3 * t)
+
+
+def test_partial_passes_against_brute_force(spark):
+    """A budget gives each source its whole passes and, of one more, the longest run of places that fits."""
+    r = random.Random(21)
+    rows = [(i, "w " * r.randrange(1, 40), "big" if i % 3 else r.choice(["s1", "s2"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {i: len(t.split()) for i, t, _ in rows}
+    own = {s: sum(size[i] for i, _, o in rows if o == s) for s in ("big", "s1", "s2")}
+    for budget, entropy in ((5_000.0, None), (sum(own.values()) * 1.7, 1.0)):
+        got = temperature_mix.mix(df, budget=budget, entropy=entropy).collect()
+        weight = {g.source: g.mix_weight for g in got}
+        if entropy is None:
+            assert all(weight[s] == pytest.approx(own[s] / sum(own.values())) for s in weight)
+        else:
+            assert -sum(w * math.log(w) for w in weight.values()) >= entropy - 1e-9
+        key = F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), "text")
+        for s in own:
+            passes, rest = divmod(budget * weight[s], own[s])
+            seen = {}
+            for g in got:
+                if g.source == s:
+                    seen.setdefault(g.mix_pass, set()).add(g.doc_id)
+            at = {x.doc_id: x.at for x in df.where(F.col("source") == s).select("doc_id", temperature_mix.place(key, F.lit(int(passes)), 17).alias("at")).collect()}
+            whole = {i for i, _, o in rows if o == s}
+            want, used = set(), 0
+            for i in sorted(whole, key=at.get):
+                if used + size[i] > rest:
+                    break
+                want.add(i)
+                used += size[i]
+            assert all(seen[p] == whole for p in range(int(passes))) and seen.get(int(passes), set()) == want
+            # A pass goes by its places.
+            last = sorted((g for g in got if g.source == s and g.mix_pass == int(passes)), key=lambda g: g.mix_position)
+            assert [g.doc_id for g in last] == sorted(want, key=at.get)
