@@ -1155,6 +1155,14 @@ def io20_geojson(spark, d, whole=False):
     return text.read_geojson_lines(spark, f"{p}-whole").select("elevation", F.size("pts").cast("long").alias("points"))
 
 
+@query("io20_geojson_sequence", f"with {LATTICE} select k // 5 as line_id, k % 5 as i, (k // 5) * 10e0 as elevation, (k // 5) % 2 = 0 as closed, x, y from x")
+def io20_geojson_sequence(spark, d):
+    p = scratch.path(spark, "geojson")
+    text.write_geojson_lines(_lines(spark, d, whole=True), p)
+    found = text.read_geojson_sequence(spark, p).select("line_id", "elevation", "closed", F.posexplode("pts").alias("i", "p"))
+    return found.select("line_id", F.col("i").cast("long").alias("i"), "elevation", "closed", "p.x", "p.y")
+
+
 @query("io22_profile_csv", f"with {PROFILE} select idx, {q('distance')} as distance, {q('z')} as z from f")
 def io22_profile_csv(spark, d):
     p = scratch.path(spark, "csv")

@@ -144,13 +144,31 @@ def write_ascii_grid(grid: Grid, path: str, *, nodata: float = -9999.0) -> None:
     top.unionByName(lines).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
 
 
+FEATURE = "struct<geometry: struct<type: string, coordinates: string>, properties: map<string, string>>"
+
+
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_id, elevation, closed, pts) of the LineString and MultiLineString features of a GeoJSON file; others are skipped.
 
     The elevation is the property of that name, or the first point's height.
     """
-    schema = "struct<features: array<struct<geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>>"
-    f = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j")).select(F.posexplode("j.features").alias("fid", "f"))
+    f = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<features: array<{FEATURE}>>").alias("j")).select(F.posexplode("j.features").alias("fid", "f"))
+    p = _feature_lines(f)
+    return p.select((F.col("fid") * 1_000_000 + F.col("part")).cast("long").alias("line_id"), "elevation", "closed", "pts")
+
+
+def read_geojson_sequence(spark: SparkSession, path: str) -> DataFrame:
+    """(line_id, part, elevation, closed, pts) of the line features of files with one feature on each line, read in parallel.
+
+    ``line_id`` is the property of that name, null without it.
+    """
+    f = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.from_json("value", FEATURE).alias("f"))
+    p = _feature_lines(f.withColumn("fid", F.try_element_at("f.properties", F.lit("line_id")).cast("long")))
+    return p.select(F.col("fid").alias("line_id"), "part", "elevation", "closed", "pts")
+
+
+def _feature_lines(f: DataFrame) -> DataFrame:
+    """(fid, part, elevation, closed, pts) of features (fid, f)."""
     one = F.from_json("f.geometry.coordinates", "array<array<double>>")
     many = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     lines = F.when(F.col("f.geometry.type") == "LineString", F.array(one)).when(F.col("f.geometry.type") == "MultiLineString", many)
@@ -160,7 +178,7 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     closed = F.coalesce(F.try_element_at("props", F.lit("closed")).isin("1", "true"), (F.col("c")[0][0] == F.element_at("c", -1)[0]) & (F.col("c")[0][1] == F.element_at("c", -1)[1]))
     p = p.withColumn("elevation", level)
     pts = F.transform("c", lambda v: F.struct(v[0].alias("x"), v[1].alias("y"), F.coalesce(F.get(v, F.lit(2)), F.col("elevation")).alias("z")))
-    return p.select((F.col("fid") * 1_000_000 + F.col("part")).cast("long").alias("line_id"), "elevation", closed.alias("closed"), pts.alias("pts"))
+    return p.select("fid", "part", "elevation", closed.alias("closed"), pts.alias("pts"))
 
 
 def write_geojson_lines(lines: DataFrame, path: str) -> None:

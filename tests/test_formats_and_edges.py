@@ -57,3 +57,15 @@ def test_ascii_grid_round_trip(spark, tmp_path):
     assert where(back) == where(south_up)
     with pytest.raises(InvalidArgument):
         text.write_ascii_grid(Grid(cells, GridMeta(4, 3, (0.0, 1.0, 0.5, 0.0, 0.0, 1.0))), str(tmp_path / "b"))
+
+
+def test_geojson_sequences(spark, tmp_path):
+    """Properties rule over heights; other features and blank lines are skipped; parts are told apart."""
+    lines = [
+        '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0],[1,2]]},"properties":{"elevation":5,"line_id":3}}', "",
+        '{"type":"Feature","geometry":{"type":"Point","coordinates":[4,4]},"properties":{}}',
+        '{"type":"Feature","geometry":{"type":"MultiLineString","coordinates":[[[0,0,7],[1,0,7]],[[2,2,8],[3,2,8],[2,2,8]]]},"properties":{"line_id":4}}',
+    ]
+    (tmp_path / "a.geojsonl").write_text("\n".join(lines))
+    got = sorted((r.line_id, r.part, r.elevation, r.closed, len(r.pts), r.pts[1].z) for r in text.read_geojson_sequence(spark, str(tmp_path)).collect())
+    assert got == [(3, 0, 5.0, False, 2, 5.0), (4, 0, 7.0, False, 2, 7.0), (4, 1, 8.0, True, 3, 8.0)]
