@@ -150,32 +150,43 @@ def compacted(tiles: DataFrame, key: list[str], version: str) -> DataFrame:
 
 
 class ViewCache:
-    """Persisted tile tables by grid fingerprint and scale; the least recently used go when there are too many."""
+    """Persisted tile tables by grid fingerprint and scale; the least recently used go when there are too many or too many bytes.
 
-    def __init__(self, most: int = 8) -> None:
-        self.most, self.held, self.hits, self.misses = most, {}, 0, 0
+    A table that is larger than the limit by itself isn't kept.
+    """
+
+    def __init__(self, most: int = 8, most_bytes: int | None = None) -> None:
+        self.most, self.most_bytes, self.hits, self.misses = most, most_bytes, 0, 0
+        self.held: dict[tuple, tuple[DataFrame, int]] = {}
 
     def tiles(self, grid: Grid, scale: int, tile: int = 128) -> DataFrame:
         key = (fingerprint(grid).first()["fingerprint"], scale, tile)
         if key in self.held:
             self.hits += 1
             self.held[key] = self.held.pop(key)
-        else:
-            self.misses += 1
-            self.held[key] = tile_table(grid, scale, tile).persist()
-            while len(self.held) > self.most:
-                self.held.pop(next(iter(self.held))).unpersist()
-        return self.held[key]
+            return self.held[key][0]
+        self.misses += 1
+        df = tile_table(grid, scale, tile).persist()
+        df.count()
+        # Once it is filled, the plan of a persisted table knows its size.
+        self.held[key] = df, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        while len(self.held) > self.most or (self.most_bytes is not None and self.bytes > self.most_bytes):
+            self.held.pop(next(iter(self.held)))[0].unpersist()
+        return df
+
+    @property
+    def bytes(self) -> int:
+        return sum(size for _, size in self.held.values())
 
     def read(self, grid: Grid, window: Window4, out_width: int, out_height: int, tile: int = 128) -> DataFrame:
         scale = lod_scale(window, out_width, out_height)
         return read_view(grid, window, out_width, out_height, scale, tile, self.tiles(grid, scale, tile))
 
     def statistics(self) -> dict[str, int]:
-        return {"hits": self.hits, "misses": self.misses, "tables": len(self.held)}
+        return {"hits": self.hits, "misses": self.misses, "tables": len(self.held), "bytes": self.bytes}
 
     def clear(self) -> None:
-        for df in self.held.values():
+        for df, _ in self.held.values():
             df.unpersist()
         self.held.clear()
 

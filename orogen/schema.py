@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 
 from orogen.errors import InvalidArgument, LimitExceeded
 
-MOST_NODES = 1_000_000_000
+#: Nodes are numbered by longs.
+MOST_NODES = 1 << 62
 EPS = 2.0**-52
 
 

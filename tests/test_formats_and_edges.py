@@ -3,7 +3,7 @@
 import pytest
 
 from orogen.errors import InvalidArgument
-from orogen.operators import cdt, grid
+from orogen.operators import cdt, grid, view
 from orogen.schema import Grid, GridMeta
 from orogen.sources import tables, text
 
@@ -69,3 +69,20 @@ def test_geojson_sequences(spark, tmp_path):
     (tmp_path / "a.geojsonl").write_text("\n".join(lines))
     got = sorted((r.line_id, r.part, r.elevation, r.closed, len(r.pts), r.pts[1].z) for r in text.read_geojson_sequence(spark, str(tmp_path)).collect())
     assert got == [(3, 0, 5.0, False, 2, 5.0), (4, 0, 7.0, False, 2, 7.0), (4, 1, 8.0, True, 3, 8.0)]
+
+
+def test_view_cache_limits(spark):
+    g = Grid(spark.createDataFrame([(r, c, float(r * c % 7)) for r in range(40) for c in range(40)], "row long, col long, z double"), GridMeta(40, 40))
+    window, read = (0, 0, 40, 40), lambda cache, width: sorted(map(tuple, cache.read(g, window, width, width, 16).collect()))
+    cache = view.ViewCache()
+    first = read(cache, 20)
+    size = cache.statistics()["bytes"]
+    assert size > 0 and read(cache, 20) == first and cache.statistics() == {"hits": 1, "misses": 1, "tables": 1, "bytes": size}
+    read(cache, 5)
+    assert cache.statistics()["tables"] == 2 and cache.statistics()["bytes"] > size
+    tight = view.ViewCache(most_bytes=size)
+    read(tight, 5)
+    assert read(tight, 20) == first and tight.statistics()["tables"] == 1  # the smaller table, used longer ago, went
+    none = view.ViewCache(most_bytes=1)
+    assert read(none, 20) == first and none.statistics() == {"hits": 0, "misses": 1, "tables": 0, "bytes": 0}
+    cache.clear(), tight.clear()
