@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orogen import scratch
 from orogen.errors import EmptySurface, InvalidArgument, NotFound
 from orogen.functions.geometry import aspect_degrees, num, orient, slope_degrees
 from orogen.functions.predicates import Delaunay, Plane, whole
@@ -84,7 +85,8 @@ def build(points: DataFrame, crs: str = "", *, tile_points: int = TILE_POINTS) -
         r = r * (1 + 1e-9) + 1e-9 * (abs(x1 - x0) + abs(y1 - y0))
         return faces[(cx - r >= low_x) & (cx + r <= high_x) & (cy - r >= low_y) & (cy + r <= high_y)]
 
-    sure = halo.groupBy("tr", "tc").applyInPandas(certified, SCHEMA).dropDuplicates(["a", "b", "c"]).persist()
+    # Read four times; written, so that lost executors don't triangulate again.
+    sure = scratch.stored(halo.groupBy("tr", "tc").applyInPandas(certified, SCHEMA).dropDuplicates(["a", "b", "c"]), "certified")
     edges = directed(sure)
     border = edges.join(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     inner = sure.select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
