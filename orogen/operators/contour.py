@@ -170,15 +170,24 @@ def densified(lines: DataFrame, longest: float | None = None) -> DataFrame:
     return seg.select("line_id", "seq", "part", (F.col("px") + t * (F.col("qx") - F.col("px"))).alias("x"), (F.col("py") + t * (F.col("qy") - F.col("py"))).alias("y"), F.col("elevation").alias("z"))
 
 
-def surface_points(lines: DataFrame, longest: float | None = None) -> DataFrame:
-    """(id, x, y, z) of contour vertices, equal places merged; refuses places with two heights."""
+def surface_points(lines: DataFrame, longest: float | None = None, *, meeting: str = "refuse") -> DataFrame:
+    """(id, x, y, z) of contour vertices, equal places merged.
+
+    Where contours of different heights meet, ``meeting`` decides: ``refuse``
+    raises, ``keep`` gives a point for each height, ``middle`` one point halfway
+    between the lowest and the highest.
+    """
+    if meeting not in ("refuse", "keep", "middle"):
+        raise InvalidArgument("meeting contours are refused, kept or put in the middle")
     p = densified(lines, longest)
-    merged = p.groupBy("x", "y").agg(F.min("z").alias("z"), F.max("z").alias("top"), F.min(F.struct("line_id", "seq", "part")).alias("first"))
-    clash = F.abs(F.col("top") - F.col("z")) > 1e-10 * F.greatest(num(1), F.abs("z"), F.abs("top"))
-    if merged.where(clash).limit(1).count():
+    place = ["x", "y", "z"] if meeting == "keep" else ["x", "y"]
+    merged = p.groupBy(*place).agg(F.min("z").alias("low"), F.max("z").alias("top"), F.min(F.struct("line_id", "seq", "part")).alias("first"))
+    clash = F.abs(F.col("top") - F.col("low")) > 1e-10 * F.greatest(num(1), F.abs("low"), F.abs("top"))
+    if meeting == "refuse" and merged.where(clash).limit(1).count():
         raise InvalidArgument("contours of different heights meet")
+    z = F.when(clash, F.col("low") + (F.col("top") - F.col("low")) / 2).otherwise(F.col("low"))
     key = F.struct("first.line_id", "first.seq", "first.part")
-    out = merged.select(F.xxhash64(key).alias("id"), "x", "y", "z")
+    out = merged.select(F.xxhash64(key).alias("id"), "x", "y", z.alias("z"))
     if not out.limit(3).count() >= 3:
         raise EmptySurface("too few contour points")
     return out
