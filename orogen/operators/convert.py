@@ -67,12 +67,12 @@ def mesh_from_grid(grid: Grid, *, bridge: bool = False) -> Mesh:
     return tin.build(points_from_grid(grid, bridge=bridge), grid.meta.crs)
 
 
-def mesh_from_contours(lines: DataFrame, longest: float | None = None, crs: str = "") -> Mesh:
-    return tin.build(contour.surface_points(lines, longest), crs)
+def mesh_from_contours(lines: DataFrame, longest: float | None = None, crs: str = "", *, meeting: str = "refuse") -> Mesh:
+    return tin.build(contour.surface_points(lines, longest, meeting=meeting), crs)
 
 
-def grid_from_contours(lines: DataFrame, meta: GridMeta, longest: float | None = None) -> Grid:
-    return grid_from_mesh(mesh_from_contours(lines, longest, meta.crs), meta)
+def grid_from_contours(lines: DataFrame, meta: GridMeta, longest: float | None = None, *, meeting: str = "refuse") -> Grid:
+    return grid_from_mesh(mesh_from_contours(lines, longest, meta.crs, meeting=meeting), meta)
 
 
 def half_plane(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

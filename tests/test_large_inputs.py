@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from orogen import catalog
 from orogen.errors import InvalidArgument
-from orogen.operators import cdt, contour
+from orogen.operators import cdt, contour, convert
 from orogen.plans.tiles import grid_for
+from orogen.schema import GridMeta
 
 LINE = "line_id long, elevation double, closed boolean, pts array<struct<x: double, y: double, z: double>>"
 
@@ -67,3 +68,11 @@ def test_a_segment_is_listed_where_it_passes(spark):
     ends, df = sticks(spark, 400, 6)
     tiles = grid_for(10_000, 0, 0, 1000, 1000, 4)
     assert cdt.passed(df, tiles).count() < 1.2 * sum(1 + (abs(a - c) + abs(b - d)) / 20 for a, b, c, d in ends)
+
+
+def test_grid_from_contours_that_meet(spark):
+    meta = GridMeta(3, 3, (0.0, 1.0, 0.0, 0.0, 0.0, 1.0))
+    got = {(r.row, r.col): r.z for r in convert.grid_from_contours(crossing_lines(spark), meta, 1.5, meeting="middle").df.collect()}
+    assert got == {(0, 0): 0, (0, 1): 5, (0, 2): 10, (1, 0): 5, (1, 1): 5, (1, 2): 5, (2, 0): 10, (2, 1): 5, (2, 2): 0}
+    with pytest.raises(InvalidArgument):
+        convert.grid_from_contours(crossing_lines(spark), meta, 1.5)
