@@ -39,13 +39,18 @@ def parts(spark: SparkSession, sf_dir: str, gt: tuple = (0.0, 1.0, 0.0, 0.0, 0.0
 
 
 def lattice(df: DataFrame, key: str, z: str) -> DataFrame:
-    """(id, x, y, z) on the lattice that puts every key at a place of its own."""
+    """(id, x, y, z) on the lattice that puts nearly every key at a place of its own; of 90,000 keys two share one."""
     k = F.col(key).cast("long")
     x = (k * k * 7 + k * 15485863) % 100003
     y = (k * k * k + k * 32452843) % 100019
     return df.select((k + 1).alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.col(z).cast("double").alias("z"))
 
 
+def places(points: DataFrame) -> DataFrame:
+    """One point for each place, that with the smallest id: meshes refuse two."""
+    return points.groupBy("x", "y").agg(F.min(F.struct("id", "z")).alias("p")).select("p.id", "x", "y", "p.z")
+
+
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal")
 

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orogen import catalog
+from orogen import catalog, fixtures
 from orogen.errors import InvalidArgument
-from orogen.operators import cdt, contour, convert
+from orogen.operators import cdt, contour, convert, mesh
 from orogen.plans.tiles import grid_for
 from orogen.schema import GridMeta
 
@@ -78,6 +78,17 @@ def test_grid_from_contours_that_meet(spark):
         convert.grid_from_contours(crossing_lines(spark), meta, 1.5)
 
 
+def test_customers_that_share_a_place_are_one_vertex(spark, tmp_path):
+    keys = [*range(30), 12479, 89610]  # the last two share a place
+    spark.createDataFrame([(k, k * 1.5) for k in keys], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r.a, r.b, r.c) for r in catalog.QUERIES["t1_delaunay_tiled"](spark, str(tmp_path)).collect()}
+    points = fixtures.customers(spark, str(tmp_path)).where("id <> 89611")
+    assert got == {(r.a, r.b, r.c) for r in mesh.build(points).triangles.collect()}
+    assert {i for t in got for i in t} == {*range(1, 31), 12480}
+    with pytest.raises(InvalidArgument):
+        mesh.build(fixtures.customers(spark, str(tmp_path)))
+
+
 def test_an_added_constraint_leaves_the_one_of_its_id(spark):
     rows = lambda *r: spark.createDataFrame([(c, 1, False, s, float(x), 0.0, 0.0) for c, s, x in r], "cid long, kind int, closed boolean, seq long, x double, y double, z double")
     log = lambda *r: spark.createDataFrame([(o, op, c, 1, False, 0, float(x), 0.0, 0.0) for o, op, c, x in r], "order long, op string, cid long, kind int, closed boolean, seq long, x double, y double, z double")
